@@ -1,0 +1 @@
+"""Deliberately empty: no streaming operator is in scope (see README, "Not built")."""
