@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralux.functions.bind import let
+
 # WGS-84 ellipsoid, UTM scale and false origin, equal-area standard parallel.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1.0 / 298.257223563
@@ -174,9 +176,12 @@ def _sum(values: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area of a closed ring of (x, y) structs, positive when counter-clockwise."""
-    return _sum(
-        F.transform(_sides(ring), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])
-    ) / F.lit(2.0)
+
+
+    def area(r: Column) -> Column:
+        return _sum(F.transform(_sides(r), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / F.lit(2.0)
+
+    return let(ring, area)
 
 
 def centroid_moments(ring: Column) -> Column:
@@ -208,9 +213,13 @@ def roof_area_m2(ring: Column) -> Column:
     corners = F.when((F.size(ring) > 1) & closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
     mean_lat = _sum(F.transform(corners, lambda v: v["y"])) / F.size(corners)
     shut = F.concat(corners, F.slice(corners, 1, 1))
-    # Both axes are scaled after the sum: area in square radians times R^2 cos(lat0).
+    # Radians from the first corner (a roof is tiny against its longitude, and the sum would
+    # cancel); both axes are scaled after it: square radians times R^2 cos(lat0).
     radians = F.transform(
-        shut, lambda v: F.struct(F.radians(v["x"]).alias("x"), F.radians(v["y"]).alias("y"))
+        shut,
+        lambda v: F.struct(
+            F.radians(v["x"] - ring[0]["x"]).alias("x"), F.radians(v["y"] - ring[0]["y"]).alias("y")
+        ),
     )
     area = F.abs(signed_area(radians)) * F.lit(SEMI_MAJOR**2) * F.cos(F.radians(mean_lat))
     return F.when(F.size(corners) < 3, F.lit(0.0)).otherwise(area)
@@ -234,7 +243,7 @@ def ring_crosses_itself(ring: Column) -> Column:
             turn(t["a"], t["b"], s["a"]) * turn(t["a"], t["b"], s["b"]) < 0
         )
 
-    return F.exists(sides, lambda s: F.exists(sides, lambda t: crosses(s, t)))
+    return let(sides, lambda all_sides: F.exists(all_sides, lambda s: F.exists(all_sides, lambda t: crosses(s, t))))
 
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:

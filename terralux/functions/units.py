@@ -28,6 +28,12 @@ def is_daily(unit: Column) -> Column:
     return _ends_with(unit, DAILY_ENDINGS)
 
 
+def needs_daily(data_unit: str, criterion_unit: str) -> bool:
+    """Whether a layer in ``data_unit`` must be divided by 365 for a criterion per day."""
+    data, wanted = data_unit.lower().strip(), criterion_unit.lower().strip()
+    return wanted.endswith(DAILY_ENDINGS) and data.endswith(ANNUAL_ENDINGS)
+
+
 def to_criterion_unit(value: Column, data_unit: Column, criterion_unit: Column) -> Column:
     """Annual data for a per-day criterion is divided by 365; anything else passes through."""
     annual = is_daily(criterion_unit) & is_annual(F.coalesce(data_unit, F.lit("")))

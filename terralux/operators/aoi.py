@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralux.functions import geodesy as g
+from terralux.functions.bind import bind
 
 # Fixed value: largest area of interest.
 MAX_AREA_KM2 = 10000.0
@@ -57,7 +58,8 @@ def with_measures(aois: DataFrame) -> DataFrame:
     ys = F.transform(_vertices(p), lambda v: v["y"])
     total = _net(p, _moment("area"))
     return (
-        aois.withColumns(
+        bind(
+            aois,
             {
                 "minx": F.array_min(xs),
                 "miny": F.array_min(ys),
@@ -67,7 +69,7 @@ def with_measures(aois: DataFrame) -> DataFrame:
                 "centroid_lon": _net(p, _moment("mx")) / F.nullif(total, F.lit(0.0)),
                 "centroid_lat": _net(p, _moment("my")) / F.nullif(total, F.lit(0.0)),
                 "hash": F.sha2(F.to_json(F.struct(p.alias("coordinates"))), 256),
-            }
+            },
         )
         .withColumn("epsg", g.utm_epsg(F.col("centroid_lon"), F.col("centroid_lat")))
     )
@@ -84,7 +86,7 @@ def with_faults(aois: DataFrame) -> DataFrame:
         F.when(F.coalesce(crossing, F.lit(False)), F.lit("self_intersection")),
         F.when(F.col("area_km2") > MAX_AREA_KM2, F.lit("too_large")),
     )
-    return aois.withColumn("faults", F.array_compact(rules))
+    return bind(aois, {"faults": F.array_compact(rules)})
 
 
 def project_extent(aois: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,27 +15,35 @@ NO_CLASS = -9999
 PUBLISHED_TOP_PCT = 24.9
 
 MAX_SCENARIOS = 256
+SNAP = 1e12
+
 
+def overlay_text(columns: dict[str, str], weights: dict[str, float]) -> str:
+    """P16 as SQL text over {criterion: score column}: weights renormalised over the given
+    scores, then per cell over the non-missing ones.
 
-def overlay(scores: dict[str, Column], weights: dict[str, float]) -> Column:
-    """Weights renormalised over the given scores, then per cell over the non-missing ones."""
-    known = {k: c for k, c in scores.items() if k in weights}
+    The index is snapped to 12 decimals: cells whose scores weigh the same then have the same
+    index, whatever the last bits of the sum, and fall on the same side of a class bound.
+    """
+    known = {k: c for k, c in columns.items() if k in weights}
     if not known:
         raise ValueError("no criterion of the registry is present")
     total = sum(weights[k] for k in known)
     if total <= 0.0:
         raise ValueError("the weights of the present criteria sum to zero")
     shares = {k: weights[k] / total for k in known}
-    weighted = [F.lit(shares[k]) * F.coalesce(c, F.lit(0.0)) for k, c in known.items()]
-    carried = [F.when(c.isNotNull(), F.lit(shares[k])).otherwise(F.lit(0.0)) for k, c in known.items()]
-    used = reduce(lambda a, b: a + b, carried)
-    return reduce(lambda a, b: a + b, weighted) / F.nullif(used, F.lit(0.0))
+    weighted = " + ".join(f"{shares[k]!r}D * coalesce({c}, 0.0D)" for k, c in known.items())
+    carried = " + ".join(f"IF({c} IS NULL, 0.0D, {shares[k]!r}D)" for k, c in known.items())
+    return f"rint(({weighted}) / nullif({carried}, 0.0D) * {SNAP!r}D) / {SNAP!r}D"
+
+
+def score_columns(columns: list[str], registry: Registry) -> dict[str, str]:
+    return {c.key: score_name(c.key) for c in registry.criteria if score_name(c.key) in columns}
 
 
 def with_lsi(scored: DataFrame, registry: Registry, weights: dict[str, float] | None = None) -> DataFrame:
-    keys = [c.key for c in registry.criteria if score_name(c.key) in scored.columns]
-    columns = {k: F.col(score_name(k)) for k in keys}
-    return scored.withColumn("lsi", overlay(columns, weights or registry.global_weights()))
+    text = overlay_text(score_columns(scored.columns, registry), weights or registry.global_weights())
+    return scored.selectExpr("*", f"{text} AS lsi")
 
 
 def missing_criteria(columns: list[str], registry: Registry) -> list[str]:
@@ -57,7 +63,7 @@ def equal_interval_bounds(df: DataFrame, keys: list[str], value: str = "lsi", cl
 
 def quantile_bounds(df: DataFrame, keys: list[str], value: str = "lsi", classes: int = CLASS_COUNT) -> DataFrame:
     """The inner class bounds as an array, from exact quantiles of the non-missing values."""
-    found = quantiles(df, keys, value, [i / classes for i in range(1, classes)])
+    found = quantiles(df, keys, value, [i * (1.0 / classes) for i in range(1, classes)])
     return found.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("q", "threshold"))), lambda s: s["threshold"]).alias("bounds")
     )
@@ -196,10 +202,10 @@ def overlay_scenarios(scored: DataFrame, registry: Registry, scenarios: dict[str
     """
     if not 0 < len(scenarios) <= MAX_SCENARIOS:
         raise ValueError(f"between 1 and {MAX_SCENARIOS} scenarios are needed")
-    columns = {c.key: F.col(score_name(c.key)) for c in registry.criteria if score_name(c.key) in scored.columns}
+    columns = score_columns(scored.columns, registry)
     rows = F.array(
         *(
-            F.struct(F.lit(name).alias("scenario_id"), overlay(columns, weights).alias("lsi"))
+            F.struct(F.lit(name).alias("scenario_id"), F.expr(overlay_text(columns, weights)).alias("lsi"))
             for name, weights in scenarios.items()
         )
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralux.functions.bind import bind
+
 # Random index for n = 1..10, acceptance limit, iteration limits, tolerances.
 RANDOM_INDEX = (0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49)
 MAX_CR = 0.10
@@ -52,15 +54,15 @@ def with_faults(folded: DataFrame) -> DataFrame:
     whole = (F.col("cells") == n * n) & (F.size("m") == n * n)
     diagonal = F.exists(_index(n), lambda i: F.abs(_at(i, i) - 1.0) > DIAGONAL_TOLERANCE)
     reciprocal = _any_pair(lambda i, j: F.abs(_at(i, j) * _at(j, i) - 1.0) > RECIPROCAL_TOLERANCE)
-    return folded.withColumn(
-        "fault",
+    fault = (
         F.when(n < MIN_SIZE, F.lit("too_small"))
         .when(n > MAX_SIZE, F.lit("too_large"))
         .when(~whole, F.lit("not_square"))
         .when(F.exists("m", lambda a: a <= 0.0), F.lit("not_positive"))
         .when(diagonal, F.lit("diagonal"))
-        .when(reciprocal, F.lit("not_reciprocal")),
+        .when(reciprocal, F.lit("not_reciprocal"))
     )
+    return bind(folded, {"fault": fault})
 
 
 def _sum(values: Column) -> Column:
@@ -83,14 +85,10 @@ def with_weights(valid: DataFrame) -> DataFrame:
     """Weights by power iteration, largest eigenvalue, consistency index and ratio."""
     index = _index(F.col("n"))
     columns = F.transform(index, lambda j: _sum(F.transform(index, lambda i: _at(i, j))))
-    started = valid.withColumn("_colsum", columns).withColumn(
-        "_w0",
-        _unit(
-            F.transform(
-                index, lambda i: _sum(F.transform(index, lambda j: _at(i, j) / F.element_at("_colsum", (j + 1).cast("int")))) / F.col("n")
-            )
-        ),
+    means = F.transform(
+        index, lambda i: _sum(F.transform(index, lambda j: _at(i, j) / F.element_at("_colsum", (j + 1).cast("int")))) / F.col("n")
     )
+    started = bind(bind(valid, {"_colsum": columns}), {"_w0": _unit(means)})
 
     def step(state: Column, _: Column) -> Column:
         moved = F.transform(
@@ -111,8 +109,7 @@ def with_weights(valid: DataFrame) -> DataFrame:
     ri = F.element_at(F.array(*(F.lit(v) for v in RANDOM_INDEX)), F.col("n").cast("int"))
     ratio = _sum(F.zip_with(_times(F.col("weights")), F.col("weights"), lambda a, w: F.when(w > 1e-15, a / w).otherwise(F.lit(0.0))))
     return (
-        started.withColumn("weights", settled)
-        .withColumn("lambda_max", ratio / F.col("n"))
+        bind(bind(started, {"weights": settled}), {"lambda_max": ratio / F.col("n")})
         .withColumn("ci", (F.col("lambda_max") - F.col("n")) / (F.col("n") - 1))
         .withColumn("cr", F.when(ri > 0.0, F.col("ci") / ri).otherwise(F.lit(0.0)))
         .withColumn("consistent", F.col("cr") <= MAX_CR)
@@ -141,7 +138,7 @@ def with_worst_triple(valid: DataFrame) -> DataFrame:
         )
 
     worst = F.array_min(F.array_compact(F.flatten(F.transform(index, triples))))
-    return valid.withColumn("_t", worst).withColumns(
+    return bind(valid, {"_t": worst}).withColumns(
         {"worst_i": F.col("_t.i"), "worst_j": F.col("_t.j"), "worst_k": F.col("_t.k")}
     ).drop("_t")
 

@@ -1,7 +1,7 @@
 """Exact quantiles per scene without gathering a scene in one task.
 
 ``percentile`` merges every distinct value of a group in one buffer. Here values are
-first counted (map-side combined), then located by a histogram over their range: only
+first counted (map-side combined) and written, so the plan above runs once, then located by a histogram over their range: only
 the bins that hold a wanted rank are looked into, twice, so the last, sorted step sees
 at most a 2^-20 slice of a scene's value range per wanted rank.
 """
@@ -12,14 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terralux.session import cut
+
 BINS = 1024
 
+# Up to this many distinct values in all, one built-in aggregate over the counts is bounded.
+FEW_VALUES = 200_000
 
-def quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
-    """(*keys, q BIGINT, threshold DOUBLE): linear interpolation between order statistics."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(
-        F.count("*").alias("n")
-    )
+
+def quantiles(
+    df: DataFrame, keys: list[str], value: str, fractions: list[float], few_values: int = FEW_VALUES
+) -> DataFrame:
+    """(*keys, q INT, threshold DOUBLE): linear interpolation between order statistics."""
+    # Missing values are dropped after the cut: a filter on a computed column before it would
+    # pull the column's whole expression into the scan.
+    counted = cut(
+        df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(value).alias("n")), "counts"
+    ).filter("n > 0")
+    if counted.limit(few_values + 1).count() <= few_values:
+        points = F.array(*(F.lit(float(f)) for f in fractions))
+        return counted.groupBy(*keys).agg(F.percentile("v", points, F.col("n")).alias("p")).select(
+            *keys, F.posexplode("p").alias("q", "threshold")
+        )
     span = counted.groupBy(*keys).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
     )

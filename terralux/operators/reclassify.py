@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralux.functions.units import to_criterion_unit
+from terralux.functions.units import DAYS_PER_YEAR, needs_daily
 from terralux.registry import Criterion, Registry
 
 # Aspect codes 0..8.
@@ -52,20 +52,45 @@ def aspect_label(code: Column) -> Column:
     )
 
 
-def score_column(criterion: Criterion, column: Column, numeric: bool = True, data_unit: str | None = None) -> Column:
-    """One layer to its score; unit first (P3), then bands or codes."""
+def _double(value: float) -> str:
+    return "CAST('Infinity' AS DOUBLE)" if value == float("inf") else f"{value!r}D"
+
+
+def value_text(criterion: Criterion, layer: str, data_unit: str | None = None) -> str:
+    """A banded layer in the criterion's unit, as SQL: metres to kilometres, annual to daily."""
+    unit = criterion.layer_unit if data_unit is None else data_unit
+    text = f"CAST({layer} AS DOUBLE)"
+    if criterion.to_unit != 1.0:
+        text = f"{text} / {_double(round(1.0 / criterion.to_unit, 9))}"
+    if needs_daily(unit or "", criterion.unit):
+        text = f"{text} / {_double(DAYS_PER_YEAR)}"
+    return text
+
+
+def score_text(criterion: Criterion, layer: str, numeric: bool = True, data_unit: str | None = None) -> str:
+    """The score of one layer as SQL text: unit first (P3), then bands (P1) or codes.
+
+    Text, because a registry makes a few hundred small expressions: parsing one string is
+    much faster on the driver than building them column by column.
+    """
     if criterion.bands:
-        unit = data_unit if data_unit is not None else criterion.layer_unit
-        value = column.cast("double")
-        if criterion.to_unit == 0.001:
-            value = value / F.lit(1000.0)
-        elif criterion.to_unit != 1.0:
-            value = value * F.lit(criterion.to_unit)
-        value = to_criterion_unit(value, F.lit(unit or ""), F.lit(criterion.unit))
-        return band_score(value, criterion.bands)
-    if criterion.key == "aspect":
-        return code_score(aspect_label(column), criterion.codes)
-    return code_score(code_text(column, numeric), criterion.codes)
+        value = value_text(criterion, layer, data_unit)
+        arms = " ".join(f"WHEN {value} <= {_double(hi)} THEN {_double(s)}" for hi, s in criterion.bands)
+    elif criterion.key == "aspect":
+        scores = [criterion.codes.get(name, 0.0) for name in ASPECT_LABELS]
+        arms = " ".join(f"WHEN {layer} = {code} THEN {_double(s)}" for code, s in enumerate(scores))
+        # codes outside the table count as flat
+        arms += f" WHEN {layer} NOT BETWEEN 0 AND {len(scores) - 1} THEN {_double(scores[0])}"
+    else:
+        value = f"CAST({layer} AS INT)" if numeric else layer
+        quote = "" if numeric else "'"
+        arms = " ".join(f"WHEN {value} = {quote}{c}{quote} THEN {_double(s)}" for c, s in criterion.codes.items())
+    return f"CASE WHEN {layer} IS NULL THEN CAST(NULL AS DOUBLE) {arms} ELSE 0.0D END"
+
+
+def score_column(criterion: Criterion, layer: str, numeric: bool = True, data_unit: str | None = None) -> Column:
+    """P4 as a column."""
+    return F.expr(score_text(criterion, layer, numeric, data_unit))
 
 
 def score_name(key: str) -> str:
@@ -81,33 +106,25 @@ def present_criteria(columns: list[str], registry: Registry) -> list[Criterion]:
 def with_scores(cells: DataFrame, registry: Registry) -> DataFrame:
     """P5: one score column per criterion whose layer is present, in a single projection."""
     types = dict(cells.dtypes)
-    return cells.withColumns(
-        {
-            score_name(c.key): score_column(c, F.col(c.layer), numeric=types[c.layer] != "string")
-            for c in present_criteria(cells.columns, registry)
-        }
-    )
+    texts = [
+        f"{score_text(c, c.layer, types[c.layer] != 'string')} AS {score_name(c.key)}"
+        for c in present_criteria(cells.columns, registry)
+    ]
+    return cells.selectExpr("*", *texts)
 
 
 def long_layers(cells: DataFrame, registry: Registry, keys: list[str]) -> DataFrame:
-    """Unpivot layers to (scene_id, row, col, key, value, code) for table-driven scoring."""
+    """Unpivot layers to (…keys, key, value, code) for table-driven scoring."""
     types = dict(cells.dtypes)
     entries = []
-    for criterion in present_criteria(cells.columns, registry):
-        layer = F.col(criterion.layer)
-        text = types[criterion.layer] == "string"
-        value = F.lit(None).cast("double") if text else layer.cast("double")
-        if criterion.to_unit == 0.001:
-            value = value / F.lit(1000.0)
-        value = to_criterion_unit(value, F.lit(criterion.layer_unit or ""), F.lit(criterion.unit))
-        code = aspect_label(layer) if criterion.key == "aspect" else code_text(layer, not text)
-        entries.append(
-            F.struct(
-                F.lit(criterion.key).alias("key"),
-                value.alias("value"),
-                (F.lit(None).cast("string") if criterion.bands else code).alias("code"),
-            )
-        )
+    for c in present_criteria(cells.columns, registry):
+        if c.bands:
+            entries.append(F.struct(F.lit(c.key).alias("key"), F.expr(value_text(c, c.layer)).alias("value"),
+                                    F.lit(None).cast("string").alias("code")))
+        else:
+            text = types[c.layer] == "string"
+            code = aspect_label(F.col(c.layer)) if c.key == "aspect" else code_text(F.col(c.layer), not text)
+            entries.append(F.struct(F.lit(c.key).alias("key"), F.lit(None).cast("double").alias("value"), code.alias("code")))
     return cells.select(*keys, F.inline(F.array(*entries)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralux import schema
+from terralux.functions.bind import bind
 from terralux.functions.units import wind_to_ms
 from terralux.session import null_for_nan
 
@@ -37,16 +38,16 @@ def parse_areas(docs: DataFrame, id_column: str = "aoi_id", text: str = "text")
 
     ``doc_fault`` names why a document holds no usable outline; polygons are NULL then.
     """
-    doc = docs.select(id_column, F.from_json(text, schema.AOI_DOC).alias("d"))
+    doc = bind(docs.select(id_column, text), {"d": F.from_json(text, schema.AOI_DOC)})
     bare = F.struct(F.col("d.type").alias("type"), F.col("d.coordinates").alias("coordinates"))
     first = F.try_element_at("d.features", F.lit(1))
     geometry = (
-        F.when(F.col("d.type") == "FeatureCollection", F.when(first["type"] == "Feature", first["geometry"]).otherwise(first["geometry"]))
+        F.when(F.col("d.type") == "FeatureCollection", first["geometry"])
         .when(F.col("d.type") == "Feature", F.col("d.geometry"))
         .otherwise(bare)
     )
     size = F.size(F.coalesce("d.features", F.array().cast("array<struct<type:string,geometry:struct<type:string,coordinates:string>>>")))
-    opened = doc.withColumns({"g": geometry, "_features": size})
+    opened = bind(doc, {"g": geometry, "_features": size})
     polygons = (
         F.when(
             F.col("g.type") == "Polygon",
@@ -57,7 +58,7 @@ def parse_areas(docs: DataFrame, id_column: str = "aoi_id", text: str = "text")
             F.transform(F.from_json(F.col("g.coordinates"), schema.MULTIPOLYGON_COORDS), _closed_points),
         )
     )
-    shaped = opened.withColumn("polygons", polygons)
+    shaped = bind(opened, {"polygons": polygons})
     short = F.exists(F.flatten("polygons"), lambda ring: F.size(ring) < 4)
     fault = (
         F.when(F.col("d").isNull() | F.col("d.type").isNull(), F.lit("not_geojson"))
@@ -66,7 +67,7 @@ def parse_areas(docs: DataFrame, id_column: str = "aoi_id", text: str = "text")
         .when(~F.col("g.type").isin("Polygon", "MultiPolygon"), F.lit("unsupported_type"))
         .when(F.col("polygons").isNull() | F.coalesce(short, F.lit(True)), F.lit("bad_coordinates"))
     )
-    return shaped.withColumn("doc_fault", fault).select(
+    return bind(shaped, {"doc_fault": fault}).select(
         id_column, F.when(F.col("doc_fault").isNull(), F.col("polygons")).alias("polygons"), "doc_fault"
     )
 

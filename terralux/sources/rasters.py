@@ -32,17 +32,9 @@ def elevation_pixels(tiles: DataFrame, value: str = "value") -> DataFrame:
 
 def read_tiles(spark: SparkSession, path: str, covering: DataFrame) -> DataFrame:
     """Pixels of the covering tiles. The path is partitioned by tile_lat and tile_lon,
-    so the join prunes partitions."""
-    return spark.read.parquet(path).join(
-        F.broadcast(covering.select("tile_lat", "tile_lon").distinct()), ["tile_lat", "tile_lon"], "left_semi"
-    ) if _few(covering) else spark.read.parquet(path).join(
-        covering.select("tile_lat", "tile_lon").distinct(), ["tile_lat", "tile_lon"], "left_semi"
-    )
-
-
-def _few(covering: DataFrame) -> bool:
-    """There are at most 64,800 one-degree tiles; still, only a checked small set is broadcast."""
-    return covering.select("tile_lat", "tile_lon").distinct().limit(10_001).count() <= 10_000
+    so the join prunes partitions at run time."""
+    tiles = covering.select("tile_lat", "tile_lon").distinct()
+    return spark.read.parquet(path).join(tiles, ["tile_lat", "tile_lon"], "left_semi")
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -36,18 +36,16 @@ base AS (
 
 
 def base_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    grid = table(spark, sf_dir, "orders").select(
-        k.alias("k"), F.expr("o_orderkey div 100").alias("gr"), (k % 100).alias("gc")
+    grid = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k", "o_orderkey div 100 AS gr", "o_orderkey % 100 AS gc"
     )
-    hot = F.col("gc") < 34
-    return grid.select(
+    return grid.selectExpr(
         "k",
         "gr",
         "gc",
-        F.when(hot, F.lit("s0")).otherwise(F.concat(F.lit("s"), F.expr("1 + gr div 50").cast("string"))).alias("scene_id"),
-        F.when(hot, F.col("gr")).otherwise(F.col("gr") % 50).cast("int").alias("row"),
-        F.when(hot, F.col("gc")).otherwise(F.col("gc") - 34).cast("int").alias("col"),
+        "IF(gc < 34, 's0', concat('s', CAST(1 + gr div 50 AS STRING))) AS scene_id",
+        "CAST(IF(gc < 34, gr, gr % 50) AS INT) AS row",
+        "CAST(IF(gc < 34, gc, gc - 34) AS INT) AS col",
     )
 
 
@@ -83,14 +81,14 @@ def _spark_text(expression: str) -> str:
 def _duck_text(expression: str) -> str:
     lulc = "[" + ",".join(map(str, LAND_COVER)) + "]"
     cap = "[" + ",".join(f"'{c}'" for c in CAPABILITY) + "]"
-    return expression.replace("ARRAY_LULC", lulc).replace("ARRAY_CAP", cap).replace(" DIV ", " // ")
+    return expression.replace("ARRAY_LULC", lulc).replace("ARRAY_CAP", cap).replace(" DIV ", " // ").replace("element_at(", "list_extract(")
 
 
 def cells(spark: SparkSession, sf_dir: str, *layers: str) -> DataFrame:
     """Cells with the asked layers (all by default)."""
     names = layers or tuple(LAYERS)
     base = base_cells(spark, sf_dir)
-    return base.select("scene_id", "row", "col", *(F.expr(_spark_text(LAYERS[n])).alias(n) for n in names))
+    return base.selectExpr("scene_id", "row", "col", *(f"{_spark_text(LAYERS[n])} AS {n}" for n in names))
 
 
 def cells_sql(*layers: str, keep_base: bool = False) -> str:
