@@ -590,7 +590,7 @@ def j10_nearest_feature_distance(spark, sf_dir):
 
 MASK_SQL = "mask AS (SELECT scene_id, row, col, lsi, x, y, dist_power FROM classed WHERE lsi_class IN (5, 4))"
 REGION_SQL = """
-nodes AS (SELECT scene_id, row, col, row * 16777216 + col AS p, scene_id || ':' || (row * 16777216 + col) AS id FROM mask),
+nodes AS (SELECT scene_id, row, col, row::BIGINT * 16777216 + col AS p, scene_id || chr(58) || (row::BIGINT * 16777216 + col) AS id FROM mask),
 links AS (SELECT a.id AS u, b.id AS v FROM nodes a JOIN (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) t(dr, dc)) o ON true
   JOIN nodes b ON b.scene_id = a.scene_id AND b.row = a.row + o.dr AND b.col = a.col + o.dc),
 cc(id, p) USING KEY (id) AS (SELECT id, p FROM nodes UNION
@@ -813,9 +813,9 @@ def c19_line_cells(spark, sf_dir):
   JOIN (SELECT scene_id, max(col) AS w, max(row) AS h FROM base GROUP BY 1) g USING (scene_id)
   LEFT JOIN classed c ON c.scene_id = t.scene_id AND c.col = greatest(0, least(CAST(floor((cx - {MINX}) / 500) AS INTEGER), g.w)) AND c.row = greatest(0, least(CAST(floor(({MAXY} - cy) / 500) AS INTEGER), g.h))
   JOIN (SELECT scene_id, avg(ghi_annual) AS g FROM classed GROUP BY 1) a ON a.scene_id = t.scene_id),
-e AS (SELECT *, greatest(0, ghi * 0.75) AS y FROM sg)
-SELECT scene_id, CAST(site_id AS BIGINT) AS site_id, CAST(rank AS INTEGER) AS rank, CAST(area_km2 AS DOUBLE) AS area_km2, round(y, 1) AS kwh_per_kwp_yr, round(CAST(y * (area_km2 * 45) / 1000 AS DOUBLE), 3) AS gwh_per_yr,
-  round((1000 * (0.07 * power(1.07, 25) / (power(1.07, 25) - 1)) + 17) / y, 5) AS lcoe, round(CAST(area_km2 * 45 AS DOUBLE), 2) AS capacity_mwp, 'ghi_pr_offline' AS energy_method FROM e""",
+e AS (SELECT *, greatest(0, ghi * 0.75) AS yy FROM sg)
+SELECT scene_id, CAST(site_id AS BIGINT) AS site_id, CAST(rank AS INTEGER) AS rank, CAST(area_km2 AS DOUBLE) AS area_km2, round(yy, 1) AS kwh_per_kwp_yr, round(CAST(yy * (area_km2 * 45) / 1000 AS DOUBLE), 3) AS gwh_per_yr,
+  round((1000 * (0.07 * power(1.07, 25) / (power(1.07, 25) - 1)) + 17) / yy, 5) AS lcoe, round(CAST(area_km2 * 45 AS DOUBLE), 2) AS capacity_mwp, 'ghi_pr_offline' AS energy_method FROM e""",
 )
 def r9_site_selection_pipeline(spark, sf_dir):
     """Layers to scores, classes, regions, ranked sites and energy, for every scene."""
