@@ -1,9 +1,14 @@
-"""Cost-of-energy and cashflow arithmetic; every loop is a higher-order function inside its row."""
+"""Cost-of-energy and cashflow arithmetic; short loops are higher-order functions inside the row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Utility-scale assumptions and the IRR search.
 PACKING_MWP_PER_KM2 = 45.0
@@ -46,35 +51,78 @@ def present_value(flows: Column, rate: Column) -> Column:
     return F.aggregate(F.reverse(flows), F.lit(0.0), lambda acc, cash: acc / (1.0 + rate) + cash)
 
 
+def _bisect(value_at: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """P31 for a whole batch: each row is halved until its value is within tolerance.
+
+    NaN where the value has no sign change over the bracket.
+    """
+    lo, hi = np.full(size, IRR_BRACKET[0]), np.full(size, IRR_BRACKET[1])
+    at_lo, at_hi = value_at(lo), value_at(hi)
+    found = np.where(at_lo == 0.0, lo, np.nan)
+    defined = at_lo * at_hi <= 0.0
+    for _ in range(IRR_STEPS):
+        mid = (lo + hi) / 2.0
+        at_mid = value_at(mid)
+        found = np.where(np.isnan(found) & (np.abs(at_mid) < IRR_TOLERANCE), mid, found)
+        if not (defined & np.isnan(found)).any():
+            break
+        left = at_lo * at_mid < 0.0
+        lo, at_lo = np.where(left, lo, mid), np.where(left, at_lo, at_mid)
+        hi = np.where(left, mid, hi)
+    rate = np.where(np.isnan(found), (lo + hi) / 2.0, found)
+    return np.where(defined | (at_lo == 0.0), rate, np.nan)
+
+
+@F.pandas_udf(T.DoubleType())
+def _level_irr(net_cost: pd.Series, savings: pd.Series, degradation: pd.Series, years: pd.Series) -> pd.Series:
+    cost, earned = net_cost.to_numpy(dtype=float), savings.to_numpy(dtype=float)
+    kept, n = 1.0 - degradation.to_numpy(dtype=float), years.to_numpy(dtype=float)
+
+    def value_at(rate: np.ndarray) -> np.ndarray:
+        ratio = kept / (1.0 + rate)
+        level = np.abs(ratio - 1.0) < 1e-12
+        series = np.where(level, n, (1.0 - ratio**n) / np.where(level, 1.0, 1.0 - ratio))
+        return earned / (1.0 + rate) * series - cost
+
+    with np.errstate(all="ignore"):
+        rate = pd.Series(_bisect(value_at, len(cost)))
+    return rate.astype(object).where(rate.notna(), None)
+
+
+@F.pandas_udf(T.DoubleType())
+def _flows_irr(flows: pd.Series) -> pd.Series:
+    out = np.full(len(flows), np.nan)
+    lengths = flows.map(lambda f: -1 if f is None else len(f)).to_numpy()
+    for length in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == length)
+        cash = np.stack(flows.iloc[rows].to_numpy())
+
+        def value_at(rate: np.ndarray, cash: np.ndarray = cash) -> np.ndarray:
+            total = np.zeros(len(rate))
+            for t in range(cash.shape[1] - 1, -1, -1):
+                total = total / (1.0 + rate) + cash[:, t]
+            return total
+
+        out[rows] = _bisect(value_at, len(rows))
+    rate = pd.Series(out)
+    return rate.astype(object).where(rate.notna(), None)
+
+
+# Bisection runs over Arrow batches: a hundred dependent steps per row are far slower as
+# higher-order functions, which Spark interprets. Marked non-deterministic so that a filter
+# on a result never repeats the call.
+_level_irr = _level_irr.asNondeterministic()
+_flows_irr = _flows_irr.asNondeterministic()
+
+
+def level_irr(net_cost: Column, savings: Column, degradation: Column, years: Column) -> Column:
+    """P31 for the cash of ``yearly_flows``, whose present value is a geometric series."""
+    return _level_irr(net_cost, savings, degradation, years.cast("double"))
+
+
 def irr(flows: Column) -> Column:
-    """Bisection for the rate with zero present value; NULL without a sign change."""
-    low, high = (F.lit(b) for b in IRR_BRACKET)
-
-    def state(lo: Column, hi: Column, f_lo: Column, found: Column) -> Column:
-        return F.struct(lo.alias("lo"), hi.alias("hi"), f_lo.alias("f_lo"), found.alias("found"))
-
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2.0
-        # Present value at the midpoint is needed four times, so it is bound once.
-        probed = F.transform(
-            F.array(F.struct(mid.alias("m"), present_value(flows, mid).alias("f"))),
-            lambda p: F.when(
-                F.abs(p["f"]) < IRR_TOLERANCE, state(s["lo"], s["hi"], s["f_lo"], p["m"])
-            )
-            .when(s["f_lo"] * p["f"] < 0.0, state(s["lo"], p["m"], s["f_lo"], s["found"]))
-            .otherwise(state(p["m"], s["hi"], p["f"], s["found"])),
-        )
-        return F.when(s["found"].isNotNull(), s).otherwise(probed[0])
-
-    start = state(low, high, present_value(flows, low), F.lit(None).cast("double"))
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(IRR_STEPS)),
-        start,
-        step,
-        lambda s: F.coalesce(s["found"], (s["lo"] + s["hi"]) / 2.0),
-    )
-    at_low, at_high = present_value(flows, low), present_value(flows, high)
-    return F.when(at_low == 0.0, low).when(at_low * at_high <= 0.0, found)
+    """P31 for any flows: the rate with zero present value; NULL without a sign change."""
+    return _flows_irr(flows)
 
 
 def degraded_lifetime(annual: Column, degradation: Column, years: Column) -> Column:

@@ -1,13 +1,16 @@
 """Weights from expert comparison matrices (P45-P48), many matrices at once.
 
-A matrix has at most ten criteria, so it is folded into one row and everything after that
-is a higher-order function: no iteration leaves the row.
+A matrix has at most ten criteria, so it is folded into one row; checks are higher-order
+functions inside it and the power iteration runs over Arrow batches of rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terralux.functions.bind import bind
 
@@ -77,43 +80,48 @@ def _times(w: Column) -> Column:
     )
 
 
-def _unit(v: Column) -> Column:
-    return F.transform(F.array(F.struct(v.alias("v"), _sum(v).alias("s"))), lambda b: F.transform(b["v"], lambda x: x / b["s"]))[0]
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _power_weights(m: pd.Series, n: pd.Series) -> pd.Series:
+    """Power iteration over an Arrow batch, all matrices of one size at a time.
+
+    A matrix stops at its own first step below the tolerance.
+    """
+    out = pd.Series([None] * len(m), dtype=object)
+    sizes = n.to_numpy()
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        a = np.stack(m.iloc[rows].to_numpy()).reshape(len(rows), size, size)
+        w = (a / a.sum(axis=1, keepdims=True)).mean(axis=2)
+        w /= w.sum(axis=1, keepdims=True)
+        moving = np.arange(len(rows))
+        for _ in range(STEPS):
+            new = np.einsum("bij,bj->bi", a[moving], w[moving])
+            new /= new.sum(axis=1, keepdims=True)
+            settled = np.abs(new - w[moving]).max(axis=1) < STEP_TOLERANCE
+            w[moving] = new
+            moving = moving[~settled]
+            if not moving.size:
+                break
+        for row, weights in zip(rows, w, strict=True):
+            out.iloc[row] = weights
+    return out
+
+
+# Hundreds of dependent steps: batched, because Spark interprets higher-order functions.
+# Non-deterministic, so that a filter on a result never repeats the call.
+_power_weights = _power_weights.asNondeterministic()
 
 
 def with_weights(valid: DataFrame) -> DataFrame:
     """Weights by power iteration, largest eigenvalue, consistency index and ratio."""
-    index = _index(F.col("n"))
-    columns = F.transform(index, lambda j: _sum(F.transform(index, lambda i: _at(i, j))))
-    means = F.transform(
-        index, lambda i: _sum(F.transform(index, lambda j: _at(i, j) / F.element_at("_colsum", (j + 1).cast("int")))) / F.col("n")
-    )
-    started = bind(bind(valid, {"_colsum": columns}), {"_w0": _unit(means)})
-
-    def step(state: Column, _: Column) -> Column:
-        moved = F.transform(
-            F.array(_unit(_times(state["w"]))),
-            lambda w: F.struct(
-                w.alias("w"),
-                (F.array_max(F.zip_with(w, state["w"], lambda a, b: F.abs(a - b))) < STEP_TOLERANCE).alias("done"),
-            ),
-        )
-        return F.when(state["done"], state).otherwise(moved[0])
-
-    settled = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)),
-        F.struct(F.col("_w0").alias("w"), F.lit(False).alias("done")),
-        step,
-        lambda s: s["w"],
-    )
+    settled = _power_weights(F.col("m"), F.col("n"))
     ri = F.element_at(F.array(*(F.lit(v) for v in RANDOM_INDEX)), F.col("n").cast("int"))
     ratio = _sum(F.zip_with(_times(F.col("weights")), F.col("weights"), lambda a, w: F.when(w > 1e-15, a / w).otherwise(F.lit(0.0))))
     return (
-        bind(bind(started, {"weights": settled}), {"lambda_max": ratio / F.col("n")})
+        bind(valid.withColumn("weights", settled), {"lambda_max": ratio / F.col("n")})
         .withColumn("ci", (F.col("lambda_max") - F.col("n")) / (F.col("n") - 1))
         .withColumn("cr", F.when(ri > 0.0, F.col("ci") / ri).otherwise(F.lit(0.0)))
         .withColumn("consistent", F.col("cr") <= MAX_CR)
-        .drop("_colsum", "_w0")
     )
 
 

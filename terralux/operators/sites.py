@@ -19,6 +19,9 @@ TOP_CLASSES = (5,)
 MIN_AREA_KM2 = 0.5
 TOP_K = 10
 
+# Up to this many pieces in all, one window per scene is bounded.
+FEW_PIECES = 1_000_000
+
 PIECE = ["first_row", "first_col", "tile_r", "tile_c"]
 
 
@@ -79,8 +82,14 @@ def split_regions(mask: DataFrame, grids: DataFrame, max_area_km2: float | None,
     )
 
 
-def number_pieces(pieces: DataFrame) -> DataFrame:
-    """1-based site_id in raster order of regions, then of tiles."""
+def number_pieces(pieces: DataFrame, few_pieces: int = FEW_PIECES) -> DataFrame:
+    """1-based site_id in raster order of regions, then of tiles.
+
+    A counted small table is numbered by one window per scene, a larger one level by level.
+    """
+    if pieces.limit(few_pieces + 1).count() <= few_pieces:
+        line = W.partitionBy("scene_id").orderBy(*PIECE)
+        return pieces.withColumn("site_id", F.row_number().over(line).cast("bigint"))
     return hierarchical_row_number(pieces, ["scene_id"], PIECE, "site_id")
 
 
@@ -142,15 +151,17 @@ def extract_with_cells(
     top_k: int | None = TOP_K,
     strict: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """R8 plus the member cells of the returned sites (scene_id, site_id, row, col)."""
+    """R8 plus the member cells of the returned sites (scene_id, site_id, row, col).
+
+    ``cells`` is read more than once, so it should be a stored table.
+    """
     needed = ["lsi", "lsi_class", "x", "y"]
     missing = [c for c in needed if c not in cells.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     values = ["lsi", "x", "y", *(["dist_power"] if "dist_power" in cells.columns else [])]
-    mask = cut(top_class_mask(cells, classes).select("scene_id", "row", "col", *values), "mask")
-    pieces = split_regions(mask.select("scene_id", "row", "col"), grids, max_site_area_km2, strict)
-    member = cut(pieces, "pieces")
+    mask = top_class_mask(cells, classes).select("scene_id", "row", "col", *values)
+    member = split_regions(mask.select("scene_id", "row", "col"), grids, max_site_area_km2, strict)
     stats = cut(site_statistics(member.join(mask, ["scene_id", "row", "col"]), grids), "sites")
     large = number_pieces(stats).filter(F.col("area_km2") >= min_area_km2)
     ranked = with_lonlat(rank_sites(large, top_k), "centroid_x", "centroid_y", "epsg", "centroid_lon", "centroid_lat")

@@ -479,7 +479,7 @@ PLACE_SQL = """pl AS (SELECT s_nationkey AS query_id, row_number() OVER (PARTITI
   CASE WHEN s_suppkey % 4 = 0 THEN 'City' || (s_suppkey % 3) END AS city, 'State' || (s_suppkey % 6) AS state, CASE WHEN s_suppkey % 10 = 0 THEN s_name ELSE 'Country' || s_nationkey END AS country,
   CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 60 AS DOUBLE) / 10 END AS ext FROM supplier),
 sc AS (SELECT *, CASE WHEN osm_key = 'place' THEN CASE osm_value WHEN 'city' THEN 60 WHEN 'town' THEN 40 WHEN 'village' THEN 30 WHEN 'hamlet' THEN 20 WHEN 'locality' THEN 10 WHEN 'borough' THEN 40 ELSE 0 END
-  WHEN osm_key = 'boundary' THEN 8 WHEN osm_key IN ('highway', 'building') THEN -5 ELSE 0 END + coalesce(least(ext * 2, 25), 0) AS score FROM pl WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND name <> '')"""
+  WHEN osm_key = 'boundary' THEN 8 WHEN osm_key IN ('highway', 'building') THEN -5 ELSE 0 END + CASE WHEN ext IS NULL THEN 0 ELSE least(ext * 2, 25) END AS score FROM pl WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND name <> '')"""
 
 
 def candidates(spark, sf_dir):
