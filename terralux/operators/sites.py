@@ -82,12 +82,13 @@ def split_regions(mask: DataFrame, grids: DataFrame, max_area_km2: float | None,
     )
 
 
-def number_pieces(pieces: DataFrame, few_pieces: int = FEW_PIECES) -> DataFrame:
+def number_pieces(pieces: DataFrame, few_pieces: int | None = None) -> DataFrame:
     """1-based site_id in raster order of regions, then of tiles.
 
     A counted small table is numbered by one window per scene, a larger one level by level.
     """
-    if pieces.limit(few_pieces + 1).count() <= few_pieces:
+    few = FEW_PIECES if few_pieces is None else few_pieces
+    if pieces.limit(few + 1).count() <= few:
         line = W.partitionBy("scene_id").orderBy(*PIECE)
         return pieces.withColumn("site_id", F.row_number().over(line).cast("bigint"))
     return hierarchical_row_number(pieces, ["scene_id"], PIECE, "site_id")
