@@ -93,8 +93,8 @@ def load_registry(path: str | Path = DEFAULT_PATH) -> Registry:
     return Registry(groups, tuple(criteria), exclusions, {int(k): v for k, v in doc["classes"].items()})
 
 
-def registry_tables(spark: SparkSession, registry: Registry) -> dict[str, DataFrame]:
-    """Groups, criteria, bands, class codes and exclusion rules as tables."""
+def registry_rows(registry: Registry) -> dict[str, tuple[str, list[tuple]]]:
+    """Each registry table as (DDL schema, rows)."""
     bands = [
         (c.key, pos, lo, hi, score)
         for c in registry.criteria
@@ -103,30 +103,28 @@ def registry_tables(spark: SparkSession, registry: Registry) -> dict[str, DataFr
         )
     ]
     return {
-        "groups": spark.createDataFrame(
-            list(registry.groups.items()), "group_key STRING, group_weight DOUBLE"
-        ),
-        "criteria": spark.createDataFrame(
-            [
-                (c.key, c.group, c.weight, c.unit, c.layer, "bands" if c.bands else "codes")
-                for c in registry.criteria
-            ],
+        "groups": ("group_key STRING, group_weight DOUBLE", list(registry.groups.items())),
+        "criteria": (
             "key STRING, group_key STRING, local_weight DOUBLE, unit STRING, layer STRING, kind STRING",
+            [(c.key, c.group, c.weight, c.unit, c.layer, "bands" if c.bands else "codes") for c in registry.criteria],
         ),
-        "breakpoints": spark.createDataFrame(
-            bands, "key STRING, pos INT, lo DOUBLE, hi DOUBLE, score DOUBLE"
-        ),
-        "class_scores": spark.createDataFrame(
-            [(c.key, code, s) for c in registry.criteria for code, s in c.codes.items()],
+        "breakpoints": ("key STRING, pos INT, lo DOUBLE, hi DOUBLE, score DOUBLE", bands),
+        "class_scores": (
             "key STRING, code STRING, score DOUBLE",
+            [(c.key, code, s) for c in registry.criteria for code, s in c.codes.items()],
         ),
-        "exclusions": spark.createDataFrame(
-            [(e.key, e.layer, e.op, None if e.value is None else float(e.value)) for e in registry.exclusions],
+        "exclusions": (
             "key STRING, layer STRING, op STRING, value DOUBLE",
+            [(e.key, e.layer, e.op, None if e.value is None else float(e.value)) for e in registry.exclusions],
         ),
     }
 
 
+def registry_tables(spark: SparkSession, registry: Registry) -> dict[str, DataFrame]:
+    """Groups, criteria, bands, class codes and exclusion rules as tables."""
+    return {name: spark.createDataFrame(rows, ddl) for name, (ddl, rows) in registry_rows(registry).items()}
+
+
 def global_weights(criteria: DataFrame, groups: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Group weight x local weight. ``by`` adds a registry version to the key."""
     keys = [*(by or []), "group_key"]

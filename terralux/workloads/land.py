@@ -130,13 +130,15 @@ cs AS (SELECT s_suppkey AS version, key,
 
 
 def versions(spark, sf_dir):
-    tables = rg.registry_tables(spark, REG)
+    tables = rg.registry_rows(REG)
     owners = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("version"))
     digit = F.col("version") % 10
 
-    def each(rows):
+    def each(table_rows):
         """Every registry row for every owner: the rows travel as one array literal, no join."""
-        items = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in rows.collect()))
+        ddl, rows = table_rows
+        names = [column.split(" ")[0] for column in ddl.split(", ")]
+        items = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))
         return owners.select("version", F.inline(items))
 
     groups = each(tables["groups"]).withColumn(

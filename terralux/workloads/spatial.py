@@ -740,12 +740,12 @@ def r7_simplified_polygons(spark, sf_dir):
 
 # ---- vectors ---------------------------------------------------------------------------
 
-# A quadrilateral per part: corners from keys, in the metric space of scene s0's grid.
+# A quadrilateral per part in one of two scenes; many reach beyond the smaller scene's grid.
 QUAD_SQL = f"""
-qd AS (SELECT p_partkey AS id, {MINX}::DOUBLE + (p_partkey * 37 % 30) * 500 + 100 AS x0, {MAXY}::DOUBLE - (p_partkey * 53 % 140) * 500 - 3300 AS y0,
+qd AS (SELECT 's' || (p_partkey % 2) AS scene_id, p_partkey AS id, {MINX}::DOUBLE + (p_partkey * 37 % 30) * 500 + 100 AS x0, {MAXY}::DOUBLE - (p_partkey * 53 % 140) * 500 - 3300 AS y0,
   700 + p_partkey % 5 * 450 AS w, 600 + p_partkey % 7 * 380 AS h, p_partkey % 3 * 130 AS sk FROM part),
-sides AS (SELECT id, x0 AS xa, y0 AS ya, x0 + w AS xb, y0 + sk AS yb FROM qd UNION ALL SELECT id, x0 + w, y0 + sk, x0 + w + sk, y0 + h FROM qd
-  UNION ALL SELECT id, x0 + w + sk, y0 + h, x0 + sk, y0 + h - 50 FROM qd UNION ALL SELECT id, x0 + sk, y0 + h - 50, x0, y0 FROM qd)"""
+sides AS (SELECT scene_id, id, x0 AS xa, y0 AS ya, x0 + w AS xb, y0 + sk AS yb FROM qd UNION ALL SELECT scene_id, id, x0 + w, y0 + sk, x0 + w + sk, y0 + h FROM qd
+  UNION ALL SELECT scene_id, id, x0 + w + sk, y0 + h, x0 + sk, y0 + h - 50 FROM qd UNION ALL SELECT scene_id, id, x0 + sk, y0 + h - 50, x0, y0 FROM qd)"""
 
 
 def quads(spark, sf_dir):
@@ -754,7 +754,7 @@ def quads(spark, sf_dir):
         f"CAST({MAXY} AS DOUBLE) - (p_partkey * 53 % 140) * 500 - 3300 AS y0",
         "700 + p_partkey % 5 * 450 AS w", "600 + p_partkey % 7 * 380 AS h", "p_partkey % 3 * 130 AS sk",
     ).selectExpr(
-        "'s0' AS scene_id", "area_id", "x0 AS minx", "y0 AS miny", "x0 + w + sk AS maxx", "y0 + h + sk AS maxy",
+        "concat('s', area_id % 2) AS scene_id", "area_id", "x0 AS minx", "y0 AS miny", "x0 + w + sk AS maxx", "y0 + h + sk AS maxy",
         """array(array(named_struct('x', x0, 'y', y0), named_struct('x', x0 + w, 'y', y0 + sk), named_struct('x', x0 + w + sk, 'y', y0 + h),
              named_struct('x', x0 + sk, 'y', y0 + h - 50), named_struct('x', x0, 'y', y0))) AS rings""",
     )
@@ -762,20 +762,20 @@ def quads(spark, sf_dir):
 
 @query(
     "j7_c19_polygon_cells",
-    f"""WITH {cells_sql('x', 'y')},{QUAD_SQL}, hit AS (SELECT c.row, c.col, s.id, count(*) FILTER (WHERE (ya > y) <> (yb > y) AND x < (xb - xa) * (y - ya) / nullif(yb - ya, 0) + xa) AS n
-  FROM cells c JOIN qd q ON c.scene_id = 's0' AND c.x BETWEEN q.x0 - 1 AND q.x0 + q.w + q.sk + 1 AND c.y BETWEEN q.y0 - 1 AND q.y0 + q.h + q.sk + 1 JOIN sides s ON s.id = q.id GROUP BY 1, 2, 3)
-SELECT DISTINCT 's0' AS scene_id, row, col FROM hit WHERE n % 2 = 1""",
+    f"""WITH {cells_sql('x', 'y')},{QUAD_SQL}, hit AS (SELECT c.scene_id, c.row, c.col, s.id, count(*) FILTER (WHERE (ya > y) <> (yb > y) AND x < (xb - xa) * (y - ya) / nullif(yb - ya, 0) + xa) AS n
+  FROM cells c JOIN qd q ON c.scene_id = q.scene_id AND c.x BETWEEN q.x0 - 1 AND q.x0 + q.w + q.sk + 1 AND c.y BETWEEN q.y0 - 1 AND q.y0 + q.h + q.sk + 1 JOIN sides s ON s.id = q.id GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT scene_id, row, col FROM hit WHERE n % 2 = 1""",
 )
 def j7_c19_polygon_cells(spark, sf_dir):
     """Cells inside protected outlines, by scanline fill."""
-    return vectors.protected_cells(quads(spark, sf_dir), grids(spark, sf_dir).filter("scene_id = 's0'"))
+    return vectors.protected_cells(quads(spark, sf_dir), grids(spark, sf_dir))
 
 
 @query(
     "j8_s10_areas_in_boxes",
     f"""WITH {QUAD_SQL}, bx AS (SELECT CAST(s_suppkey AS VARCHAR) AS scene_id, {MINX}::DOUBLE + (s_suppkey * 11 % 30) * 500 AS bx0, {MAXY}::DOUBLE - (s_suppkey * 17 % 140) * 500 AS by0 FROM supplier),
 b AS (SELECT *, bx0 + 1200 AS bx1, by0 + 900 AS by1 FROM bx),
-ov AS (SELECT scene_id, s.id, max(CASE WHEN greatest(xa, xb) >= bx0 AND least(xa, xb) <= bx1 AND greatest(ya, yb) >= by0 AND least(ya, yb) <= by1
+ov AS (SELECT b.scene_id, s.id, max(CASE WHEN greatest(xa, xb) >= bx0 AND least(xa, xb) <= bx1 AND greatest(ya, yb) >= by0 AND least(ya, yb) <= by1
     AND least((xb-xa)*(by0-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by0-ya)-(yb-ya)*(bx1-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx1-xa)) <= 0
     AND greatest((xb-xa)*(by0-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by0-ya)-(yb-ya)*(bx1-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx1-xa)) >= 0 THEN 1 ELSE 0 END) AS touches,
   count(*) FILTER (WHERE (ya > by0) <> (yb > by0) AND bx0 < (xb - xa) * (by0 - ya) / nullif(yb - ya, 0) + xa) AS n FROM b JOIN sides s ON true GROUP BY 1, 2)
@@ -791,17 +791,17 @@ def j8_s10_areas_in_boxes(spark, sf_dir):
 
 @query(
     "c19_line_cells",
-    f"""WITH {QUAD_SQL}, {BASE_SQL},{GRIDS_SQL}, s AS (SELECT CAST(floor((xa - {MINX}) / 500) AS BIGINT) AS u0, CAST(floor(({MAXY} - ya) / 500) AS BIGINT) AS v0, CAST(floor((xb - {MINX}) / 500) AS BIGINT) AS u1, CAST(floor(({MAXY} - yb) / 500) AS BIGINT) AS v1 FROM sides),
+    f"""WITH {QUAD_SQL}, {BASE_SQL},{GRIDS_SQL}, s AS (SELECT scene_id, CAST(floor((xa - {MINX}) / 500) AS BIGINT) AS u0, CAST(floor(({MAXY} - ya) / 500) AS BIGINT) AS v0, CAST(floor((xb - {MINX}) / 500) AS BIGINT) AS u1, CAST(floor(({MAXY} - yb) / 500) AS BIGINT) AS v1 FROM sides),
 st AS (SELECT *, greatest(abs(u1 - u0), abs(v1 - v0)) AS n FROM s), i AS (SELECT *, unnest(range(n + 1)) AS i FROM st),
-cl AS (SELECT DISTINCT CAST(v0 + floor((v1 - v0) * coalesce(i / nullif(n, 0)::DOUBLE, 0) + 0.5) AS INTEGER) AS row, CAST(u0 + floor((u1 - u0) * coalesce(i / nullif(n, 0)::DOUBLE, 0) + 0.5) AS INTEGER) AS col FROM i)
-SELECT 's0' AS scene_id, row, col FROM cl, grids WHERE scene_id = 's0' AND row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1""",
+cl AS (SELECT DISTINCT scene_id, CAST(v0 + floor((v1 - v0) * coalesce(i / nullif(n, 0)::DOUBLE, 0) + 0.5) AS INTEGER) AS row, CAST(u0 + floor((u1 - u0) * coalesce(i / nullif(n, 0)::DOUBLE, 0) + 0.5) AS INTEGER) AS col FROM i)
+SELECT scene_id, row, col FROM cl JOIN grids USING (scene_id) WHERE row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1""",
 )
 def c19_line_cells(spark, sf_dir):
     """Outlines burned as lines, one step per cell along the longer axis."""
     lines = quads(spark, sf_dir).selectExpr(
         "scene_id", "area_id AS feature_id", "'LineString' AS geom_type", "rings[0] AS coords"
     )
-    return vectors.rasterize(lines, grids(spark, sf_dir).filter("scene_id = 's0'"))
+    return vectors.rasterize(lines, grids(spark, sf_dir))
 
 
 # ---- full pipeline ---------------------------------------------------------------------
