@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from numbers import Number
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,7 +29,7 @@ def canonical(frame):
     for row in frame[sorted(frame.columns)].itertuples(index=False, name=None):
         rows.append(
             tuple(
-                None if v is None or v != v else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
+                None if pd.isna(v) else (float(v) if isinstance(v, Number) and not isinstance(v, bool) else str(v))
                 for v in row
             )
         )
