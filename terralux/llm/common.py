@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralux.session import cut  # noqa: F401  (operators cut lineage through this module)
+from terralux import session
 
 #: Bytes of text that are looked at together, and bytes of text a bucket of a shuffle stands for.
 CHUNK_BYTES = 2_000_000
@@ -126,6 +126,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """``session.cut``; the shuffle files behind the table are given up as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return session.cut(df, label)
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+
+
 def remainder(n: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text modulo ``n``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))

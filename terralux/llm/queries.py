@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terralux.llm import best_fit_packing, decontaminate, language_id, lm_interpolation, toxicity, url_filter
+from terralux.llm import best_fit_packing, byte_dedup, decontaminate, language_id, line_dedup, lm_interpolation, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    kept = line_dedup.delete_repeated_lines(docs)
+    return kept.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 @_query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
