@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralux.llm import best_fit_packing, byte_dedup, decontaminate, language_id, line_dedup, lm_interpolation, toxicity, url_filter
+from terralux.llm import ann_forest, best_fit_packing, byte_dedup, decontaminate, jaccard_join, language_id, line_dedup, lm_interpolation, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op5_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -64,6 +70,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("class")
+
+
 def _term_hits(strict: bool) -> str:
     terms = [t for t, w in url_filter.VOCABULARY.items() if (w >= url_filter.STRICT) == strict]
     return " + ".join(f"CAST(regexp_matches(low, '(^|[^0-9a-z]){t}([^0-9a-z]|$)') AS INTEGER)" for t in terms)
