@@ -39,11 +39,14 @@ def monthly_normals(monthly: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normals_on_cells(cells: DataFrame, normals: DataFrame) -> DataFrame:
-    """A2 on the grid: twelve values per scene carried by one array, unfolded per cell."""
+    """A2 on the grid: twelve values per scene carried by one array, unfolded per cell.
+
+    A cell of a scene without normals keeps one row with a NULL month.
+    """
     by_month = normals.groupBy("scene_id").agg(
         F.array_sort(F.collect_list(F.struct("month", "ghi"))).alias("normals")
     )
-    return cells.join(by_month, "scene_id").select("scene_id", "row", "col", F.inline("normals"))
+    return cells.join(by_month, "scene_id", "left").select("scene_id", "row", "col", F.inline_outer("normals"))
 
 
 def annual_means(hourly: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -133,8 +136,8 @@ def site_energy(sites: DataFrame, yield_column: str = "specific_yield") -> DataF
 
 
 def yield_from_ghi(ghi: Column) -> Column:
-    """Offline estimate from annual irradiation."""
-    return F.greatest(F.lit(0.0), ghi * finance.PERFORMANCE_RATIO)
+    """Offline estimate from annual irradiation; NULL where that is missing."""
+    return F.when(ghi.isNotNull(), F.greatest(F.lit(0.0), ghi * finance.PERFORMANCE_RATIO))
 
 
 def site_yields(sites: DataFrame, weather: DataFrame) -> DataFrame:

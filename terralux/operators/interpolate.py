@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SAMPLES = 3
+# Fixed value: a lattice has at most 25 samples a side.
+MAX_SAMPLES = 625
 
 
 def too_few_samples(samples: DataFrame) -> DataFrame:
@@ -45,20 +47,19 @@ def _plane(x: Column, y: Column, a: Column, b: Column, c: Column) -> Column:
 
 def interpolate(cells: DataFrame, samples: DataFrame, lattice: DataFrame) -> DataFrame:
     """``cells`` (scene_id, row, col, x, y, u, v): u, v are lattice coordinates of the centre
-    (for example lon, lat); ``lattice`` (scene_id, u0, v0, du, dv, side) describes the samples'
-    regular arrangement. Adds ``value``.
+    (for example lon, lat); ``lattice`` (scene_id, u0, v0, du, dv, side_i, side_j) describes the
+    samples' regular arrangement. Adds ``value``; it is NULL in scenes without a lattice or a sample.
     """
     fi, fj = (F.col("u") - F.col("u0")) / F.col("du"), (F.col("v") - F.col("v0")) / F.col("dv")
-    last = F.col("side") - 2
 
-    def clamp(f: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.floor(f).cast("int"), last))
+    def clamp(f: Column, side: str) -> Column:
+        return F.greatest(F.lit(0), F.least(F.floor(f).cast("int"), F.col(side) - 2))
 
-    placed = cells.join(lattice, "scene_id").withColumns({"fi": fi, "fj": fj}).withColumns(
+    placed = cells.join(lattice, "scene_id", "left").withColumns({"fi": fi, "fj": fj}).withColumns(
         {
-            "qi": clamp(F.col("fi")),
-            "qj": clamp(F.col("fj")),
-            "inside": F.col("fi").between(0, F.col("side") - 1) & F.col("fj").between(0, F.col("side") - 1),
+            "qi": clamp(F.col("fi"), "side_i"),
+            "qj": clamp(F.col("fj"), "side_j"),
+            "inside": F.col("fi").between(0, F.col("side_i") - 1) & F.col("fj").between(0, F.col("side_j") - 1),
         }
     )
     joined = placed.join(_quads(samples), ["scene_id", "qi", "qj"], "left")
@@ -79,9 +80,15 @@ def interpolate(cells: DataFrame, samples: DataFrame, lattice: DataFrame) -> Dat
     near = joined.withColumn(
         "value", F.when(F.col("inside") & whole, linear).otherwise(nearest["v"])
     ).select(*keep, "value")
-    # A hole larger than a quad: the nearest of all samples (at most side^2 = 625 per scene).
+    # A hole larger than a quad: the nearest of all samples of the scene, whose number is checked
+    # before they are collected.
     lost = near.filter("value IS NULL").drop("value")
-    known = samples.filter("value IS NOT NULL").groupBy("scene_id").agg(
+    known = samples.filter("value IS NOT NULL").join(lost.select("scene_id").distinct(), "scene_id", "left_semi")
+    counted = known.groupBy("scene_id").agg(F.count("*").alias("samples"))
+    few = counted.filter(
+        F.assert_true(F.col("samples") <= MAX_SAMPLES, F.lit(f"a lattice with holes has more than {MAX_SAMPLES} samples")).isNull()
+    )
+    known = known.join(few.select("scene_id"), "scene_id", "left_semi").groupBy("scene_id").agg(
         F.collect_list(F.struct("x", "y", "value")).alias("known")
     )
     far = lost.join(known, "scene_id", "left").withColumn(

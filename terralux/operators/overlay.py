@@ -14,7 +14,6 @@ CLASS_COUNT = 5
 NO_CLASS = -9999
 PUBLISHED_TOP_PCT = 24.9
 
-MAX_SCENARIOS = 256
 SNAP = 1e12
 
 
@@ -195,19 +194,28 @@ def registry_weight_array(registry: Registry) -> Column:
     )
 
 
-def overlay_scenarios(scored: DataFrame, registry: Registry, scenarios: dict[str, dict[str, float]]) -> DataFrame:
-    """P16 for several weightings in one pass over the cells: (…, scenario_id, lsi).
+def scenario_shares(scenarios: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Scenario rows (scene_id, scenario_id, key, weight) as one array of shares per scene and scenario.
 
-    Weightings are arguments of the request, so their number is bounded and checked.
+    Shares are in the order of ``columns`` and sum to 1 over the criteria that have a score.
     """
-    if not 0 < len(scenarios) <= MAX_SCENARIOS:
-        raise ValueError(f"between 1 and {MAX_SCENARIOS} scenarios are needed")
-    columns = score_columns(scored.columns, registry)
-    rows = F.array(
-        *(
-            F.struct(F.lit(name).alias("scenario_id"), F.expr(overlay_text(columns, weights)).alias("lsi"))
-            for name, weights in scenarios.items()
-        )
+    total = F.sum(F.when(F.col("key").isin(*columns), F.col("weight")))
+    shares = F.array(
+        *(F.coalesce(F.max(F.when(F.col("key") == k, F.col("weight"))), F.lit(0.0)) / F.nullif(total, F.lit(0.0)) for k in columns)
     )
+    return scenarios.groupBy("scene_id", "scenario_id").agg(shares.alias("_shares"))
+
+
+def overlay_scenarios(scored: DataFrame, registry: Registry, scenarios: DataFrame) -> DataFrame:
+    """P16 for the weightings of a scenario table: (…, scenario_id, lsi).
+
+    A scene's cells meet the scenarios of that scene by an equi-join, so there may be any number. A
+    scenario whose weights for the scored criteria sum to zero has no index.
+    """
+    columns = score_columns(scored.columns, registry)
+    weighted = " + ".join(f"_shares[{i}] * coalesce({c}, 0.0D)" for i, c in enumerate(columns.values()))
+    carried = " + ".join(f"IF({c} IS NULL, 0.0D, _shares[{i}])" for i, c in enumerate(columns.values()))
     keep = [c for c in scored.columns if not c.startswith("s_")]
-    return scored.select(*keep, F.inline(rows))
+    return scored.join(scenario_shares(scenarios, columns), "scene_id").selectExpr(
+        *keep, "scenario_id", f"rint(({weighted}) / nullif({carried}, 0.0D) * {SNAP!r}D) / {SNAP!r}D AS lsi"
+    )

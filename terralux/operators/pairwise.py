@@ -126,7 +126,7 @@ def with_weights(valid: DataFrame) -> DataFrame:
 
 
 def with_worst_triple(valid: DataFrame) -> DataFrame:
-    """The first triple (i, j, k) with the largest |a_ik - a_ij a_jk|; NULL below three criteria."""
+    """The first triple (i, j, k) with the largest |a_ik - a_ij a_jk|, to 9 decimals; NULL below three criteria."""
     index = _index(F.col("n"))
 
     def triples(i: Column) -> Column:
@@ -138,7 +138,7 @@ def with_worst_triple(valid: DataFrame) -> DataFrame:
                     lambda k: F.when(
                         (i != j) & (k != i) & (k != j),
                         F.struct(
-                            (-F.abs(_at(i, k) - _at(i, j) * _at(j, k))).alias("d"), i.alias("i"), j.alias("j"), k.alias("k")
+                            (-F.round(F.abs(_at(i, k) - _at(i, j) * _at(j, k)), 9)).alias("d"), i.alias("i"), j.alias("j"), k.alias("k")
                         ),
                     ),
                 ),

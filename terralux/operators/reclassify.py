@@ -129,7 +129,7 @@ def long_layers(cells: DataFrame, registry: Registry, keys: list[str]) -> DataFr
 
 
 def score_by_bands(values: DataFrame, breakpoints: DataFrame) -> DataFrame:
-    """Range join of values to registry bands (lo < value <= hi).
+    """Range join of values to registry bands (lo < value <= hi); 0 above the last bound.
 
     The registry table has a few dozen rows by construction and is broadcast; the equality
     on ``key`` makes this a hash join, so each value only meets the bands of its criterion.
@@ -137,9 +137,11 @@ def score_by_bands(values: DataFrame, breakpoints: DataFrame) -> DataFrame:
     bands = F.broadcast(breakpoints.select("key", "lo", "hi", "score"))
     return (
         values.filter(F.col("value").isNotNull())
-        .join(bands, "key")
-        .filter((F.col("value") > F.col("lo")) & (F.col("value") <= F.col("hi")))
-        .drop("lo", "hi")
+        .withColumnRenamed("key", "_key")
+        .join(bands, (F.col("_key") == F.col("key")) & (F.col("value") > F.col("lo")) & (F.col("value") <= F.col("hi")), "left")
+        .drop("lo", "hi", "key")
+        .withColumnRenamed("_key", "key")
+        .withColumn("score", F.coalesce("score", F.lit(0.0)))
     )
 
 

@@ -19,9 +19,6 @@ TOP_CLASSES = (5,)
 MIN_AREA_KM2 = 0.5
 TOP_K = 10
 
-# Up to this many pieces in all, one window per scene is bounded.
-FEW_PIECES = 1_000_000
-
 PIECE = ["first_row", "first_col", "tile_r", "tile_c"]
 
 
@@ -82,15 +79,8 @@ def split_regions(mask: DataFrame, grids: DataFrame, max_area_km2: float | None,
     )
 
 
-def number_pieces(pieces: DataFrame, few_pieces: int | None = None) -> DataFrame:
-    """1-based site_id in raster order of regions, then of tiles.
-
-    A counted small table is numbered by one window per scene, a larger one level by level.
-    """
-    few = FEW_PIECES if few_pieces is None else few_pieces
-    if pieces.limit(few + 1).count() <= few:
-        line = W.partitionBy("scene_id").orderBy(*PIECE)
-        return pieces.withColumn("site_id", F.row_number().over(line).cast("bigint"))
+def number_pieces(pieces: DataFrame) -> DataFrame:
+    """1-based site_id in raster order of regions, then of tiles, counted level by level."""
     return hierarchical_row_number(pieces, ["scene_id"], PIECE, "site_id")
 
 

@@ -49,7 +49,10 @@ def read_protected(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """The protected-area table; a missing path gives an empty table and False."""
     try:
         return spark.read.schema(schema.PROTECTED).parquet(path), True
-    except AnalysisException:
+    except AnalysisException as error:
+        # Anything else, such as a denied path, is not "no protected areas".
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema.PROTECTED), False
 
 

@@ -569,8 +569,12 @@ _SCENARIOS = {
 )
 def p44_scenario_overlay(spark, sf_dir):
     scored = with_scores(cells(spark, sf_dir), REG)
+    rows = F.array(
+        *(F.struct(F.lit(n).alias("scenario_id"), F.lit(k).alias("key"), F.lit(w).alias("weight")) for n, ws in _SCENARIOS.items() for k, w in ws.items())
+    )
+    scenarios = grids(spark, sf_dir).select("scene_id", F.inline(rows))
     return (
-        overlay.overlay_scenarios(scored, REG, _SCENARIOS)
+        overlay.overlay_scenarios(scored, REG, scenarios)
         .groupBy("scene_id", "scenario_id")
         .agg(
             F.count("lsi").alias("cells"),

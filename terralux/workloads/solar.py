@@ -42,7 +42,7 @@ def a2_monthly_normals(spark, sf_dir):
 @query(
     "a2_normals_on_cells",
     f"""WITH {cells_sql('slope')},{MONTHLY_SQL}, nm AS (SELECT 's' || loc AS scene_id, month, avg(ghi) AS ghi FROM mon GROUP BY 1, 2)
-SELECT c.scene_id, n.month, count(*) AS cells, round(max(n.ghi), 6) AS ghi FROM cells c JOIN nm n USING (scene_id) GROUP BY 1, 2""",
+SELECT c.scene_id, n.month, count(*) AS cells, round(max(n.ghi), 6) AS ghi FROM cells c LEFT JOIN nm n USING (scene_id) GROUP BY 1, 2""",
 )
 def a2_normals_on_cells(spark, sf_dir):
     normals = energy.monthly_normals(monthly(spark, sf_dir), ["loc"]).withColumn("scene_id", F.concat(F.lit("s"), F.col("loc")))
@@ -236,11 +236,11 @@ def p22_capital_recovery(spark, sf_dir):
 @query(
     "p23_offline_energy",
     f"""WITH {cells_sql('ghi_annual')} SELECT scene_id, row, col, round(y, 6) AS specific_yield, round({_LCOE_TOP} / nullif(y, 0) * 1000, 6) AS lcoe
-FROM (SELECT *, greatest(0, (ghi_annual - 1200) * 0.75) AS y FROM cells) WHERE ghi_annual IS NOT NULL""",
+FROM (SELECT *, CASE WHEN ghi_annual IS NOT NULL THEN greatest(0, (ghi_annual - 1200) * 0.75) END AS y FROM cells)""",
 )
 def p23_offline_energy(spark, sf_dir):
     """Yield from irradiation; no cost where nothing is produced."""
-    df = cells(spark, sf_dir, "ghi_annual").filter("ghi_annual IS NOT NULL")
+    df = cells(spark, sf_dir, "ghi_annual")
     y = energy.yield_from_ghi(F.col("ghi_annual") - 1200.0)
     return df.select("scene_id", "row", "col", F.round(y, 6).alias("specific_yield"), F.round(finance.lcoe_usd_per_mwh(y), 6).alias("lcoe"))
 
@@ -272,21 +272,21 @@ def j11_a14_site_irradiation(spark, sf_dir):
     return df.select("scene_id", "site_id", F.round("ghi", 6).alias("ghi"))
 
 
-_YEAR_SQL = f"{WEATHER_SQL}, wx AS (SELECT ts, ghi, dni, dhi, temp_air, wind_speed FROM weather WHERE site_id = 3)"
-_FEW_SQL = "few AS (SELECT s_suppkey AS site_id, CAST(s_suppkey % 60 AS DOUBLE) - 30 AS lat, CAST(s_suppkey % 90 AS DOUBLE) AS lon FROM supplier)"
+_YEAR_SQL = f"{WEATHER_SQL}, wx AS (SELECT 's' || site_id AS scene_id, ts, ghi, dni, dhi, temp_air, wind_speed FROM weather)"
+_FEW_SQL = "few AS (SELECT 's' || (s_suppkey % 5) AS scene_id, s_suppkey AS site_id, CAST(s_suppkey % 60 AS DOUBLE) - 30 AS lat, CAST(s_suppkey % 90 AS DOUBLE) AS lon FROM supplier)"
 
 
 @query(
     "j13_site_weather_yield",
-    f"""WITH {_YEAR_SQL}, {_FEW_SQL}, shaped AS (SELECT f.site_id, f.lat, f.lon, wx.*, abs(f.lat) AS tilt, CASE WHEN f.lat >= 0 THEN 180.0 ELSE 0.0 END AS azimuth FROM few f, wx),{power_sql('shaped')}
-SELECT 's0' AS scene_id, site_id, round(sum(ac_w) / 1000 * {DERATE!r}::DOUBLE, 6) AS specific_yield FROM power GROUP BY 2""",
+    f"""WITH {_YEAR_SQL}, {_FEW_SQL}, shaped AS (SELECT f.site_id, f.lat, f.lon, wx.*, abs(f.lat) AS tilt, CASE WHEN f.lat >= 0 THEN 180.0 ELSE 0.0 END AS azimuth FROM few f JOIN wx USING (scene_id)),{power_sql('shaped')}
+SELECT scene_id, site_id, round(sum(ac_w) / 1000 * {DERATE!r}::DOUBLE, 6) AS specific_yield FROM power GROUP BY 1, 2""",
 )
 def j13_site_weather_yield(spark, sf_dir):
     """Every site of a scene with the scene's weather, at its own position."""
     sites = table(spark, sf_dir, "supplier").selectExpr(
-        "'s0' AS scene_id", "s_suppkey AS site_id", "CAST(s_suppkey % 60 AS DOUBLE) - 30 AS centroid_lat", "CAST(s_suppkey % 90 AS DOUBLE) AS centroid_lon"
+        "concat('s', s_suppkey % 5) AS scene_id", "s_suppkey AS site_id", "CAST(s_suppkey % 60 AS DOUBLE) - 30 AS centroid_lat", "CAST(s_suppkey % 90 AS DOUBLE) AS centroid_lon"
     )
-    hours = weather(spark, sf_dir).filter("site_id = 3").drop("site_id", "lat", "lon").withColumn("scene_id", F.lit("s0"))
+    hours = weather(spark, sf_dir).withColumn("scene_id", F.concat(F.lit("s"), F.col("site_id"))).drop("site_id", "lat", "lon")
     return energy.site_yields(sites, hours).withColumn("specific_yield", F.round("specific_yield", 6))
 
 
@@ -396,23 +396,22 @@ f AS (SELECT *, -net + list_sum(list_transform(range(1, n + 1), lambda t: sav *
 it AS (SELECT roof_id, net, sav, g, n, -0.95::DOUBLE AS lo, 2.0::DOUBLE AS hi, 0 AS i FROM f WHERE f_lo * f_hi <= 0
   UNION ALL SELECT roof_id, net, sav, g, n, CASE WHEN v > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN v > 0 THEN hi ELSE (lo + hi) / 2 END, i + 1
   FROM (SELECT *, -net + list_sum(list_transform(range(1, n + 1), lambda t: sav * power(1 - g, t - 1) / power(1 + (lo + hi) / 2, t))) AS v FROM it WHERE i < 60))
-SELECT p.roof_id, round((lo + hi) / 2 * 100, 4) AS irr_pct FROM p LEFT JOIN it ON it.roof_id = p.roof_id AND i = 60""",
+SELECT e.roof_id, round((lo + hi) / 2 * 100, 4) AS irr_pct FROM econ e LEFT JOIN p ON p.roof_id = e.roof_id LEFT JOIN it ON it.roof_id = p.roof_id AND i = 60""",
 )
 def p31_irr(spark, sf_dir):
     df = rooftop.economics(rooftop.energy_balance(shaped_roofs(spark, sf_dir)))
-    return df.filter("flows IS NOT NULL").select("roof_id", F.round("irr_pct", 4).alias("irr_pct"))
+    return df.select("roof_id", F.round("irr_pct", 4).alias("irr_pct"))
 
 
 @query(
     "w3_cashflow",
     f"""WITH {ECON_SQL}, y AS (SELECT roof_id, net, sav, degradation_per_yr AS g, unnest(range(0, analysis_years + 1)) AS year FROM econ WHERE pays),
 c AS (SELECT roof_id, CAST(year AS INTEGER) AS year, CASE WHEN year = 0 THEN -net ELSE sav * power(1 - g, year - 1) END AS cash FROM y)
-SELECT roof_id, year, round(cash + 3.87812e-6, 5) AS annual_cash_usd, round(sum(cash) OVER (PARTITION BY roof_id ORDER BY year) + 3.87812e-6, 5) AS cumulative_usd FROM c""",
+SELECT roof_id, year, round(cash, 8) AS annual_cash_usd, round(sum(cash) OVER (PARTITION BY roof_id ORDER BY year), 8) AS cumulative_usd FROM c""",
 )
 def w3_cashflow(spark, sf_dir):
-    """Cash is compared a hair off its exact halves, which engines round either way."""
     df = rooftop.cashflow(rooftop.economics(rooftop.energy_balance(shaped_roofs(spark, sf_dir))), ["roof_id"])
-    return df.select("roof_id", "year", F.round(F.col("annual_cash_usd") + 3.87812e-6, 5).alias("annual_cash_usd"), F.round(F.col("cumulative_usd") + 3.87812e-6, 5).alias("cumulative_usd"))
+    return df.select("roof_id", "year", F.round("annual_cash_usd", 8).alias("annual_cash_usd"), F.round("cumulative_usd", 8).alias("cumulative_usd"))
 
 
 @query(
@@ -506,14 +505,19 @@ def p37_j14_bound_checks(spark, sf_dir):
     return df.select("id", "name", "ok", F.round("value", 9).alias("value"), "lo", "hi", "unit")
 
 
+_TAILS_SQL = "tails(name, lo, hi, tail) AS (VALUES " + ", ".join(
+    f"('{n}', {lo!r}::DOUBLE, {hi!r}::DOUBLE, ' {u} outside physical envelope [{lo:g}, {hi:g}] (source: {source})')" for n, (lo, hi, u, source) in quality.BOUNDS.items()
+) + ")"
+
+
 @query(
     "p37_bound_messages",
-    f"""WITH {_METRICS_SQL} SELECT id, 'specific_yield_kwh_kwp_yr=' || CASE WHEN value = 0 THEN '0' ELSE printf('%.4g', value) END || ' kWh/kWp/yr outside physical envelope [500, 2600] (source: {quality.BOUNDS['specific_yield_kwh_kwp_yr'][3]})' AS message
-FROM m WHERE name = 'specific_yield_kwh_kwp_yr' AND value NOT BETWEEN 500 AND 2600""",
+    f"""WITH {_METRICS_SQL}, {_TAILS_SQL} SELECT id, name, name || '=' || CASE WHEN value = 0 THEN '0' ELSE printf('%.4g', value) END || tail AS message
+FROM m JOIN tails USING (name) WHERE value NOT BETWEEN lo AND hi""",
 )
 def p37_bound_messages(spark, sf_dir):
     df = quality.check_many(metrics(spark, sf_dir), quality.bounds_table(spark))
-    return df.filter("NOT ok AND name = 'specific_yield_kwh_kwp_yr'").select("id", "message")
+    return df.filter("NOT ok").select("id", "name", "message")
 
 
 @query(
@@ -569,7 +573,7 @@ def p42_site_notes(spark, sf_dir):
 
 @query(
     "p42_framing_note",
-    f"""WITH {_SITE_SQL} SELECT scene_id, 'The ' || count(*) || ' candidate site(s) are individual parcels (largest ~' || CAST(round_even(max(area), 0) AS BIGINT) || ' km2). Compare sites by the per-unit figures (capacity MWp, specific yield kWh/kWp/yr, LCOE).' AS note FROM si GROUP BY 1""",
+    f"""WITH {_SITE_SQL} SELECT scene_id, 'Candidate sites found: ' || count(*) || '; the largest covers about ' || CAST(round_even(max(area), 0) AS BIGINT) || ' km2. Each is a parcel of its own, kept under the 50 km2 cap where extraction splits larger areas, so rank them by figures per unit (specific yield, cost of energy) rather than by totals.' AS note FROM si GROUP BY 1""",
 )
 def p42_framing_note(spark, sf_dir):
     return quality.framing_note(part_sites(spark, sf_dir))

@@ -539,20 +539,20 @@ def c11_resample_average(spark, sf_dir):
 # Samples every 20 cells, offset by half; a sheared position so that quads are no rectangles.
 LATTICE_SQL = """smp AS (SELECT scene_id, col // 20 AS i, row // 20 AS j, (col + 0.0) * 500 + (row + 0.0) * 25 AS x, (row + 0.0) * 500 AS y,
   CAST(k % 313 AS DOUBLE) AS value FROM base WHERE row % 20 = 10 AND col % 20 = 10),
-dim AS (SELECT scene_id, least(max(i), max(j)) + 1 AS side FROM smp GROUP BY 1),
-lat AS (SELECT smp.* FROM smp JOIN dim USING (scene_id) WHERE i < side AND j < side),
-cl AS (SELECT scene_id, row, col, (col + 0.0) * 500 + (row + 0.0) * 25 AS x, (row + 0.0) * 500 AS y, (col - 10) / 20.0 AS fi, (row - 10) / 20.0 AS fj, side FROM base JOIN dim USING (scene_id) WHERE side >= 2),
-q AS (SELECT *, greatest(0, least(CAST(floor(fi) AS INTEGER), side - 2)) AS qi, greatest(0, least(CAST(floor(fj) AS INTEGER), side - 2)) AS qj FROM cl),
+dim AS (SELECT scene_id, max(i) + 1 AS ni, max(j) + 1 AS nj, list([x, y, value]) AS pts FROM smp GROUP BY 1),
+cl AS (SELECT scene_id, row, col, (col + 0.0) * 500 + (row + 0.0) * 25 AS x, (row + 0.0) * 500 AS y, (col - 10) / 20.0 AS fi, (row - 10) / 20.0 AS fj, ni, nj, pts FROM base LEFT JOIN dim USING (scene_id)),
+q AS (SELECT *, greatest(0, least(CAST(floor(fi) AS INTEGER), ni - 2)) AS qi, greatest(0, least(CAST(floor(fj) AS INTEGER), nj - 2)) AS qj FROM cl),
 jn AS (SELECT q.*, a.value AS v0, b.value AS v1, c.value AS v2, d.value AS v3, fi - qi AS u, fj - qj AS w,
   [[(q.x-a.x)*(q.x-a.x)+(q.y-a.y)*(q.y-a.y), a.value], [(q.x-b.x)*(q.x-b.x)+(q.y-b.y)*(q.y-b.y), b.value], [(q.x-c.x)*(q.x-c.x)+(q.y-c.y)*(q.y-c.y), c.value], [(q.x-d.x)*(q.x-d.x)+(q.y-d.y)*(q.y-d.y), d.value]] AS near
-  FROM q JOIN lat a ON a.scene_id = q.scene_id AND a.i = qi AND a.j = qj JOIN lat b ON b.scene_id = q.scene_id AND b.i = qi + 1 AND b.j = qj
-  JOIN lat c ON c.scene_id = q.scene_id AND c.i = qi AND c.j = qj + 1 JOIN lat d ON d.scene_id = q.scene_id AND d.i = qi + 1 AND d.j = qj + 1)"""
+  FROM q LEFT JOIN smp a ON a.scene_id = q.scene_id AND a.i = qi AND a.j = qj LEFT JOIN smp b ON b.scene_id = q.scene_id AND b.i = qi + 1 AND b.j = qj
+  LEFT JOIN smp c ON c.scene_id = q.scene_id AND c.i = qi AND c.j = qj + 1 LEFT JOIN smp d ON d.scene_id = q.scene_id AND d.i = qi + 1 AND d.j = qj + 1)"""
 
 
 @query(
     "j12_lattice_interpolation",
-    f"""WITH {BASE_SQL}, {LATTICE_SQL} SELECT scene_id, row, col, round(CASE WHEN fi BETWEEN 0 AND side - 1 AND fj BETWEEN 0 AND side - 1 THEN
-  CASE WHEN u >= w THEN v0 + u * (v1 - v0) + w * (v3 - v1) ELSE v0 + w * (v2 - v0) + u * (v3 - v2) END ELSE list_min(near)[2] END, 6) AS value FROM jn""",
+    f"""WITH {BASE_SQL}, {LATTICE_SQL} SELECT scene_id, row, col, round(CASE WHEN fi BETWEEN 0 AND ni - 1 AND fj BETWEEN 0 AND nj - 1 AND v0 + v1 + v2 + v3 IS NOT NULL THEN
+  CASE WHEN u >= w THEN v0 + u * (v1 - v0) + w * (v3 - v1) ELSE v0 + w * (v2 - v0) + u * (v3 - v2) END
+  ELSE coalesce(list_min(list_filter(near, lambda p: p[2] IS NOT NULL))[2], list_min(list_transform(pts, lambda p: [(x - p[1]) * (x - p[1]) + (y - p[2]) * (y - p[2]), p[3]]))[2]) END, 6) AS value FROM jn""",
 )
 def j12_lattice_interpolation(spark, sf_dir):
     base = base_cells(spark, sf_dir).selectExpr(
@@ -561,11 +561,10 @@ def j12_lattice_interpolation(spark, sf_dir):
     samples = base.filter("row % 20 = 10 AND col % 20 = 10").selectExpr(
         "scene_id", "CAST(col div 20 AS INT) AS i", "CAST(row div 20 AS INT) AS j", "x", "y", "CAST(k % 313 AS DOUBLE) AS value"
     )
-    lattice = samples.groupBy("scene_id").agg((F.least(F.max("i"), F.max("j")) + 1).alias("side")).filter("side >= 2").selectExpr(
-        "scene_id", "10.0D AS u0", "10.0D AS v0", "20.0D AS du", "20.0D AS dv", "side"
+    lattice = samples.groupBy("scene_id").agg((F.max("i") + 1).alias("side_i"), (F.max("j") + 1).alias("side_j")).selectExpr(
+        "scene_id", "10.0D AS u0", "10.0D AS v0", "20.0D AS du", "20.0D AS dv", "side_i", "side_j"
     )
-    square = samples.join(lattice.select("scene_id", "side"), "scene_id").filter("i < side AND j < side").drop("side")
-    df = interpolate(base.drop("k"), square, lattice)
+    df = interpolate(base.drop("k"), samples, lattice)
     return df.select(*CELL, F.round("value", 6).alias("value"))
 
 

@@ -103,14 +103,13 @@ def test_unknown_class_method(spark):
         overlay.classify(frame(spark, [("a", 0.1)], "scene_id STRING, lsi DOUBLE"), ["scene_id"], "other")
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_quantiles_match_numpy(spark, few):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     values = np.round(rng.gamma(2.0, size=4001), 2)
     keys = rng.choice(["a", "b", "c"], p=[0.7, 0.29, 0.01], size=4001)
     df = spark.createDataFrame(pd.DataFrame({"k": keys, "v": values}))
     at = [0.0, 0.2, 0.4, 0.5, 0.8, 1.0]
-    for r in quantiles.quantiles(df, ["k"], "v", at, few_values=few).collect():
+    for r in quantiles.quantiles(df, ["k"], "v", at).collect():
         assert math.isclose(r.threshold, np.quantile(values[keys == r.k], at[r.q]), abs_tol=1e-12)
 
 
@@ -256,9 +255,7 @@ def test_two_blobs(spark):
     assert [r.area_km2 for r in sites.extract_sites(df, grid_row(spark, 5, 10), min_area_km2=5).collect()] == [6.0]
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_cap_split_keeps_area(spark, monkeypatch, few):
-    monkeypatch.setattr(sites, "FEW_PIECES", few)
+def test_cap_split_keeps_area(spark):
     df = classified(spark, (30, 30), [(slice(0, 30), slice(0, 30))])
     got = sites.extract_sites(df, grid_row(spark, 30, 30), max_site_area_km2=50.0, top_k=None).collect()
     assert len(got) > 1 and sum(r.area_km2 for r in got) == 900.0
@@ -309,13 +306,59 @@ def test_simplified_ring_stays_close(spark):
     assert math.isclose(simple["area_m2"], exact["area_m2"], rel_tol=0.1)
 
 
+LATTICE = "scene_id STRING, u0 DOUBLE, v0 DOUBLE, du DOUBLE, dv DOUBLE, side_i INT, side_j INT"
+
+
+def lattice_cells(spark, width, height):
+    u, v = np.indices((width, height)).reshape(2, -1)
+    return spark.createDataFrame(pd.DataFrame({"scene_id": "a", "row": v, "col": u, "u": u * 1.0, "v": v * 1.0, "x": u * 1.0, "y": v * 1.0}))
+
+
+def test_oblong_lattice_with_a_wide_hole(spark):
+    """Three by seven samples, of which a block of two by three quads has no value; scene b has no lattice."""
+    i, j = np.indices((3, 7)).reshape(2, -1)
+    value = np.where((j >= 2) & (j <= 5), np.nan, 2.0 * i * 10 - 3.0 * j * 10)
+    pdf = pd.DataFrame({"scene_id": "a", "i": i, "j": j, "x": i * 10.0, "y": j * 10.0, "value": value})
+    samples = spark.createDataFrame(pdf).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    lattice = frame(spark, [("a", 0.0, 0.0, 10.0, 10.0, 3, 7)], LATTICE)
+    cells = lattice_cells(spark, 25, 65)
+    got = interpolate.interpolate(cells.unionByName(cells.limit(5).withColumn("scene_id", F.lit("b"))), samples, lattice).toPandas()
+    assert len(got) == 25 * 65 + 5 and got[got.scene_id == "b"].value.isna().all()
+    known = pdf.dropna()
+    for r in got[got.scene_id == "a"].itertuples():
+        if r.x <= 20 and r.y < 10:
+            assert math.isclose(r.value, 2.0 * r.x - 3.0 * r.y, abs_tol=1e-9)
+        elif 20 <= r.y <= 50:
+            near = (known.x - r.x) ** 2 + (known.y - r.y) ** 2
+            assert r.value in set(known[near == near.min()].value)
+
+
+def test_value_above_the_last_bound_scores_zero(spark):
+    bands = frame(spark, [("k", float("-inf"), 5.0, 1.0)], "key STRING, lo DOUBLE, hi DOUBLE, score DOUBLE")
+    values = frame(spark, [("k", 3.0), ("k", 99.0), ("k", None)], "key STRING, value DOUBLE")
+    got = {r.value: r.score for r in reclassify.score_by_bands(values, bands).collect()}
+    assert got == {3.0: 1.0, 99.0: 0.0}
+
+
+def test_cells_without_normals_stay(spark):
+    cells = frame(spark, [("a", 0, 0), ("b", 0, 1)], "scene_id STRING, row INT, col INT")
+    normals = frame(spark, [("a", 1, 2.0), ("a", 2, 3.0)], "scene_id STRING, month INT, ghi DOUBLE")
+    got = [(r.scene_id, r.month, r.ghi) for r in energy.normals_on_cells(cells, normals).orderBy("scene_id", "month").collect()]
+    assert got == [("a", 1, 2.0), ("a", 2, 3.0), ("b", None, None)]
+
+
+def test_hard_exclusions_carry_no_weight(spark):
+    rows = frame(spark, [("a", "hard_exclusion", 0.0), ("b", "hard_exclusion", 0.1), ("c", "scored", 0.4)], "key STRING, kind STRING, local_weight DOUBLE")
+    assert [r.key for r in rg.exclusion_weight_violations(rows).collect()] == ["b"]
+
+
 def test_linear_field_is_interpolated_exactly(spark):
     i, j = np.indices((5, 5)).reshape(2, -1)
     plane = lambda x, y: 3.0 + 0.25 * x - 0.5 * y
     samples = spark.createDataFrame(
         pd.DataFrame({"scene_id": "a", "i": i, "j": j, "x": i * 10.0 + j, "y": j * 10.0, "value": plane(i * 10.0 + j, j * 10.0)})
     )
-    lattice = frame(spark, [("a", 0.0, 0.0, 10.0, 10.0, 5)], "scene_id STRING, u0 DOUBLE, v0 DOUBLE, du DOUBLE, dv DOUBLE, side INT")
+    lattice = frame(spark, [("a", 0.0, 0.0, 10.0, 10.0, 5, 5)], LATTICE)
     u, v = np.indices((41, 41)).reshape(2, -1)
     cells = spark.createDataFrame(
         pd.DataFrame({"scene_id": "a", "row": v, "col": u, "u": u * 1.0, "v": v * 1.0, "x": u + v / 10.0, "y": v * 1.0})
