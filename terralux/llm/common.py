@@ -22,7 +22,7 @@ from terralux import session
 
 #: Bytes of text that are looked at together, and bytes of text a bucket of a shuffle stands for.
 CHUNK_BYTES = 2_000_000
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 #: Rows of an Arrow batch: texts can be long, so batches are kept short.
 BATCH_ROWS = 1_000
 
