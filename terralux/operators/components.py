@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralux.session import cut
+from terralux.session import cut, discard
 
 BLOCK = 128
 COL_BITS = 24
@@ -34,6 +34,8 @@ def _label_block(block: pd.DataFrame) -> pd.DataFrame:
     """Least member position of each 8-connected region inside one block of at most BLOCK^2 cells."""
     r = block["row"].to_numpy(dtype=np.int64)
     c = block["col"].to_numpy(dtype=np.int64)
+    if r.min() < 0 or c.min() < 0 or c.max() >= 1 << COL_BITS:
+        raise ValueError(f"rows and columns start at 0, and columns end below 2**{COL_BITS}")
     grid = np.full((r.max() - r.min() + 3, c.max() - c.min() + 3), -1, dtype=np.int64)
     at_r, at_c = r - r.min() + 1, c - c.min() + 1
     order = np.lexsort((c, r))
@@ -140,8 +142,9 @@ def contract(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if seen[0] == 0:
             break
-        current = cut(_small_star(_large_star(current)), "edges")
-        now = mark(current)
+        following = cut(_small_star(_large_star(current)), "edges")
+        discard(current)
+        current, now = following, mark(following)
         if now == seen:
             break
         seen = now

@@ -47,8 +47,26 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/terralux/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which goes when the application ends."""
+    folder = f"{scratch_root(spark)}/terralux-{spark.sparkContext.applicationId}"
+    where, files = _file_system(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`cut` wrote, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where, files = _file_system(df.sparkSession, folder)
+        files.delete(where, True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

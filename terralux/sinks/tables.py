@@ -18,8 +18,8 @@ def write_layer(cells: DataFrame, path: str, name: str, epsg: int | None = None)
     value = F.coalesce(F.col(name), F.lit(NO_CLASS)) if name == "lsi_class" else F.col(name)
     columns = [c for c in ("scene_id", "row", "col", "x", "y") if c in cells.columns]
     code = F.col("epsg") if epsg is None and "epsg" in cells.columns else F.lit(epsg).cast("int")
-    # No repartition by scene: a hot scene is written by every task that holds a part of it.
-    cells.select(*columns, value.alias(name), code.alias("crs_epsg")).write.mode("overwrite").partitionBy(
+    # Rebalanced: small scenes are gathered into few files, a hot one is split over several.
+    cells.select(*columns, value.alias(name), code.alias("crs_epsg")).hint("rebalance", "scene_id").write.mode("overwrite").partitionBy(
         "scene_id"
     ).parquet(path)
 
@@ -55,7 +55,7 @@ def site_features(sites: DataFrame, polygons: DataFrame | None = None) -> DataFr
 
 def write_features(features: DataFrame, path: str) -> None:
     """K3: features as text lines per scene; no site, no line."""
-    features.select("scene_id", "feature").write.mode("overwrite").partitionBy("scene_id").text(path)
+    features.select("scene_id", "feature").hint("rebalance", "scene_id").write.mode("overwrite").partitionBy("scene_id").text(path)
 
 
 def write_class_csv(distribution: DataFrame, path: str) -> None:

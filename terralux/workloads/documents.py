@@ -452,9 +452,7 @@ def p46_matrix_weights(spark, sf_dir):
 @query("p47_strict_weights", f"{AHP_SQL} SELECT id AS matrix_id, cr <= 0.10 AS accepted FROM ahp")
 def p47_strict_weights(spark, sf_dir):
     """Accepted matrices and those refused for inconsistency."""
-    accepted = pairwise.strict(matrices(spark, sf_dir)).select("matrix_id", F.lit(True).alias("accepted"))
-    refused = pairwise.rejected(matrices(spark, sf_dir)).filter("rule = 'inconsistent'").select("matrix_id", F.lit(False).alias("accepted"))
-    return accepted.unionByName(refused)
+    return pairwise.analyze(matrices(spark, sf_dir)).select("matrix_id", F.col("consistent").alias("accepted"))
 
 
 @query(

@@ -711,7 +711,8 @@ def _site_rings(spark, sf_dir, tolerance=0.0):
     _, member = sites.extract_with_cells(
         cut(site_cells(spark, sf_dir)), spec, SITE_CLASSES, max_site_area_km2=SITE_CAP_KM2
     )
-    return polygons.site_rings(member, spec, tolerance)
+    # Few cells, read several times for their sides.
+    return polygons.site_rings(cut(member), spec, tolerance)
 
 
 @query(
