@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terralux.functions.geodesy import with_lonlat
+
 RINGS = "scene_id STRING, site_id BIGINT, part INT, ring INT, is_hole BOOLEAN, xs ARRAY<DOUBLE>, ys ARRAY<DOUBLE>"
 
 # Directed sides with the site on the right: (name, neighbour offset, start corner, end corner).
@@ -150,6 +152,17 @@ def site_rings(site_cells: DataFrame, grids: DataFrame, tolerance_m: float = 0.0
     )
 
 
+def rings_lonlat(rings: DataFrame, grids: DataFrame) -> DataFrame:
+    """Rings with their corners in WGS-84: xs are longitudes, ys latitudes, as feature documents need them."""
+    ring = ["scene_id", "site_id", "part", "ring", "is_hole"]
+    corners = rings.join(grids.select("scene_id", "epsg"), "scene_id").select(
+        *ring, "epsg", F.posexplode(F.arrays_zip("xs", "ys")).alias("at", "p")
+    )
+    placed = with_lonlat(corners.select(*ring, "epsg", "at", F.col("p.xs").alias("x"), F.col("p.ys").alias("y")), "x", "y", "epsg", "lon", "lat")
+    walked = placed.groupBy(*ring).agg(F.array_sort(F.collect_list(F.struct("at", "lon", "lat"))).alias("c"))
+    return walked.select(*ring, F.transform("c", lambda p: p["lon"]).alias("xs"), F.transform("c", lambda p: p["lat"]).alias("ys"))
+
+
 def site_polygons(rings: DataFrame) -> DataFrame:
     """Rings to one MULTIPOLYGON-shaped column per site: parts of rings of corners."""
     points = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))

@@ -348,24 +348,6 @@ def k2_layer_bounds(spark, sf_dir):
     return df.select("scene_id", *(F.round(c, 7).alias(c) for c in ("west", "south", "east", "north")))
 
 
-@query(
-    "k3_site_features",
-    "SELECT 's' || (p_partkey % 5) AS scene_id, count(*) AS features, CAST(min(p_partkey) AS BIGINT) AS first_id, round(max(p_retailprice), 4) AS max_lon FROM part GROUP BY 1",
-)
-def k3_site_features(spark, sf_dir):
-    """Features written as text lines per scene, read back as documents."""
-    rows = table(spark, sf_dir, "part").selectExpr(
-        "concat('s', p_partkey % 5) AS scene_id", "p_partkey AS site_id", "CAST(p_partkey AS INT) AS rank", "p_retailprice AS centroid_lon", "CAST(p_size AS DOUBLE) AS centroid_lat"
-    )
-    path = scratch_path(spark, "features")
-    sink.write_features(sink.site_features(rows), path)
-    schema = "type STRING, properties STRUCT<site_id: BIGINT>, geometry STRUCT<type: STRING, coordinates: ARRAY<DOUBLE>>"
-    back = spark.read.text(path).select("scene_id", F.from_json("value", schema).alias("f"))
-    return back.groupBy("scene_id").agg(
-        F.count("f.type").alias("features"), F.min("f.properties.site_id").alias("first_id"), F.round(F.max(F.col("f.geometry.coordinates")[0]), 4).alias("max_lon")
-    )
-
-
 @query(
     "k4_class_csv",
     f"WITH {EQUAL_SQL},{DIST_SQL} SELECT scene_id, class_id, {LABEL_SQL} AS label, pct AS pct_of_valid_area, round(pct / 100e0 * 1000, 2) AS area_km2 FROM dist",

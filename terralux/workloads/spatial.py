@@ -11,7 +11,8 @@ from terralux.operators import components, energy, grids as gr, polygons, proxim
 from terralux.operators.interpolate import interpolate
 from terralux.operators.quantiles import quantiles
 from terralux.plans.suitability import SITE_CAP_KM2, SITE_CLASSES, classified_cells, select_sites
-from terralux.session import cut
+from terralux.session import cut, scratch_path
+from terralux.sinks import tables as sink
 from terralux.sources.documents import parse_areas
 from terralux.workloads.catalog import query
 from terralux.workloads.inputs import (
@@ -729,6 +730,36 @@ def r6_site_polygons(spark, sf_dir):
     )
 
 
+@query(
+    "k3_site_features",
+    f"{SITES_SQL},{OUTLINE_SQL}, edge AS MATERIALIZED (SELECT v.scene_id, v.site_id, t.epsg, {MINX}::DOUBLE + c * 500.0 AS x, {MAXY}::DOUBLE - r * 500.0 AS y FROM verts v JOIN top t USING (scene_id, site_id) WHERE n < 4),"
+    f"{inverse_sql('edge', 'pt', 'scene_id, site_id')}, box AS (SELECT scene_id, site_id, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM pt GROUP BY 1, 2) "
+    "SELECT scene_id, CAST(site_id AS BIGINT) AS site_id, CAST(rank AS INTEGER) AS rank, 'MultiPolygon' AS kind, CAST(corners AS BIGINT) AS corners, round(west, 7) AS west, round(south, 7) AS south, round(east, 7) AS east, round(north, 7) AS north "
+    "FROM top JOIN box USING (scene_id, site_id) JOIN corn USING (scene_id, site_id)",
+)
+def k3_site_features(spark, sf_dir):
+    """Ranked sites with their outlines, written as text lines per scene and read back as documents."""
+    spec = grids(spark, sf_dir)
+    found, member = sites.extract_with_cells(cut(site_cells(spark, sf_dir)), spec, SITE_CLASSES, max_site_area_km2=SITE_CAP_KM2)
+    outlines = polygons.site_polygons(polygons.rings_lonlat(polygons.site_rings(cut(member), spec), spec))
+    path = scratch_path(spark, "features")
+    sink.write_features(sink.site_features(found.select("scene_id", "site_id", "rank"), outlines), path)
+    shape = "properties STRUCT<site_id: BIGINT, rank: INT>, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>>"
+    back = spark.read.text(path).select("scene_id", F.from_json("value", shape).alias("f"))
+    rings = F.flatten("f.geometry.coordinates")
+    points = F.flatten(rings)
+
+    def edge(of, at):
+        return F.round(of(F.transform(points, lambda p: p[at])), 7)
+
+    return back.select(
+        "scene_id", "f.properties.site_id", "f.properties.rank", F.col("f.geometry.type").alias("kind"),
+        # A ring's first corner is also its last.
+        (F.size(points) - F.size(rings)).cast("bigint").alias("corners"),
+        edge(F.array_min, 0).alias("west"), edge(F.array_min, 1).alias("south"), edge(F.array_max, 0).alias("east"), edge(F.array_max, 1).alias("north"),
+    )
+
+
 @query("r7_simplified_polygons")
 def r7_simplified_polygons(spark, sf_dir):
     """Outlines simplified by 400 m; checked against the exact outlines in the tests."""
