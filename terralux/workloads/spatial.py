@@ -760,13 +760,48 @@ def k3_site_features(spark, sf_dir):
     )
 
 
-@query("r7_simplified_polygons")
+@query(
+    "r7_simplified_polygons",
+    f"{SITES_SQL} SELECT scene_id, CAST(site_id AS BIGINT) AS site_id, true AS closed, true AS own_corners, true AS within_tolerance, true AS area_kept FROM top",
+)
 def r7_simplified_polygons(spark, sf_dir):
-    """Outlines simplified by 400 m; checked against the exact outlines in the tests."""
-    rings = polygons.ring_measures(_site_rings(spark, sf_dir, 400.0))
-    return rings.groupBy("scene_id", "site_id").agg(
-        F.round(F.sum("area_m2"), 1).alias("area_m2"), F.sum("corners").cast("bigint").alias("corners")
-    )
+    """What holds for outlines simplified by 400 m, against the exact outlines of the same sites.
+
+    Rings are closed, their corners are corners of the exact ring, no exact corner is farther than the
+    tolerance from the simplified ring, and the area changes by less than perimeter times tolerance.
+    """
+    tolerance = 400.0
+    spec = grids(spark, sf_dir)
+    _, member = sites.extract_with_cells(cut(site_cells(spark, sf_dir)), spec, SITE_CLASSES, max_site_area_km2=SITE_CAP_KM2)
+    member = cut(member)
+    ring = ["scene_id", "site_id", "part", "ring"]
+    pairs = []
+    for name, by in (("exact", 0.0), ("simple", tolerance)):
+        rings = polygons.site_rings(member, spec, by)
+        measured = polygons.ring_measures(rings).select(*ring, F.col("area_m2").alias(f"{name}_area"), F.col("perimeter_m").alias(f"{name}_perimeter"))
+        corners = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))
+        pairs.append(rings.select(*ring, corners.alias(name)).join(measured, ring))
+    both = pairs[0].join(pairs[1], ring, "full")
+    sides = F.arrays_zip(F.slice("simple", 1, F.size("simple") - 1).alias("a"), F.slice("simple", 2, F.size("simple") - 1).alias("b"))
+
+    def distance(p, side):
+        a, b = side["a"], side["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        length = F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        along = F.coalesce(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / length, F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.hypot(p["x"] - a["x"] - t * dx, p["y"] - a["y"] - t * dy)
+
+    offset = F.array_max(F.transform("exact", lambda p: F.array_min(F.transform("sides", lambda s: distance(p, s)))))
+    checked = both.withColumn("sides", sides).select(
+        "scene_id",
+        "site_id",
+        (F.element_at("simple", 1) == F.element_at("simple", -1)).alias("closed"),
+        (F.size(F.array_except("simple", "exact")) == 0).alias("own_corners"),
+        (offset <= tolerance + 1e-6).alias("within_tolerance"),
+        (F.abs(F.col("simple_area") - F.col("exact_area")) <= F.col("exact_perimeter") * tolerance).alias("area_kept"),
+    )
+    return checked.groupBy("scene_id", "site_id").agg(*(F.bool_and(c).alias(c) for c in ("closed", "own_corners", "within_tolerance", "area_kept")))
 
 
 # ---- vectors ---------------------------------------------------------------------------
