@@ -158,19 +158,32 @@ def _sides(features: DataFrame) -> DataFrame:
 
 
 def _line_cells(features: DataFrame) -> DataFrame:
-    """One step per cell along the longer axis of each side."""
-    stepped = _sides(features).withColumns(
-        {c: F.floor(c).cast("int") for c in ("u0", "v0", "u1", "v1")}
-    )
+    """One step per cell along the longer axis of each side; only steps that can lie in the grid are made."""
+    stepped = _sides(features).withColumns({c: F.floor(c) for c in ("u0", "v0", "u1", "v1")})
     steps = F.greatest(F.abs(F.col("u1") - F.col("u0")), F.abs(F.col("v1") - F.col("v0")))
 
     def at(lo: str, hi: str) -> Column:
         share = F.coalesce(F.col("i") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
         return (F.col(lo) + F.floor((F.col(hi) - F.col(lo)) * share + 0.5)).cast("int")
 
+    def share_inside(lo: str, hi: str, size: str) -> tuple[Column, Column]:
+        """Least and largest share of the way that is within a cell of the grid on one axis."""
+        way = F.nullif(F.col(hi) - F.col(lo), F.lit(0))
+        enter, leave = (-1 - F.col(lo)) / way, (F.col(size) - F.col(lo)) / way
+        still = F.col(lo).between(0, F.col(size) - 1)
+        return (
+            F.coalesce(F.least(enter, leave), F.when(still, F.lit(0.0)).otherwise(F.lit(1.0))),
+            F.coalesce(F.greatest(enter, leave), F.when(still, F.lit(1.0)).otherwise(F.lit(0.0))),
+        )
+
+    (u_from, u_to), (v_from, v_to) = share_inside("u0", "u1", "width"), share_inside("v0", "v1", "height")
+    first = F.greatest(F.lit(0), F.floor(F.greatest(u_from, v_from) * F.col("n")) - 1)
+    last = F.least(F.col("n"), F.ceil(F.least(u_to, v_to) * F.col("n")) + 1)
     return (
         stepped.withColumn("n", steps)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+        .withColumns({"_first": first, "_last": last})
+        .filter("_first <= _last")
+        .withColumn("i", F.explode(F.sequence("_first", "_last")))
         .select(*_PLACED, at("v0", "v1").alias("row"), at("u0", "u1").alias("col"))
     )
 

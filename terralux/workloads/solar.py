@@ -302,6 +302,28 @@ def p24_site_enrichment(spark, sf_dir):
     return df.select("scene_id", "site_id", "kwh_per_kwp_yr", "gwh_per_yr", "lcoe", "capacity_mwp", "energy_method")
 
 
+@query(
+    "p24_weather_enrichment",
+    f"""WITH {cells_sql('ghi_annual')}, stub AS (SELECT 's' || (s_suppkey % 6) AS scene_id, s_suppkey AS site_id, 299000.0 + (s_suppkey * 331 % 20000) AS cx, 3501000.0 - (s_suppkey * 617 % 80000) AS cy, CAST(1 + s_suppkey % 50 AS DOUBLE) AS area_km2 FROM supplier), {NEAR_SQL},
+{_YEAR_SQL}, few AS (SELECT 's' || (s_suppkey % 6) AS scene_id, s_suppkey AS site_id, CAST(s_suppkey % 60 AS DOUBLE) - 30 AS lat, CAST(s_suppkey % 90 AS DOUBLE) AS lon FROM supplier),
+shaped AS (SELECT f.site_id, f.lat, f.lon, wx.*, abs(f.lat) AS tilt, CASE WHEN f.lat >= 0 THEN 180.0 ELSE 0.0 END AS azimuth FROM few f JOIN wx USING (scene_id)),{power_sql('shaped')},
+yl AS (SELECT scene_id, site_id, sum(ac_w) / 1000 * {DERATE!r}::DOUBLE AS modelled FROM power GROUP BY 1, 2),
+e AS (SELECT near.*, modelled, coalesce(modelled, greatest(0, ghi * 0.75)) AS y FROM near LEFT JOIN yl USING (scene_id, site_id))
+SELECT scene_id, site_id, round(y, 1) AS kwh_per_kwp_yr, round(y * (area_km2 * 45) / 1000, 3) AS gwh_per_yr, round({_LCOE_TOP} / y, 5) AS lcoe, CASE WHEN modelled IS NULL THEN 'ghi_pr_offline' ELSE 'pvlib_modelchain' END AS energy_method FROM e""",
+)
+def p24_weather_enrichment(spark, sf_dir):
+    """Sites of five scenes with weather and of one without."""
+    from terralux.workloads.inputs import grids
+
+    sites = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('s', s_suppkey % 6) AS scene_id", "s_suppkey AS site_id", "299000.0D + (s_suppkey * 331 % 20000) AS centroid_x", "3501000.0D - (s_suppkey * 617 % 80000) AS centroid_y",
+        "CAST(1 + s_suppkey % 50 AS DOUBLE) AS area_km2", "CAST(s_suppkey % 60 AS DOUBLE) - 30 AS centroid_lat", "CAST(s_suppkey % 90 AS DOUBLE) AS centroid_lon",
+    )
+    hours = weather(spark, sf_dir).withColumn("scene_id", F.concat(F.lit("s"), F.col("site_id"))).drop("site_id", "lat", "lon")
+    df = energy.enrich_sites(sites, cells(spark, sf_dir, "ghi_annual"), grids(spark, sf_dir), hours)
+    return df.select("scene_id", "site_id", "kwh_per_kwp_yr", "gwh_per_yr", "lcoe", "energy_method")
+
+
 # ---- rooftops --------------------------------------------------------------------------
 
 
