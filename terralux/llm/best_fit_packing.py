@@ -31,7 +31,7 @@ SIZE = 2048
 SEPARATOR = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Encoded strings that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
 
@@ -55,10 +55,10 @@ class WordEncoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, texts: list[list[bytes]]) -> None:
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        new = list({w for w in words if w not in self._known})
+        new = list(set().union(*texts).difference(self._known))
         plain = [w for w in new if b"<|" not in w] if self._mark else []
         for k in range(0, len(plain), 500):
             block = plain[k : k + 500]
@@ -105,7 +105,7 @@ def encoded_pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR
             raw, rows = data.tobytes(), []
             for a, b in chunks(offsets):
                 words = [_split(raw[offsets[k] : offsets[k + 1]]) for k in range(a, b)]
-                encode.learn([w for text in words for w in text])
+                encode.learn(words)
                 for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), words, strict=True):
                     ids = encode.ids(text) + end
                     for piece in range(-(-len(ids) // (4 * size))):
