@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralux.functions.geodesy import with_lonlat, with_utm
 from terralux.operators.stencil import with_patch
 
 # Resolution limits, lattice sides, area that one sampling unit covers, tile split.
@@ -236,6 +237,58 @@ def resample(targets: DataFrame, source: DataFrame, method: str = "bilinear") ->
     )
 
 
+def source_indices(cells: DataFrame, grids: DataFrame, affine: DataFrame) -> DataFrame:
+    """C11 with C3: where each cell's centre lies in its scene's WGS-84 raster.
+
+    ``cells`` (scene_id, row, col, x, y), ``grids`` gives the EPSG code, ``affine`` (scene_id, west, north,
+    dlon, dlat) the raster's outer north-west corner and pixel size. Adds src_row and src_col, in
+    which pixel centres are whole numbers; NULL in scenes without a raster.
+    """
+    coded = cells.join(grids.select("scene_id", "epsg"), "scene_id")
+    located = with_lonlat(coded, "x", "y", "epsg", "_lon", "_lat").join(
+        affine.select("scene_id", "west", "north", "dlon", "dlat"), "scene_id", "left"
+    )
+    return located.withColumns(
+        {
+            "src_row": (F.col("north") - F.col("_lat")) / F.col("dlat") - 0.5,
+            "src_col": (F.col("_lon") - F.col("west")) / F.col("dlon") - 0.5,
+        }
+    ).drop("epsg", "_lon", "_lat", "west", "north", "dlon", "dlat")
+
+
+def target_indices(source: DataFrame, grids: DataFrame, affine: DataFrame) -> DataFrame:
+    """The other way round, for averages: the cell that holds each pixel's centre (target_row, target_col)."""
+    spec = affine.join(grids.select("scene_id", "epsg", "minx", "maxy", "resolution_m", F.col("width").alias("_w"), F.col("height").alias("_h")), "scene_id")
+    placed = source.join(spec, "scene_id").withColumns(
+        {
+            "_lon": F.col("west") + (F.col("col") + 0.5) * F.col("dlon"),
+            "_lat": F.col("north") - (F.col("row") + 0.5) * F.col("dlat"),
+        }
+    )
+    metres = with_utm(placed, "_lon", "_lat", "epsg", "_x", "_y").withColumns(
+        {
+            "target_row": F.floor((F.col("maxy") - F.col("_y")) / F.col("resolution_m")).cast("int"),
+            "target_col": F.floor((F.col("_x") - F.col("minx")) / F.col("resolution_m")).cast("int"),
+        }
+    )
+    inside = F.col("target_row").between(0, F.col("_h") - 1) & F.col("target_col").between(0, F.col("_w") - 1)
+    return metres.filter(inside).select(*source.columns, "target_row", "target_col")
+
+
+def warp(cells: DataFrame, grids: DataFrame, source: DataFrame, affine: DataFrame, method: str = "bilinear") -> DataFrame:
+    """C11: a WGS-84 raster (scene_id, row, col, value) on the cells of the working grid.
+
+    ``affine`` also gives the raster's width and height in pixels. Cells that no pixel reaches are NULL.
+    """
+    if method == "average":
+        means = resample(cells, target_indices(source, grids, affine), "average")
+        return cells.join(means, ["scene_id", "row", "col"], "left")
+    targets = source_indices(cells, grids, affine)
+    ring = 0 if method == "nearest" else _KERNELS[method][1] + 1
+    padded = pad_raster(source, affine, ring) if ring else source
+    return resample(targets, padded, method)
+
+
 def pad_raster(source: DataFrame, grids: DataFrame, ring: int) -> DataFrame:
     """Adds ``ring`` lines of missing pixels around a raster (for targets at its border)."""
     lines = grids.select(

@@ -537,6 +537,43 @@ def c11_resample_average(spark, sf_dir):
     return df.select(*CELL, F.round("value", 6).alias("value"))
 
 
+# A WGS-84 raster of half the resolution over each scene: its outer corner and pixel size in degrees.
+WEST, NORTH, DLON, DLAT = 24.9, 31.64, 0.0105, 0.009
+
+
+def _affine(spark, sf_dir):
+    return _coarse(spark, sf_dir).groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width")).withColumns(
+        {"west": F.lit(WEST), "north": F.lit(NORTH), "dlon": F.lit(DLON), "dlat": F.lit(DLAT)}
+    )
+
+
+_WARP_SQL = f"""{BASE_SQL}, pt AS (SELECT scene_id, row, col, {EPSG} AS epsg, {MINX}::DOUBLE + (col + 0.5) * 500 AS x, {MAXY}::DOUBLE - (row + 0.5) * 500 AS y FROM base),
+{inverse_sql('pt', 'geo', 'scene_id, row, col')},
+tg AS MATERIALIZED (SELECT scene_id, row, col, ({NORTH}::DOUBLE - lat) / {DLAT}::DOUBLE - 0.5 AS sr, (lon - {WEST}::DOUBLE) / {DLON}::DOUBLE - 0.5 AS sc FROM geo), {COARSE_SQL}"""
+
+
+@query(
+    "c11_reprojected_nearest",
+    f"WITH {_WARP_SQL} SELECT t.scene_id, t.row, t.col, value FROM tg t LEFT JOIN co s ON s.scene_id = t.scene_id AND s.row = floor(sr + 0.5) AND s.col = floor(sc + 0.5)",
+)
+def c11_reprojected_nearest(spark, sf_dir):
+    """A raster in degrees on the cells of a UTM grid."""
+    at = cells(spark, sf_dir, "x", "y").select(*CELL, "x", "y")
+    return gr.warp(at, grids(spark, sf_dir), _coarse(spark, sf_dir), _affine(spark, sf_dir), "nearest").select(*CELL, "value")
+
+
+@query(
+    "c11_reprojected_bilinear",
+    f"""WITH {_WARP_SQL}, taps AS (SELECT scene_id, row, col, floor(sr) + i AS pr, floor(sc) + j AS pc, abs(1 - i - (sr - floor(sr))) * abs(1 - j - (sc - floor(sc))) AS w FROM tg, range(2) a(i), range(2) b(j))
+SELECT t.scene_id, t.row, t.col, round(sum(CASE WHEN value IS NOT NULL THEN w * value END) / nullif(sum(CASE WHEN value IS NOT NULL THEN w END), 0), 5) AS value
+FROM taps t LEFT JOIN co s ON s.scene_id = t.scene_id AND s.row = t.pr AND s.col = t.pc GROUP BY 1, 2, 3""",
+)
+def c11_reprojected_bilinear(spark, sf_dir):
+    at = cells(spark, sf_dir, "x", "y").select(*CELL, "x", "y")
+    df = gr.warp(at, grids(spark, sf_dir), _coarse(spark, sf_dir), _affine(spark, sf_dir), "bilinear")
+    return df.select(*CELL, F.round("value", 5).alias("value"))
+
+
 # Samples every 20 cells, offset by half; a sheared position so that quads are no rectangles.
 LATTICE_SQL = """smp AS (SELECT scene_id, col // 20 AS i, row // 20 AS j, (col + 0.0) * 500 + (row + 0.0) * 25 AS x, (row + 0.0) * 500 AS y,
   CAST(k % 313 AS DOUBLE) AS value FROM base WHERE row % 20 = 10 AND col % 20 = 10),

@@ -18,6 +18,7 @@ from terralux import registry as rg
 from terralux.functions import finance, geodesy, losses, text
 from terralux.operators import aoi, components, energy, interpolate, numbering, overlay, pairwise, polygons
 from terralux.operators import proximity, quality, quantiles, reclassify, rooftop, sites, terrain, uncertainty, vectors
+from terralux.operators import grids
 from terralux.operators.grids import snap_grid
 from terralux.session import scratch_path
 from terralux.sources import documents as doc
@@ -333,6 +334,22 @@ def test_oblong_lattice_with_a_wide_hole(spark):
             assert r.value in set(known[near == near.min()].value)
 
 
+def test_linear_field_survives_reprojection(spark):
+    """A field linear in degrees, tiled over a seam, on cells of a UTM grid: exact between pixel centres."""
+    grid = frame(spark, [("a", 500000.0, 3500000.0, 500.0, 20, 30, 32635)], "scene_id STRING, minx DOUBLE, maxy DOUBLE, resolution_m DOUBLE, width INT, height INT, epsg INT")
+    r, c = np.indices((30, 20)).reshape(2, -1)
+    cells = spark.createDataFrame(pd.DataFrame({"scene_id": "a", "row": r, "col": c, "x": 500000.0 + (c + 0.5) * 500, "y": 3500000.0 - (r + 0.5) * 500}))
+    west, north, step = 26.9, 31.7, 0.004
+    i, j = np.indices((80, 80)).reshape(2, -1)
+    lon, lat = west + (j + 0.5) * step, north - (i + 0.5) * step
+    source = spark.createDataFrame(pd.DataFrame({"scene_id": "a", "row": i, "col": j, "value": 3.0 * lon - 2.0 * lat}))
+    affine = frame(spark, [("a", west, north, step, step, 80, 80)], "scene_id STRING, west DOUBLE, north DOUBLE, dlon DOUBLE, dlat DOUBLE, width INT, height INT")
+    want = geodesy.with_lonlat(cells.join(grid.select("scene_id", "epsg"), "scene_id"), "x", "y", "epsg", "lon", "lat").select("row", "col", "lon", "lat").toPandas()
+    for method, tolerance in (("bilinear", 1e-6), ("cubic", 1e-6), ("nearest", 0.011), ("average", 0.011)):
+        got = grids.warp(cells, grid, source, affine, method).toPandas().merge(want, on=["row", "col"])
+        assert len(got) == 600 and np.allclose(got.value, 3.0 * got.lon - 2.0 * got.lat, atol=tolerance), method
+
+
 def test_value_above_the_last_bound_scores_zero(spark):
     bands = frame(spark, [("k", float("-inf"), 5.0, 1.0)], "key STRING, lo DOUBLE, hi DOUBLE, score DOUBLE")
     values = frame(spark, [("k", 3.0), ("k", 99.0), ("k", None)], "key STRING, value DOUBLE")
