@@ -330,7 +330,7 @@ def test_gradients_match_differences():
 
 
 def test_toxicity_of_hard_rows(spark, make_docs, hard_rows):
-    teaching = [(100 + k, f"{'vile slur ' * (k % 2)}plain words number {k}", "en") for k in range(200)]
+    teaching = [(100 + k, f"{'vile slur ' * (k % 2)}plain words number {k % 10}", "en") for k in range(200)]
     labels = spark.createDataFrame([(100 + k, k % 2, None) for k in range(200)] + [(None, 1, None), (5, None, None)], "doc_id long, toxic int, score string")
     docs = make_docs([*hard_rows, *teaching])
     got = toxicity.toxicity_held_out(docs, labels).collect()

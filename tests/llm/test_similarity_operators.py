@@ -162,6 +162,20 @@ def test_nearest_of_corpus(spark):
                 assert abs(found[q, j] - s) < 1e-12
 
 
+def test_recall_among_vectors_without_structure(spark):
+    """Clusters that are isotropic inside, more rows than one search opens."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(10, 64))
+    x = 0.6 * centres[rng.integers(0, 10, 6000)] + rng.normal(size=(6000, 64))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": list(x)}))
+    got = ann_forest.nearest(frame, frame.where("vec_id % 50 = 0")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit[::50] @ unit.T
+    close[np.arange(120), np.arange(0, 6000, 50)] = -9
+    want = {(50 * q, int(j)) for q, row in enumerate(np.argsort(-close, axis=1)[:, :5]) for j in row}
+    assert len(got) == 600 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+
+
 def test_nearest_hard_rows(spark):
     rows = [(k, [float(np.cos(k)), float(np.sin(k)), 1.0]) for k in range(1, 60)]
     rows += [(k, [1.0, 2.0, 3.0]) for k in range(100, 160)]
