@@ -106,3 +106,31 @@ SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_hits >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        strict_hits, soft_hits
 FROM hits"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WIDTH = decontaminate.WIDTH
+ORACLES["op9_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, size, list_slice(w, i, i + size - 1) AS g
+  FROM (SELECT item_id, w, least({_WIDTH}, len(w)) AS size, unnest(range(1, len(w) - least({_WIDTH}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+spot AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+hits AS (SELECT doc_id, item_id, i, spot.size FROM spot JOIN win ON win.size = spot.size AND win.g = list_slice(w, i, i + spot.size - 1)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLES["op10_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + {jaccard_join.SHINGLE - 1})) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {jaccard_join.SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= {jaccard_join.PERCENT} * (any_value(x.n) + any_value(y.n) - count(*))),
+cc(id, c) USING KEY (id) AS (SELECT doc_id AS id, doc_id AS c FROM d UNION
+  SELECT l.u AS id, min(w.c) AS c FROM cc w JOIN links l ON l.v = w.id JOIN recurring.cc o ON o.id = l.u WHERE w.c < o.c GROUP BY l.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, cc.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN cc ON cc.id = d.doc_id"""
