@@ -14,10 +14,13 @@ documents share thus makes no candidates unless little else is in the documents.
 elements instead.
 
 Sets that are equal are one class and take part once. Of a signature's classes, all pairs are
-candidates where there are at most ``SMALL_GROUP`` of them. In a larger group every class is held against
-the smallest one first; where that does not connect the group, the pairs of classes
-that are still in different components follow. So no link between different texts is missed for
-the components, and none is tested twice. Candidates are tested exactly, on the shingles' 64-bit hashes.
+candidates where there are at most ``SMALL_GROUP`` of them. For the classes of larger groups it is
+counted first how many shingles no other of them has. Those shingles cannot be common, which
+bounds the similarity of any pair from above; classes that cannot reach the threshold with any other leave,
+again and again. In what is left, ``ROUNDS`` times, every class of a group that is not connected yet is
+held against the one with the fewest shingles of its own (the text that others were edited from);
+then the pairs still in different components follow, those that the bound allows. So no link between
+different texts is missed for the components. Candidates are tested exactly, on the shingles' 64-bit hashes.
 
 Null text or no words: an empty set, linked with nothing. Fewer words than a shingle: the whole
 sequence is one shingle. Null ids: no link, null component. Rows with equal ids must be equal rows and give one
@@ -54,6 +57,10 @@ from terralux.llm.common import (
 SHINGLE = 5
 PERCENT = 80
 SMALL_GROUP = 12
+#: Signatures by which pairs of classes that share several are met once.
+LEAST_SIGNATURES = 16
+#: Times that open groups are held against one of their classes, and that classes without partners leave before.
+ROUNDS, PRUNINGS = 2, 2
 #: Partitions of a band per difference that its sets may have.
 PARTITIONS_PER_DIFFERENCE = 1.35
 #: Signatures that are sent together.
@@ -273,7 +280,7 @@ def _rarest(n_buckets: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of small groups; of larger ones the pairs with the smallest class, and the members."""
+    """Pairs of small groups; of larger ones the members."""
     rows = table.to_pylist()
     classes = np.concatenate([np.frombuffer(r["classes"], dtype=np.int64) for r in rows])
     signs = np.concatenate([np.frombuffer(r["signatures"], dtype=np.uint64) for r in rows])
@@ -288,8 +295,6 @@ def _candidates(table: pa.Table) -> pa.Table:
         left = np.repeat(first, n) + group_ranks(n)
         pairs.append(np.stack([classes[left], classes[left + step]]))
     large = sizes > SMALL_GROUP
-    others = np.repeat(first[large] + 1, sizes[large] - 1) + group_ranks(sizes[large] - 1)
-    pairs.append(np.stack([np.repeat(classes[first[large]], sizes[large] - 1), classes[others]]))
     found = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(signs) else pairs[0]
     members = np.repeat(first[large], sizes[large]) + group_ranks(sizes[large])
     kind = np.concatenate([np.full(found.shape[1], "pair"), np.full(len(members), "member")])
@@ -345,7 +350,12 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is not None:
         edges = edges.union(known.where("class != component").select(F.col("component").alias("a"), F.col("class").alias("b")))
     edges = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    seen = mark(edges)
+    while seen[0]:
         # Large star: larger neighbours of a node go to its smallest neighbour.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -353,12 +363,91 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of them.
         low = large.groupBy("v").agg(F.min("m").alias("least"))
         small = large.join(low, "v").select("least", F.col("m").alias("w")).where("least != w").union(low.select("least", F.col("v").alias("w")))
-        following = cut(small.select(F.col("least").alias("u"), F.col("w").alias("v")).distinct(), "edges")
-        # Done when nothing moved.
-        same = following.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(following).limit(1).count() == 0
-        edges = following
-        if same:
-            return edges.select(F.col("v").alias("class"), F.col("u").alias("component"))
+        edges = cut(small.select(F.col("least").alias("u"), F.col("w").alias("v")).distinct(), "edges")
+        now = mark(edges)
+        if now == seen:
+            break
+        seen = now
+    return edges.select(F.col("v").alias("class"), F.col("u").alias("component"))
+
+
+def own_shingles(sets: DataFrame, n: int) -> DataFrame:
+    """(class, size, own): shingles of each set, and at least how many of them are in no other set.
+
+    Shingles are told apart by 32 bits within a bucket; one that collides counts as common.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for h in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
+            hashes = np.concatenate(parts)
+            rows = []
+            for b, i in dealt(hashes, n):
+                c = owner[i]
+                head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                rows.append((b, c[head].tobytes(), to_varint(np.diff(np.append(head, len(c)))), (hashes[i] >> np.uint64(32)).astype(np.uint32).tobytes()))
+            yield _batch("bucket long, classes binary, counts binary, keys binary", rows)
+
+    def alone(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint32) for r in rows])
+        owner = np.concatenate([np.repeat(np.frombuffer(r["classes"], dtype=np.int64), from_varint(r["counts"])) for r in rows])
+        _, place, uses = np.unique(keys, return_inverse=True, return_counts=True)
+        classes, n_own = np.unique(owner[uses[place] == 1], return_counts=True)
+        return pa.table({"class": classes, "own": n_own})
+
+    dealt_out = sets.select("class", "hashes").mapInArrow(deal, "bucket long, classes binary, counts binary, keys binary")
+    own = dealt_out.groupBy("bucket").applyInArrow(alone, "class long, own long").groupBy("class").agg(F.sum("own").alias("own"))
+    sizes = sets.select("class", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+    return sizes.join(own, "class", "left").select("class", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _may_link(a: str, b: str, percent: int):
+    """Whether two sets could be similar if all but their own shingles were common."""
+    return F.expr(f"100 * least({a}.size - {a}.own, {b}.size - {b}.own) >= {percent} * ({a}.size + {b}.size - least({a}.size - {a}.own, {b}.size - {b}.own))")
+
+
+def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Labels after all links between classes that share a signature of a large group."""
+    tested = tested.select("a", "b")
+
+    def still_open(placed: DataFrame) -> DataFrame:
+        several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+        return placed.join(several.select("signature"), "signature", "left_semi")
+
+    for round_ in range(ROUNDS + 1):
+        labelled = members.select("signature", "class").join(labels, "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
+        open_ = cut(still_open(labelled), "open")
+        if not open_.limit(1).count():
+            return labels
+        for _ in range(PRUNINGS):
+            own = cut(own_shingles(sets.join(open_.select("class").distinct(), "class", "left_semi"), n), "own")
+            # Even a partner that lies within the set must hold enough of it.
+            fit = own.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+            open_ = still_open(open_.select("signature", "class", "component").join(fit, "class"))
+        members = cut(open_, "open")
+        open_ = members
+        if round_ < ROUNDS:
+            hub = open_.groupBy("signature").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), "class", "component", "size", "own")).alias("hub"))
+            met = open_.alias("m").join(hub, "signature").where("m.component != hub.component").where(_may_link("m", "hub", percent))
+            pairs = met.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b"))
+        else:
+            # Classes that share several signatures meet at the first: each row knows the least of its class.
+            least = open_.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LEAST_SIGNATURES).alias("least"))
+            listed = cut(open_.join(least, "class"), "open")
+            left, right = listed.alias("l"), listed.alias("r")
+            across = F.expr(
+                "l.signature = r.signature and l.class < r.class and l.component != r.component "
+                "and not exists(array_intersect(l.least, r.least), x -> x < l.signature)"
+            )
+            pairs = left.join(right, across & _may_link("l", "r", percent)).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        labels = components(linked_pairs(pairs, sets, n, percent), labels)
+        tested = tested.unionByName(pairs)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -376,17 +465,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(members.select("class")).distinct()
     readers = named.join(classes, "class").select(F.col("first_id").alias("doc_id"), "class")
     sets = cut(_sets(known, readers, width), "sets")
-    links = cut(linked_pairs(pairs, sets, n, percent), "links")
-    labels = components(links)
-    # Classes of large groups that the first tests left in different components.
-    placed = members.join(labels, "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
-    open_groups = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("signature")
-    open_ = cut(placed.join(open_groups, "signature", "left_semi"), "open")
-    if open_.limit(1).count():
-        a, b = open_.alias("a"), open_.alias("b")
-        across = a.join(b, F.expr("a.signature = b.signature and a.class < b.class and a.component != b.component"))
-        more = across.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        labels = components(linked_pairs(cut(more, "pairs"), sets, n, percent), labels)
+    labels = components(linked_pairs(pairs, sets, n, percent))
+    labels = connect_large_groups(members, pairs, labels, sets, n, percent)
     grouped = classes.join(labels, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "first_id")
     ids = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = grouped.join(ids, "component").select("class", "component_id")
@@ -403,11 +483,11 @@ def _sets(docs: DataFrame, readers: DataFrame, width: int) -> DataFrame:
             sets = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("class")), pa.array(sets, pa.binary())], ["class", "hashes"])
 
-    return docs.join(readers, "doc_id").select("class", "text").mapInArrow(run, "class long, hashes binary")
+    return docs.join(readers.hint("merge"), "doc_id").select("class", "text").mapInArrow(run, "class long, hashes binary")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one of the smallest id; all columns stay."""
     found = near_duplicates(docs, width, percent)
     later = found.where("component_id < doc_id").select(F.col("doc_id").alias("_later_id")).distinct()
-    return docs.join(later, docs["doc_id"] == later["_later_id"], "left_anti")
+    return docs.join(later.hint("merge"), docs["doc_id"] == later["_later_id"], "left_anti")
