@@ -188,7 +188,8 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     gone = runs.select(F.col("doc_id").alias("_gone_id"), F.struct("line", "lines").alias("run")).groupBy("_gone_id").agg(F.collect_list("run").alias("_gone_runs"))
     names = docs.columns
     text = names.index("text")
-    joined = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
+    # Joined in the same way at every size: runs grow with the texts.
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
