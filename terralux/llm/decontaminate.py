@@ -349,4 +349,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that are not contaminated; all columns stay. Rows with a null id stay."""
     bad = contamination(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    return docs.join(bad.hint("merge"), docs["doc_id"] == bad["_bad_id"], "left_anti")
