@@ -51,7 +51,7 @@ from terralux.llm.common import (
 
 FOLDS = 10
 HELD_OUT, DEVELOPMENT = 0, 1
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 #: Steps of the logarithm of a ratio, per doubling.
 RATIO_STEPS = 32
 RATIO_SPAN = 64 * RATIO_STEPS
