@@ -12,6 +12,8 @@ lean on it; strings that lean on a shared rank are sorted by their ``WIDTH`` byt
 bucket by bucket, and all but the first of equal ones start a removed span. Longer prefixes never decide
 anything here, so ties end at ``WIDTH`` bytes.
 
+Of equal texts only the one of the smallest id is sorted; every string of the others starts earlier in it.
+
 What is sorted are 64-bit hashes of the prefixes, in buckets by independent bits. Prefixes within a
 task travel packed; a hot string meets in one bucket as its positions only.
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from terralux.llm.common import (
     Rolling,
     bucket_count,
+    bucket_of,
     byte_view,
     chunked_texts,
     cut,
@@ -44,12 +47,16 @@ from terralux.llm.common import (
 )
 
 WIDTH = 100
-#: A difference cover of Z_73: every residue is a difference of two of these in exactly one way.
-PERIOD, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
+#: A difference cover of Z_31: every residue but 0 is a difference of two of these in exactly one way. A
+#: longer period samples fewer suffixes, but their shorter keys let more strings through that do not repeat.
+PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
+#: Bytes of a string's hash that are sent; its bucket tells further bits.
+HASH_BYTES = 7
 KEY = WIDTH - PERIOD
 #: Bytes of text whose keys are sent together.
 BLOCK_BYTES = 16_000_000
 
+DIGEST = "doc_id long, n_bytes long, class long"
 PACKED = "bucket long, ids binary, counts binary, places binary, keys binary"
 FOUND = "part long, ids binary, counts binary, places binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -80,8 +87,23 @@ def _batch(names: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def text_classes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hash of each text as a whole."""
+    raw = data.tobytes()
+    sums = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+    return np.frombuffer(sums, dtype=np.int64)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in chunked_texts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(text_classes(data, offsets))], ["doc_id", "n_bytes", "class"])
+
+    return docs.mapInArrow(run, DIGEST)
+
+
 def _sample_keys(n_buckets: int):
-    """Keys of the sample suffixes of each block of documents, dealt to buckets."""
+    """Keys of the sample suffixes of each block of different texts, dealt to buckets; a text goes by its class."""
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
     def keys(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +124,8 @@ def _sample_keys(n_buckets: int):
             rows = [(b, *_packed_ids(ids[i], places[i]), (hashes[i] >> np.uint64(32)).astype(np.uint32).tobytes()) for b, i in dealt(hashes, n_buckets)]
             return _batch(PACKED, rows)
 
-        for part, data, offsets in chunked_texts(batches):
-            held.append(keys(data, offsets, part.column(0).to_numpy()))
+        for _, data, offsets in chunked_texts(batches):
+            held.append(keys(data, offsets, text_classes(data, offsets)))
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield flush()
@@ -122,7 +144,7 @@ def _by_part(ids: np.ndarray, places: np.ndarray, n_parts: int) -> pa.Table:
 
 
 def _shared_samples(n_parts: int):
-    """Of a bucket's sample suffixes: those whose rank another one shares."""
+    """Of a bucket's sample suffixes: those whose rank a suffix of another text or place shares."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -132,10 +154,19 @@ def _shared_samples(n_parts: int):
         tie = np.zeros(len(keys), dtype=bool)
         tie[1:] = sorted_keys[1:] == sorted_keys[:-1]
         tie[:-1] |= tie[1:]
-        shared = np.zeros(len(keys), dtype=bool)
-        shared[(packed[tie] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        ids, places = (np.concatenate(x) for x in zip(*map(_unpacked_ids, rows), strict=True))
-        return _by_part(ids[shared], places[shared], n_parts)
+        index = (packed[tie] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        ids, places = (np.concatenate(x)[index] for x in zip(*map(_unpacked_ids, rows), strict=True))
+        # Equal texts have sent the same suffixes.
+        keys = keys[index]
+        order = np.lexsort((places, ids, keys))
+        keys, ids, places = keys[order], ids[order], places[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
+        keys, ids, places = keys[new], ids[new], places[new]
+        tie = np.zeros(len(keys), dtype=bool)
+        tie[1:] = keys[1:] == keys[:-1]
+        tie[:-1] |= tie[1:]
+        return _by_part(ids[tie], places[tie], n_parts)
 
     return run
 
@@ -150,6 +181,31 @@ def _positions(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], places[order]
 
 
+def _first_ids(n_parts: int):
+    """Positions by class become positions in the first document of the class."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        classes, places = _positions(left)
+        order = np.argsort(right.column("class").to_numpy())
+        known, first = right.column("class").to_numpy()[order], right.column("first_id").to_numpy()[order]
+        return _by_part(first[np.searchsorted(known, classes)] if len(classes) else classes, places, n_parts)
+
+    return run
+
+
+def _whole_texts(n_parts: int):
+    """Later copies of a text, as starts that cover it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            n = (sizes - 1) // WIDTH + 1
+            starts = np.minimum(group_ranks(n) * WIDTH, np.repeat(sizes - WIDTH, n))
+            yield from _by_part(np.repeat(batch.column(0).to_numpy(), n), starts, n_parts).to_batches()
+
+    return run
+
+
 def _of_documents(ids: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range of each document's entries in the ordered ``listed``."""
     return np.searchsorted(listed, ids, side="left"), np.searchsorted(listed, ids, side="right")
@@ -158,6 +214,9 @@ def _of_documents(ids: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.n
 def _windows(n_buckets: int):
     """Strings that lean on a shared sample: their hashes, dealt to buckets."""
 
+    def sent(hashes: np.ndarray) -> bytes:
+        return hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         listed, samples = _positions(right)
         out = []
@@ -179,7 +238,7 @@ def _windows(n_buckets: int):
                     rolling = Rolling(data[offsets[k] : offsets[k + 1]])
                 found.append((np.full(len(starts), ids[k]), starts, rolling.of(starts, starts + WIDTH)))
             ids, starts, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-            out = [(b, *_packed_ids(ids[i], starts[i]), hashes[i].tobytes()) for b, i in dealt(hashes, n_buckets)]
+            out = [(b, *_packed_ids(ids[i], starts[i]), sent(hashes[i])) for b, i in dealt(hashes, n_buckets)]
         return pa.Table.from_batches([_batch(PACKED, out)])
 
     return run
@@ -190,7 +249,10 @@ def _later_copies(n_parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows])
+        short = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint8) for r in rows]).reshape(-1, HASH_BYTES)
+        keys = np.zeros((len(short), 8), dtype=np.uint8)
+        keys[:, :HASH_BYTES] = short
+        keys = keys.view(np.uint64).reshape(-1)
         ids, starts = (np.concatenate(x) for x in zip(*map(_unpacked_ids, rows), strict=True))
         order = np.lexsort((starts, ids, keys))
         keys, ids, starts = keys[order], ids[order], starts[order]
@@ -237,13 +299,12 @@ def _remains(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _part_of(n: int):
-    """The part of a document, as ``dealt`` deals its id."""
-    from terralux.llm.common import bucket_of
+    """Adds the part of the first column's ids, as ``dealt`` deals them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bucket_of(ids.view(np.uint64), n))], ["doc_id", "text", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(ids.view(np.uint64), n))], [*batch.schema.names, "part"])
 
     return run
 
@@ -255,11 +316,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     n = bucket_count(text_bytes(docs))
     dealt_docs = docs.mapInArrow(_part_of(n), "doc_id long, text string, part long")
-    samples = known.mapInArrow(_sample_keys(n), PACKED).groupBy("bucket").applyInArrow(_shared_samples(n), FOUND)
-    samples = cut(samples, "shared-samples")
+    digest = cut(digests(known), "digests")
+    firsts = digest.groupBy("class").agg(F.min("doc_id").alias("first_id"))
+    shared = known.mapInArrow(_sample_keys(n), PACKED).groupBy("bucket").applyInArrow(_shared_samples(n), FOUND)
+    owners = firsts.mapInArrow(_part_of(n), "class long, first_id long, part long")
+    samples = cut(shared.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(_first_ids(n), FOUND), "shared-samples")
     with_id = known.mapInArrow(_part_of(n), "doc_id long, text string, part long")
     windows = with_id.groupBy("part").cogroup(samples.groupBy("part")).applyInArrow(_windows(n), PACKED)
-    later = cut(windows.groupBy("bucket").applyInArrow(_later_copies(n), FOUND), "later-copies")
+    copies = digest.join(firsts, "class").where((F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= WIDTH)).select("doc_id", "n_bytes")
+    later = windows.groupBy("bucket").applyInArrow(_later_copies(n), FOUND).union(copies.mapInArrow(_whole_texts(n), FOUND))
+    later = cut(later, "later-copies")
     # Rows without an id form a part of their own size: salted, they have no positions.
     salted = dealt_docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(F.col("part")))
     return salted.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(_remains, RESULT)
