@@ -65,6 +65,8 @@ ROUNDS, PRUNINGS = 2, 2
 PARTITIONS_PER_DIFFERENCE = 1.35
 #: Signatures that are sent together.
 BLOCK_SIGNATURES = 1_500_000
+#: Bytes of sets that a part of the exact tests receives on average, at most.
+PART_BYTES = 64_000_000
 
 DIGEST = "doc_id long, n_shingles long, class long"
 SIGNED = "bucket long, classes binary, drops binary, counts binary, signatures binary"
@@ -311,16 +313,31 @@ def candidate_classes(docs: DataFrame, n: int, width: int = SHINGLE, percent: in
     return kept.groupBy("bucket").applyInArrow(_candidates, CANDIDATES)
 
 
-def _part(column: str, n: int):
-    return F.pmod(F.xxhash64(column), F.lit(n))
+def dealt_by(one: str, other: str, size: str):
+    """Key by which a pair is dealt: one of its classes, whose pairs are split further where its size allows many partners.
+
+    Whatever groups are like, a class has no more signatures than some share of its size, and so many small
+    groups or hubs; a partner's set is at most 100 / ``PERCENT`` times its own (8 bytes an element).
+    """
+    splits = F.ceil(F.lit(10.0 * (SMALL_GROUP - 1)) * F.col(size) * F.col(size) / F.lit(PART_BYTES))
+    return F.xxhash64(F.col(one), F.pmod(F.xxhash64(other), splits))
+
+
+def placed_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """Pairs with their part; there are so many parts that ``PART_BYTES`` hold what a part's pairs name."""
+    elements = pairs.agg(F.sum("size")).first()[0] or 0
+    # A pair's sets hold at most 2.25 times the elements of the one whose size is given.
+    n = max(n, bucket_count(18 * elements, PART_BYTES))
+    return pairs.select("a", "b", F.pmod("deal", F.lit(n)).alias("part"))
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, by their sets (class, hashes).
+    """The pairs (a, b, deal, size) of classes that are similar, by their sets (class, hashes).
 
-    A pair is tested in the part of b; a part gets each set that its pairs name once.
+    A pair is tested in a part that its key ``deal`` tells; a part gets each set that its pairs name once. The key must not
+    gather the pairs of a class that can have any number of partners. ``size`` is that of one of the two sets.
     """
-    placed = pairs.select("a", "b", _part("b", n).alias("part"))
+    placed = placed_pairs(pairs, n)
     wanted = placed.select(F.col("a").alias("class"), "part").union(placed.select(F.col("b").alias("class"), "part")).distinct()
     sent = wanted.join(sets, "class").select((F.col("part") + 0).alias("to"), "class", "hashes")
 
@@ -401,8 +418,7 @@ def own_shingles(sets: DataFrame, n: int) -> DataFrame:
 
     dealt_out = sets.select("class", "hashes").mapInArrow(deal, "bucket long, classes binary, counts binary, keys binary")
     own = dealt_out.groupBy("bucket").applyInArrow(alone, "class long, own long").groupBy("class").agg(F.sum("own").alias("own"))
-    sizes = sets.select("class", (F.octet_length("hashes") / 8).cast("long").alias("size"))
-    return sizes.join(own, "class", "left").select("class", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    return sets.select("class", "size").join(own, "class", "left").select("class", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -433,7 +449,9 @@ def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFram
         if round_ < ROUNDS:
             hub = open_.groupBy("signature").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), "class", "component", "size", "own")).alias("hub"))
             met = open_.alias("m").join(hub, "signature").where("m.component != hub.component").where(_may_link("m", "hub", percent))
-            pairs = met.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b"))
+            # By the class that is not the hub: the hub's set goes to every part, its partners each to theirs.
+            deal = dealt_by("m.class", "hub.class", "m.size")
+            pairs = met.select(F.least("m.class", "hub.class").alias("a"), F.greatest("m.class", "hub.class").alias("b"), deal.alias("deal"), "m.size")
         else:
             # Classes that share several signatures meet at the first: each row knows the least of its class.
             least = open_.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LEAST_SIGNATURES).alias("least"))
@@ -443,10 +461,12 @@ def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFram
                 "l.signature = r.signature and l.class < r.class and l.component != r.component "
                 "and not exists(array_intersect(l.least, r.least), x -> x < l.signature)"
             )
-            pairs = left.join(right, across & _may_link("l", "r", percent)).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            # By both classes, as either may have any number of partners.
+            deal = F.xxhash64("l.class", "r.class")
+            pairs = left.join(right, across & _may_link("l", "r", percent)).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"), deal.alias("deal"), "l.size")
+        pairs = cut(pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = components(linked_pairs(pairs, sets, n, percent), labels)
-        tested = tested.unionByName(pairs)
+        tested = tested.unionByName(pairs.select("a", "b"))
     return labels
 
 
@@ -465,7 +485,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(members.select("class")).distinct()
     readers = named.join(classes, "class").select(F.col("first_id").alias("doc_id"), "class")
     sets = cut(_sets(known, readers, width), "sets")
-    labels = components(linked_pairs(pairs, sets, n, percent))
+    sized = pairs.join(sets.select(F.col("class").alias("b"), "size"), "b").select("a", "b", dealt_by("b", "a", "size").alias("deal"), "size")
+    labels = components(linked_pairs(sized, sets, n, percent))
     labels = connect_large_groups(members, pairs, labels, sets, n, percent)
     grouped = classes.join(labels, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "first_id")
     ids = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -475,15 +496,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 
 def _sets(docs: DataFrame, readers: DataFrame, width: int) -> DataFrame:
-    """(class, hashes) of the first documents of these classes."""
+    """(class, size, hashes) of the first documents of these classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunked_texts(batches):
             hashes, first = shingle_sets(data, offsets, width)
             sets = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("class")), pa.array(sets, pa.binary())], ["class", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("class")), pa.array(np.diff(first)), pa.array(sets, pa.binary())], ["class", "size", "hashes"])
 
-    return docs.join(readers.hint("merge"), "doc_id").select("class", "text").mapInArrow(run, "class long, hashes binary")
+    return docs.join(readers.hint("merge"), "doc_id").select("class", "text").mapInArrow(run, "class long, size long, hashes binary")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

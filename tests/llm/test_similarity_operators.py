@@ -133,6 +133,41 @@ def test_similar_sets_share_a_kept_signature(seed):
     assert n > 20
 
 
+@pytest.mark.parametrize("hub", [-(2**62), 2**62])
+def test_sets_of_a_hubs_partners_are_spread(spark, monkeypatch, hub):
+    """A large group whose members all meet one class: no part of the tests gets a large share of their sets."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    rows = [(hub, 90, np.sort(common).tobytes())]
+    for k in range(1, 401):
+        own = rng.integers(0, 2**63, 15, dtype=np.uint64)
+        rows.append((k * 7919, 105, np.sort(np.concatenate([common, own])).tobytes()))
+    sets = spark.createDataFrame([(c, n, bytearray(h)) for c, n, h in rows], "class long, size long, hashes binary")
+    members = sets.selectExpr("1L AS signature", "class")
+    received = []
+    real = jaccard_join.linked_pairs
+
+    def watched(pairs, sets, n, percent):
+        named = jaccard_join.placed_pairs(pairs, n).selectExpr("part", "explode(array(a, b)) AS class").distinct()
+        received.append([r["count"] for r in named.groupBy("part").count().collect()])
+        return real(pairs, sets, n, percent)
+
+    monkeypatch.setattr(jaccard_join, "linked_pairs", watched)
+    none = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "class long, component long")
+    found = jaccard_join.connect_large_groups(members, none, labels, sets, 40, 80).collect()
+    assert len(found) == 400 and len({r.component for r in found}) == 1
+    assert sum(received[0]) == 440 and max(received[0]) <= 40
+
+
+def test_parts_of_the_tests_follow_the_bytes_of_sets(spark, monkeypatch):
+    """Partners of one class are split where they are many bytes; parts grow in number with what pairs name."""
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 100_000)
+    pairs = spark.range(600).selectExpr("id AS a", "1000L AS b", "300L AS size").withColumn("deal", jaccard_join.dealt_by("b", "a", "size"))
+    held = [r["count"] for r in jaccard_join.placed_pairs(pairs, 2).groupBy("part").count().collect()]
+    assert max(held) * 8 * 300 * 1.25 < 150_000
+
+
 # --- nearest neighbours
 
 
