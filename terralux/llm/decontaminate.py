@@ -9,7 +9,7 @@ suffix positions to locate the occurrences. Their spans are merged per document.
 A shard's index holds only runs of words that occur in the benchmark, and only those as long as
 the shortest window: no occurrence can lie elsewhere. The benchmark itself travels to the
 tasks, in blocks of at most ``QUERY_BYTES`` of text, so its size is bounded whatever the table is;
-with several blocks, spans are merged over the blocks.
+with several blocks, document rows are numbered and spans are merged over the blocks by that number.
 
 Null text or no words: zero counts and not contaminated. Null or repeated item ids: a null id does
 not take part; rows of the same id count as one item. Repeated document rows give repeated result
@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralux.llm.common import IS_BREAK, LOWER, Rolling, byte_view, chunked_texts, group_ranks, small_batches, spans
+from terralux.llm.common import IS_BREAK, LOWER, Rolling, byte_view, chunked_texts, cut, group_ranks, small_batches, spans
 
 WIDTH = 13
 #: A document is contaminated from this share of its words on: 1 / 20.
@@ -262,6 +263,12 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
     """Per document row: words, merged spans of hit words, and ids of the items found in it."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    blocks = _query_blocks(benchmark, query_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is not None:
+        # Written once: every block sees the same numbers.
+        docs = cut(docs.withColumn("row_number", F.monotonically_increasing_id()), "rows")
 
     def search(windows: Windows):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +289,12 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
 
         return run
 
-    parts = [docs.mapInArrow(search(Windows(block, width)), SPANS) for block in _query_blocks(benchmark, query_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(parts)
+    if second is None:
+        return docs.mapInArrow(search(Windows(first, width)), SPANS)
+    numbered = docs.select(F.col("row_number").alias("doc_id"), "text")
+    merged = _merged([numbered.mapInArrow(search(Windows(block, width)), SPANS) for block in chain([first, second], blocks)])
+    ids = docs.select("row_number", F.col("doc_id").alias("id"))
+    return merged.join(ids, merged["doc_id"] == ids["row_number"]).select(F.col("id").alias("doc_id"), "n_words", "starts", "ends", "items")
 
 
 def _rows(shard: _Shard, windows: Windows) -> pa.RecordBatch:
@@ -297,10 +306,10 @@ def _rows(shard: _Shard, windows: Windows) -> pa.RecordBatch:
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Spans of several query blocks, merged per document."""
+    """Spans of several query blocks, merged per document row, by its number as doc_id."""
     rows = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part)
+        rows = rows.unionByName(part.where("size(starts) > 0"))
     together = rows.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("starts")).alias("starts"),

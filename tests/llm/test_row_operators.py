@@ -404,6 +404,16 @@ def test_decontamination_of_hard_rows(spark, make_docs, hard_rows, query_bytes):
     assert {r.n_hit for r in decontaminate.contamination(make_docs(docs), bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_keeps_rows_apart_over_blocks(spark, make_docs, hard_rows):
+    """Repeated rows, null ids and different texts under one id, with the benchmark in many blocks."""
+    items = [(k, f"item {k} has words of its own {k * 7}") for k in range(12)] + [(22, hard_rows[5][1])]
+    docs = [*hard_rows, (None, items[3][1]), (None, None), (70, items[1][1]), (70, items[2][1]), (70, "none of them")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.judge(decontaminate.contamination_spans(make_docs(docs), bench, query_bytes=60))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, found.select(*COLUMNS).collect()), key=key) == sorted(brute_force_hits(docs, items), key=key)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fm_index_finds_every_occurrence(seed):
     rng = np.random.default_rng(seed)
