@@ -344,6 +344,24 @@ def test_toxicity_of_hard_rows(spark, make_docs, hard_rows):
     assert {r.score for r in toxicity.toxicity_held_out(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_thresholds_hold_for_the_population(make_docs, spark):
+    """A fifth of the doubtful texts is toxic: they stay, however few of the clean ones are drawn."""
+    rng = random.Random(3)
+    kinds = [("vile slur", 1)] * 240 + [("maybe so", 1)] * 120 + [("maybe so", 0)] * 480 + [("plain", 0)] * 2760
+    texts = [(k, f"{w} " * 4 + " ".join(rng.choices("abcdefgh", k=5)), "en") for k, (w, _) in enumerate(kinds)]
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(kinds)], "doc_id long, toxic int")
+    docs = make_docs(texts)
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, toxicity.fit_toxicity(docs, labels, train_docs=360)).select("doc_id").collect()}
+    assert len([k for k in range(360, 840) if k in kept]) > 400
+    assert len([k for k in range(240) if k in kept]) < 20
+
+
+def test_threshold_weighs_texts():
+    scores, labels = np.array([0.9, 0.9, 0.5, 0.5, 0.5, 0.1]), np.array([1, 1, 1, 1, 0, 0])
+    assert toxicity.best_threshold(scores, labels, np.ones(6)) < 0.5
+    assert 0.5 < toxicity.best_threshold(scores, labels, np.where(labels > 0, 1, 9)) < 0.9
+
+
 # --- decontamination
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
