@@ -15,7 +15,9 @@ anything here, so ties end at ``WIDTH`` bytes.
 Of equal texts only the one of the smallest id is sorted; every string of the others starts earlier in it.
 
 What is sorted are 64-bit hashes of the prefixes, in buckets by independent bits. Prefixes within a
-task travel packed; a hot string meets in one bucket as its positions only.
+task travel packed. Of each different prefix a block of texts sends one position to the prefix's bucket; what
+the block itself proves of the others (repeated samples, later copies) goes on to the texts' part, without its
+hash. A hot string thus meets in one bucket once per block, however many positions it has.
 
 Null text is empty. Rows with equal doc_id must be equal rows; each gets the result. Rows with a
 null id neither lose nor repeat anything. Empty tables give empty results.
@@ -102,6 +104,41 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, DIGEST)
 
 
+def _proven(ids: np.ndarray, places: np.ndarray, n: int) -> list[tuple]:
+    """Positions that need no comparison any more: rows without keys, by the part of their texts."""
+    order = np.lexsort((places, ids))
+    ids, places = ids[order], places[order]
+    return [(p, *_packed_ids(ids[i], places[i]), None) for p, i in dealt(ids.view(np.uint64), n)]
+
+
+def _passed_on(rows: list[dict]) -> tuple[list[dict], list[pa.RecordBatch]]:
+    """Rows with keys, and what is proven already."""
+    done = [(r["bucket"], r["ids"], r["counts"], r["places"]) for r in rows if r["keys"] is None]
+    return [r for r in rows if r["keys"] is not None], [_batch(FOUND, done)] if done else []
+
+
+def _firsts(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which positions are the first of their hash, and of the repeated hashes each position and its first.
+
+    A position that is listed twice counts once.
+    """
+    order = np.argsort(hashes, kind="stable")
+    tie = np.zeros(len(hashes), dtype=bool)
+    tie[1:] = hashes[order][1:] == hashes[order][:-1]
+    tie[:-1] |= tie[1:]
+    several = order[tie]
+    several = several[np.lexsort((places[several], ids[several], hashes[several]))]
+    h, i, p = hashes[several], ids[several], places[several]
+    head = np.ones(len(several), dtype=bool)
+    head[1:] = h[1:] != h[:-1]
+    new = head.copy()
+    new[1:] |= (i[1:] != i[:-1]) | (p[1:] != p[:-1])
+    first = several[np.maximum.accumulate(np.where(head, np.arange(len(several)), 0))] if len(several) else several
+    sent = np.ones(len(hashes), dtype=bool)
+    sent[several[~head]] = False
+    return sent, several[new], first[new]
+
+
 def _sample_keys(n_buckets: int):
     """Keys of the sample suffixes of each block of different texts, dealt to buckets; a text goes by its class."""
     in_cover = np.isin(np.arange(PERIOD), COVER)
@@ -121,7 +158,13 @@ def _sample_keys(n_buckets: int):
 
         def flush() -> pa.RecordBatch:
             ids, places, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(b, *_packed_ids(ids[i], places[i]), (hashes[i] >> np.uint64(32)).astype(np.uint32).tobytes()) for b, i in dealt(hashes, n_buckets)]
+            sent, several, first = _firsts(hashes, ids, places)
+            # All positions of a prefix that stands at two or more are shared, its first too.
+            repeated = several != first
+            shared = np.concatenate([several[repeated], np.unique(first[repeated])])
+            proven = _proven(ids[shared], places[shared], n_buckets)
+            ids, places, hashes = ids[sent], places[sent], hashes[sent]
+            rows = proven + [(b, *_packed_ids(ids[i], places[i]), (hashes[i] >> np.uint64(32)).astype(np.uint32).tobytes()) for b, i in dealt(hashes, n_buckets)]
             return _batch(PACKED, rows)
 
         for _, data, offsets in chunked_texts(batches):
@@ -147,7 +190,9 @@ def _shared_samples(n_parts: int):
     """Of a bucket's sample suffixes: those whose rank a suffix of another text or place shares."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows, proven = _passed_on(table.to_pylist())
+        if not rows:
+            return pa.Table.from_batches(proven)
         keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint32) for r in rows])
         packed = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
         sorted_keys = packed >> np.uint64(32)
@@ -166,7 +211,7 @@ def _shared_samples(n_parts: int):
         tie = np.zeros(len(keys), dtype=bool)
         tie[1:] = keys[1:] == keys[:-1]
         tie[:-1] |= tie[1:]
-        return _by_part(ids[tie], places[tie], n_parts)
+        return pa.Table.from_batches([*proven, *_by_part(ids[tie], places[tie], n_parts).to_batches()])
 
     return run
 
@@ -238,7 +283,11 @@ def _windows(n_buckets: int):
                     rolling = Rolling(data[offsets[k] : offsets[k + 1]])
                 found.append((np.full(len(starts), ids[k]), starts, rolling.of(starts, starts + WIDTH)))
             ids, starts, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-            out = [(b, *_packed_ids(ids[i], starts[i]), sent(hashes[i])) for b, i in dealt(hashes, n_buckets)]
+            first_ones, several, first = _firsts(hashes, ids, starts)
+            later = several[several != first]
+            proven = _proven(ids[later], starts[later], n_buckets)
+            ids, starts, hashes = ids[first_ones], starts[first_ones], hashes[first_ones]
+            out = proven + [(b, *_packed_ids(ids[i], starts[i]), sent(hashes[i])) for b, i in dealt(hashes, n_buckets)]
         return pa.Table.from_batches([_batch(PACKED, out)])
 
     return run
@@ -248,7 +297,9 @@ def _later_copies(n_parts: int):
     """Of a bucket's strings: starts of all but the first of equal ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows, proven = _passed_on(table.to_pylist())
+        if not rows:
+            return pa.Table.from_batches(proven)
         short = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint8) for r in rows]).reshape(-1, HASH_BYTES)
         keys = np.zeros((len(short), 8), dtype=np.uint8)
         keys[:, :HASH_BYTES] = short
@@ -259,7 +310,7 @@ def _later_copies(n_parts: int):
         head = np.concatenate([[True], keys[1:] != keys[:-1]])
         first = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
         later = (ids != ids[first]) | (starts != starts[first])
-        return _by_part(ids[later], starts[later], n_parts)
+        return pa.Table.from_batches([*proven, *_by_part(ids[later], starts[later], n_parts).to_batches()])
 
     return run
 

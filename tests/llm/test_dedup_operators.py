@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from llm_cases import SF_DIR, hard_rows, make_docs  # noqa: F401
 
@@ -83,6 +84,26 @@ def test_byte_dedup_over_many_parts(make_docs, monkeypatch, seed):  # noqa: F811
     compare_bytes(byte_dedup.repeated_spans(make_docs(docs, 4)).collect(), docs)
 
 
+def test_hot_strings_meet_once_per_block(make_docs, monkeypatch):  # noqa: F811
+    """Rules of dashes and periodic texts: of each string a block sends one position to be compared."""
+    monkeypatch.setattr(byte_dedup, "bucket_count", lambda _: 3)
+    docs = [(k, f"start {k} " + "-" * 700 + f" {k} " + "ab" * 300 + f" end {k}") for k in range(60)]
+    met = []
+    for name, size in (("_shared_samples", 4), ("_later_copies", byte_dedup.HASH_BYTES)):
+        frame = make_docs(docs, 2).select("doc_id", "text").toPandas()
+        table = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+        if name == "_shared_samples":
+            rows = [r for b in byte_dedup._sample_keys(3)(iter([table])) for r in b.to_pylist()]
+        else:
+            ids = np.repeat(np.arange(60), 20)
+            places = byte_dedup._by_part(ids, np.tile(np.arange(20) * 30, 60), 1)
+            rows = byte_dedup._windows(3)(pa.Table.from_batches([table]), places).to_pylist()
+        keys = [r["keys"] for r in rows if r["keys"] is not None]
+        met.append((sum(map(len, keys)) // size, len({(r["bucket"], r["keys"][i : i + size]) for r in rows if r["keys"] for i in range(0, len(r["keys"]), size)})))
+    assert all(n == different for n, different in met), met
+    compare_bytes(byte_dedup.repeated_spans(make_docs(docs, 4)).collect(), docs)
+
+
 # --- lines
 
 
