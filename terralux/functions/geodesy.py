@@ -225,27 +225,6 @@ def roof_area_m2(ring: Column) -> Column:
     return F.when(F.size(corners) < 3, F.lit(0.0)).otherwise(area)
 
 
-def ring_crosses_itself(ring: Column) -> Column:
-    """Whether two non-adjacent sides of a closed ring properly cross.
-
-    Compared inside the row (an AOI outline has tens of corners), so no pair leaves it.
-    """
-
-    def turn(p: Column, q: Column, r: Column) -> Column:
-        return F.signum(
-            (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
-        )
-
-    sides = _sides(ring)
-
-    def crosses(s: Column, t: Column) -> Column:
-        return (turn(s["a"], s["b"], t["a"]) * turn(s["a"], s["b"], t["b"]) < 0) & (
-            turn(t["a"], t["b"], s["a"]) * turn(t["a"], t["b"], s["b"]) < 0
-        )
-
-    return let(sides, lambda all_sides: F.exists(all_sides, lambda s: F.exists(all_sides, lambda t: crosses(s, t))))
-
-
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd test of a point against one closed ring."""
     crossings = F.filter(

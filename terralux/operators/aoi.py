@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralux.functions import geodesy as g
 from terralux.functions.bind import bind
+from terralux.operators.validity import topology_faults
 
 # Fixed value: largest area of interest.
 MAX_AREA_KM2 = 10000.0
@@ -78,15 +79,16 @@ def with_measures(aois: DataFrame) -> DataFrame:
 def with_faults(aois: DataFrame) -> DataFrame:
     """Adds ``faults``, the names of the rules an area breaks (empty when valid).
 
-    Expects the columns of :func:`with_measures` plus ``doc_fault`` from the parser.
+    Expects the columns of :func:`with_measures` plus ``doc_fault`` from the parser. Outlines are
+    searched by their sides; only the areas at fault come back to be joined.
     """
-    crossing = F.exists(_rings(F.col("polygons")), g.ring_crosses_itself)
-    rules = F.array(
-        F.col("doc_fault"),
-        F.when(F.coalesce(crossing, F.lit(False)), F.lit("self_intersection")),
-        F.when(F.col("area_km2") > MAX_AREA_KM2, F.lit("too_large")),
+    broken = topology_faults(aois.select("aoi_id", "polygons")).groupBy("aoi_id").agg(F.array_sort(F.collect_set("fault")).alias("_broken"))
+    rules = F.concat(
+        F.array(F.col("doc_fault")),
+        F.coalesce("_broken", F.array().cast("array<string>")),
+        F.array(F.when(F.col("area_km2") > MAX_AREA_KM2, F.lit("too_large"))),
     )
-    return bind(aois, {"faults": F.array_compact(rules)})
+    return bind(aois.join(broken, "aoi_id", "left"), {"faults": F.array_compact(rules)}).drop("_broken")
 
 
 def project_extent(aois: DataFrame) -> DataFrame:
