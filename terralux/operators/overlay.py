@@ -62,7 +62,8 @@ def equal_interval_bounds(df: DataFrame, keys: list[str], value: str = "lsi", cl
 
 def quantile_bounds(df: DataFrame, keys: list[str], value: str = "lsi", classes: int = CLASS_COUNT) -> DataFrame:
     """The inner class bounds as an array, from exact quantiles of the non-missing values."""
-    found = quantiles(df, keys, value, [i * (1.0 / classes) for i in range(1, classes)])
+    # The value is a whole scoring of the cells, so it is written before it is read twice.
+    found = quantiles(df, keys, value, [i * (1.0 / classes) for i in range(1, classes)], stored=True)
     return found.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("q", "threshold"))), lambda s: s["threshold"]).alias("bounds")
     )

@@ -1,9 +1,9 @@
 """Exact quantiles per scene without gathering a scene in one task.
 
-``percentile`` merges every distinct value of a group in one buffer. Here values are
-first counted (map-side combined) and written, so the plan above runs once, then located by a histogram over their range: only
-the bins that hold a wanted rank are looked into, twice, so the last, sorted step sees
-at most a 2^-20 slice of a scene's value range per wanted rank.
+A first aggregate counts the values in sparse bins, 2**BIN_BITS for every power of two of their magnitude, so it needs no
+range and is combined on the map side. Summed up in order, the counts name the bins that hold a wanted rank.
+A second aggregate counts the different values of these bins only. A bin holds values that agree in their sign, exponent and
+first BIN_BITS binary digits.
 """
 
 from __future__ import annotations
@@ -12,73 +12,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terralux.functions.bind import bind
 from terralux.session import cut
 
-BINS = 1024
+BIN_BITS = 14
+#: Magnitudes below 2**-LEAST share the bin of zero.
+LEAST = 1000
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
-    """(*keys, q INT, threshold DOUBLE): linear interpolation between order statistics."""
-    # Missing values are dropped after the cut: a filter on a computed column before it would
-    # pull the column's whole expression into the scan.
-    counted = cut(
-        df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(value).alias("n")), "counts"
-    ).filter("n > 0")
-    span = counted.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
-    )
-    # Zero-based ranks needed by each fraction: floor and the one after it.
-    wanted = (
-        span.select(
-            *keys,
-            "lo",
-            "hi",
-            F.posexplode(
-                F.array(*((F.col("total") - 1) * F.lit(float(f)) for f in fractions))
-            ).alias("q", "h"),
-            "total",
-        )
-        .withColumn("below", F.floor("h"))
-        .select(
-            *keys,
-            "lo",
-            "hi",
-            "q",
-            (F.col("h") - F.col("below")).alias("t"),
-            F.posexplode(
-                F.array(F.col("below"), F.least(F.col("below") + 1, F.col("total") - 1))
-            ).alias("side", "rank"),
-        )
-        .withColumn("width", (F.col("hi") - F.col("lo")) / BINS)
-    )
+def with_bin(values: DataFrame) -> DataFrame:
+    """Adds ``_bin``, a whole number that never decreases with ``v``: its exponent and first binary digits."""
+    guessed = values.withColumn("_m", F.abs("v")).withColumn("_e", F.floor(F.log2("_m")))
+    # The logarithm may round across a power of two.
+    over = F.when(F.col("_m") < F.pow(F.lit(2.0), F.col("_e")), -1).when(F.col("_m") >= F.pow(F.lit(2.0), F.col("_e") + 1), 1).otherwise(0)
+    placed = guessed.withColumn("_e", F.col("_e") + over)
+    digits = (F.col("_e") + (LEAST + 1)) * (1 << BIN_BITS) + (F.col("_m") * F.pow(F.lit(2.0), -F.col("_e")) - 1.0) * (1 << BIN_BITS)
+    tiny = F.col("_m") < 2.0**-LEAST
+    # Bound, so that no plan above repeats the steps.
+    return bind(placed, {"_bin": F.when(tiny, F.lit(0).cast("bigint")).otherwise(digits.cast("bigint") * F.signum("v").cast("bigint"))}).drop("_m", "_e")
 
-    def bin_of() -> F.Column:
-        return F.least(
-            F.floor(F.coalesce((F.col("v") - F.col("lo")) / F.nullif(F.col("width"), F.lit(0.0)), F.lit(0.0))),
-            F.lit(BINS - 1),
-        )
 
-    # Level 1: histogram of the whole range (at most BINS rows per key).
-    edges = span.withColumn("width", (F.col("hi") - F.col("lo")) / BINS).drop("total", "hi")
-    placed = counted.join(edges, keys).withColumn("bin", bin_of())
-    slots = keys + ["q", "side", "t", "rank"]
-    first = _locate(wanted.select(*slots), placed.groupBy(*keys, "bin").agg(F.sum("n").alias("n")), keys, "bin")
+def quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float], stored: bool = False) -> DataFrame:
+    """(*keys, q INT, threshold DOUBLE): linear interpolation between order statistics.
 
-    # Level 2: histogram inside each wanted bin (at most BINS rows per wanted bin).
-    hot = first.select(*keys, "bin").distinct()
-    inner = (
-        placed.join(hot, [*keys, "bin"], "left_semi")
-        .withColumn("lo", F.col("lo") + F.col("bin") * F.col("width"))
-        .withColumn("width", F.col("width") / BINS)
-        .withColumn("sub", F.greatest(bin_of(), F.lit(0)))
-    )
-    second = _locate(
-        first, inner.groupBy(*keys, "bin", "sub").agg(F.sum("n").alias("n")), [*keys, "bin"], "sub"
+    ``stored`` writes keys and values first, for a value that is costly to compute. Missing values do not count.
+    """
+    # Bound, as the bin looks at a value several times.
+    values = bind(df.select(*keys, value), {"v": F.col(value).cast("double")}).select(*keys, "v")
+    if stored:
+        values = cut(values, "values")
+    binned = with_bin(values)
+    bins = cut(binned.groupBy(*keys, "_bin").agg(F.count("v").alias("n")).filter("n > 0"), "bins")
+    # Zero-based ranks needed by each fraction: floor and the one after it.
+    total = bins.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    wanted = (
+        total.select(*keys, "_total", F.posexplode(F.array(*((F.col("_total") - 1) * F.lit(float(f)) for f in fractions))).alias("q", "h"))
+        .withColumn("below", F.floor("h"))
+        .select(*keys, "q", (F.col("h") - F.col("below")).alias("t"), F.explode(F.array(F.col("below"), F.least(F.col("below") + 1, F.col("_total") - 1))).alias("rank"))
     )
-
-    # Last: distinct values inside the wanted sub-bins, in order.
-    narrow = inner.join(second.select(*keys, "bin", "sub").distinct(), [*keys, "bin", "sub"], "left_semi")
-    final = _locate(second, narrow.groupBy(*keys, "bin", "sub", "v").agg(F.sum("n").alias("n")), [*keys, "bin", "sub"], "v")
+    first = _locate(wanted, bins, keys, "_bin")
+    hot = first.select(*keys, "_bin").distinct()
+    inner = binned.join(hot, [*keys, "_bin"], "left_semi")
+    final = _locate(first, inner.groupBy(*keys, "_bin", "v").agg(F.count("*").alias("n")), [*keys, "_bin"], "v")
     return (
         final.groupBy(*keys, "q", "t")
         .agg(F.min("v").alias("a"), F.max("v").alias("b"))

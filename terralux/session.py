@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    where, files = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(where)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that :func:`cut` wrote, once nothing reads it any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

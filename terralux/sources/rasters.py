@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralux import schema
-from terralux.operators.grids import align
+from terralux.functions.geodesy import with_lonlat
+from terralux.operators.grids import align, covering_tiles, warp
 from terralux.operators.vectors import areas_meeting_boxes
+from terralux.session import cut, is_committed, scratch_path
 
 # Fixed value: missing-elevation code of the tiles.
 NO_ELEVATION = -9999.0
@@ -30,11 +33,61 @@ def elevation_pixels(tiles: DataFrame, value: str = "value") -> DataFrame:
     return tiles.withColumn(value, F.nullif(F.col(value), F.lit(NO_ELEVATION)))
 
 
+def write_tiles(pixels: DataFrame, path: str) -> None:
+    """Pixels (tile_lat, tile_lon, pixel_row, pixel_col, value) as one folder per tile; rows count from the tile's north-west corner."""
+    pixels.repartition("tile_lat", "tile_lon").write.mode("overwrite").partitionBy("tile_lat", "tile_lon").parquet(path)
+
+
 def read_tiles(spark: SparkSession, path: str, covering: DataFrame) -> DataFrame:
-    """Pixels of the covering tiles. The path is partitioned by tile_lat and tile_lon,
-    so the join prunes partitions at run time."""
-    tiles = covering.select("tile_lat", "tile_lon").distinct()
-    return spark.read.parquet(path).join(tiles, ["tile_lat", "tile_lon"], "left_semi")
+    """Pixels of the covering tiles of every scene, with ``scene_id``.
+
+    The path is partitioned by tile_lat and tile_lon, and the tiles are broadcast, so that the folders are
+    chosen at run time. There are 64,800 tiles of a degree on the globe; a scene has a handful.
+    """
+    needed = covering.select("scene_id", "tile_lat", "tile_lon").distinct()
+    tiles = needed.select("tile_lat", "tile_lon").distinct().filter(F.col("tile_lat").between(-90, 89) & F.col("tile_lon").between(-180, 179))
+    chosen = spark.read.parquet(path).join(F.broadcast(tiles), ["tile_lat", "tile_lon"], "left_semi")
+    return chosen.join(needed, ["tile_lat", "tile_lon"])
+
+
+def tiles_to_cells(
+    spark: SparkSession, path: str, cells: DataFrame, grids: DataFrame, step: int, pixels_per_degree: int, method: str, prepare: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """A tiled WGS-84 raster on the cells (scene_id, row, col, x, y) of every scene, as ``value``.
+
+    The tiles of a scene are those its cells touch, with a margin of the kernel's reach, so that a
+    kernel meets the pixels beyond a tile's border; the scene's raster spans all of them, and the
+    first tile with a value wins where they overlap. Missing tiles leave missing pixels.
+    """
+    at = cells.select("scene_id", "row", "col", "x", "y")
+    located = with_lonlat(at.join(grids.select("scene_id", "epsg"), "scene_id"), "x", "y", "epsg")
+    margin = 3.0 / pixels_per_degree
+    boxes = located.groupBy("scene_id").agg(
+        (F.min("lon") - margin).alias("minx"), (F.min("lat") - margin).alias("miny"), (F.max("lon") + margin).alias("maxx"), (F.max("lat") + margin).alias("maxy")
+    )
+    covering = cut(covering_tiles(boxes, step).select("scene_id", "tile_lat", "tile_lon"), "tiles")
+    size = 1.0 / pixels_per_degree
+    span = covering.groupBy("scene_id").agg(
+        F.min("tile_lon").cast("double").alias("west"), (F.max("tile_lat") + step).cast("double").alias("north"),
+        ((F.max("tile_lon") + step - F.min("tile_lon")) * pixels_per_degree).cast("int").alias("width"),
+        ((F.max("tile_lat") + step - F.min("tile_lat")) * pixels_per_degree).cast("int").alias("height"),
+    ).withColumns({"dlon": F.lit(size), "dlat": F.lit(size)})
+    pixels = read_tiles(spark, path, covering)
+    pixels = prepare(pixels) if prepare else pixels
+    # A scene's tiles are pixels of one raster: rows from its north edge, columns from its west edge.
+    placed = pixels.join(span.select("scene_id", "west", "north"), "scene_id").select(
+        "scene_id",
+        ((F.col("north") - F.col("tile_lat") - step) * pixels_per_degree + F.col("pixel_row")).cast("int").alias("row"),
+        ((F.col("tile_lon") - F.col("west")) * pixels_per_degree + F.col("pixel_col")).cast("int").alias("col"),
+        F.col("value").cast("double").alias("value"), F.struct("tile_lat", "tile_lon").alias("tile_order"),
+    )
+    raster = mosaic(placed, ["scene_id", "row", "col"])
+    if method not in ("nearest", "average"):
+        # Kernels read a patch around each pixel, so places without a pixel must be rows too.
+        rows = span.select("scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).repartition("scene_id", "row")
+        whole = rows.select("scene_id", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+        raster = whole.join(raster, ["scene_id", "row", "col"], "left")
+    return warp(at, grids, raster, span, method)
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -69,16 +122,34 @@ def merge_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     return merged
 
 
-def assemble(base: DataFrame, providers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Layers joined to the grid; a source that fails is skipped and reported.
+#: What a source may fail with; anything else is a mistake of the program and is not caught.
+SOURCE_ERRORS = (PySparkException, Py4JJavaError, OSError)
+
+
+def _committed(spark: SparkSession, provide: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The source's table, written and committed on its own; a table committed earlier is read again."""
+    if not is_committed(spark, path):
+        provide().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def assemble(
+    base: DataFrame, providers: dict[str, Callable[[], DataFrame] | list[Callable[[], DataFrame]]], store: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Layers joined to the grid; a source that fails, also while it runs, is skipped and reported.
 
-    Returns (cells, skipped) with skipped = (source, reason).
+    A layer may have several sources, which are tried in order (S14). Each is written to a folder of its own, below ``store``
+    if given, where a later call finds those already committed. Returns (cells, report) with report =
+    (layer, source, reason): a row per failed source, numbered from 0.
     """
-    layers, skipped = [], []
-    for name, provide in providers.items():
-        try:
-            layers.append(provide())
-        except Exception as error:  # a source may fail in any way; the others still count
-            skipped.append((name, f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"))
-    report = base.sparkSession.createDataFrame(skipped, "source STRING, reason STRING")
+    spark, layers, failed = base.sparkSession, [], []
+    for name, sources in providers.items():
+        path = f"{store}/{name}" if store else scratch_path(spark, f"layer-{name}")
+        for number, provide in enumerate(sources if isinstance(sources, list) else [sources]):
+            try:
+                layers.append(_committed(spark, provide, path))
+                break
+            except SOURCE_ERRORS as error:
+                failed.append((name, number, f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"))
+    report = spark.createDataFrame(failed, "layer STRING, source INT, reason STRING")
     return align(base, *layers), report

@@ -302,20 +302,36 @@ def s10_absent_protected_file(spark, sf_dir):
 
 @query(
     "s17_dataset_assembly",
-    f"WITH {cells_sql('slope', 'lulc')} SELECT scene_id, count(*) AS cells, count(slope) AS slope, count(lulc) AS lulc, 1 AS skipped FROM cells GROUP BY 1",
+    f"WITH {cells_sql('slope', 'lulc', 'temperature')} SELECT scene_id, count(*) AS cells, count(slope) AS slope, count(lulc) AS lulc, count(temperature) AS temperature, 3 AS failed, 'humidity,humidity,temperature' AS layers FROM cells GROUP BY 1",
 )
 def s17_dataset_assembly(spark, sf_dir):
-    """Two layers arrive, one source fails and is reported."""
+    """Three layers arrive, one of them from its second source as the first fails while it runs; a fourth has no source left."""
 
-    def broken():
-        raise RuntimeError("source did not answer")
+    def unreachable():
+        raise ConnectionError("source did not answer")
+
+    @F.udf("double")
+    def breaks_on_row_five(row, value):
+        if row == 5:
+            raise ValueError("broken record")
+        return value
+
+    def breaking(layer):
+        return cells(spark, sf_dir, layer).withColumn(layer, breaks_on_row_five("row", layer))
 
     base = base_cells(spark, sf_dir).select(*CELL)
-    made, skipped = rasters.assemble(
-        base, {"slope": lambda: cells(spark, sf_dir, "slope"), "humidity": broken, "lulc": lambda: cells(spark, sf_dir, "lulc")}
+    made, report = rasters.assemble(
+        base,
+        {
+            "slope": lambda: cells(spark, sf_dir, "slope"),
+            "humidity": [unreachable, lambda: breaking("humidity")],
+            "temperature": [lambda: breaking("temperature"), lambda: cells(spark, sf_dir, "temperature")],
+            "lulc": lambda: cells(spark, sf_dir, "lulc"),
+        },
     )
-    return made.groupBy("scene_id").agg(F.count("*").alias("cells"), F.count("slope").alias("slope"), F.count("lulc").alias("lulc")).withColumn(
-        "skipped", F.lit(skipped.count()).cast("int")
+    failed = report.agg(F.count("*").cast("int"), F.concat_ws(",", F.array_sort(F.collect_list("layer")))).first()
+    return made.groupBy("scene_id").agg(F.count("*").alias("cells"), *(F.count(c).alias(c) for c in ("slope", "lulc", "temperature"))).withColumns(
+        {"failed": F.lit(failed[0]), "layers": F.lit(failed[1])}
     )
 
 

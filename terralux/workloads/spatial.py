@@ -13,6 +13,7 @@ from terralux.operators.quantiles import quantiles
 from terralux.plans.suitability import SITE_CAP_KM2, SITE_CLASSES, classified_cells, select_sites
 from terralux.session import cut, scratch_path
 from terralux.sinks import tables as sink
+from terralux.sources import rasters
 from terralux.sources.documents import parse_areas
 from terralux.workloads.catalog import query
 from terralux.workloads.inputs import (
@@ -20,6 +21,7 @@ from terralux.workloads.inputs import (
     EPSG,
     FEATURES_SQL,
     KINDS,
+    LAND_COVER,
     MAXY,
     MINX,
     RESOLUTION_M,
@@ -574,6 +576,59 @@ def c11_reprojected_bilinear(spark, sf_dir):
     return df.select(*CELL, F.round("value", 5).alias("value"))
 
 
+# Tiles of a globe-wide raster around all scenes; pixels are numbered from the north-west corner of the globe.
+PIXELS_PER_DEGREE = 60
+
+
+def _tile_folder(spark, sf_dir, step, value):
+    """Tiles that the scenes touch and their neighbours, written as a folder per tile."""
+    at = cells(spark, sf_dir, "x", "y").join(grids(spark, sf_dir).select("scene_id", "epsg"), "scene_id")
+    touched = g.with_lonlat(at, "x", "y", "epsg").select((F.floor(F.col("lat") / step) * step).alias("tile_lat"), (F.floor(F.col("lon") / step) * step).alias("tile_lon")).distinct()
+    around = F.array(*(F.struct(F.lit(a * step).alias("a"), F.lit(b * step).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    tiles = touched.select("*", F.explode(around).alias("d")).select((F.col("tile_lat") + F.col("d.a")).alias("tile_lat"), (F.col("tile_lon") + F.col("d.b")).alias("tile_lon")).distinct()
+    line = F.sequence(F.lit(0), F.lit(step * PIXELS_PER_DEGREE - 1))
+    pixels = tiles.withColumn("pixel_row", F.explode(line)).withColumn("pixel_col", F.explode(line)).withColumns(
+        {"gr": (90 - F.col("tile_lat") - step) * PIXELS_PER_DEGREE + F.col("pixel_row"), "gc": (F.col("tile_lon") + 180) * PIXELS_PER_DEGREE + F.col("pixel_col")}
+    )
+    path = scratch_path(spark, "tiles")
+    rasters.write_tiles(pixels.select("tile_lat", "tile_lon", "pixel_row", "pixel_col", F.expr(value).alias("value")), path)
+    return path
+
+
+def _from_tiles(spark, sf_dir, step, value, method, prepare=None):
+    at = cells(spark, sf_dir, "x", "y")
+    return rasters.tiles_to_cells(spark, _tile_folder(spark, sf_dir, step, value), at, grids(spark, sf_dir), step, PIXELS_PER_DEGREE, method, prepare)
+
+
+_GLOBE_SQL = f"""{BASE_SQL}, pt AS (SELECT scene_id, row, col, {EPSG} AS epsg, {MINX}::DOUBLE + (col + 0.5) * 500 AS x, {MAXY}::DOUBLE - (row + 0.5) * 500 AS y FROM base),
+{inverse_sql('pt', 'geo', 'scene_id, row, col')},
+tg AS MATERIALIZED (SELECT scene_id, row, col, (90 - lat) * {PIXELS_PER_DEGREE} - 0.5 AS sr, (lon + 180) * {PIXELS_PER_DEGREE} - 0.5 AS sc FROM geo)"""
+
+
+@query(
+    "s12_tiles_to_cells",
+    f"""WITH {_GLOBE_SQL}, taps AS (SELECT scene_id, row, col, CAST(floor(sr) AS BIGINT) + i AS gr, CAST(floor(sc) AS BIGINT) + j AS gc, abs(1 - i - (sr - floor(sr))) * abs(1 - j - (sc - floor(sc))) AS w FROM tg, range(2) a(i), range(2) b(j)),
+v AS (SELECT scene_id, row, col, w, CASE WHEN (gr * 7 + gc * 3) % 41 <> 0 THEN CAST((gr * 31 + gc * 17) % 900 AS DOUBLE) END AS value FROM taps)
+SELECT scene_id, row, col, round(sum(w * value) / nullif(sum(CASE WHEN value IS NOT NULL THEN w END), 0), 4) AS value FROM v GROUP BY 1, 2, 3""",
+)
+def s12_tiles_to_cells(spark, sf_dir):
+    """Elevation from one-degree tiles; the missing code counts as missing, and kernels cross tile borders."""
+    value = f"IF((gr * 7 + gc * 3) % 41 = 0, {rasters.NO_ELEVATION}, CAST((gr * 31 + gc * 17) % 900 AS DOUBLE))"
+    df = _from_tiles(spark, sf_dir, gr.ELEVATION_TILE_DEG, value, "bilinear", rasters.elevation_pixels)
+    return df.select(*CELL, F.round("value", 4).alias("value"))
+
+
+@query(
+    "s13_tiles_to_cells",
+    f"WITH {_GLOBE_SQL} SELECT scene_id, row, col, ([{', '.join(map(str, LAND_COVER))}])[(CAST(floor(sr + 0.5) AS BIGINT) // 5 + CAST(floor(sc + 0.5) AS BIGINT) // 7) % 11 + 1] AS code FROM tg",
+)
+def s13_tiles_to_cells(spark, sf_dir):
+    """Land-cover codes from three-degree tiles, the nearest pixel each."""
+    value = f"element_at(array({', '.join(map(str, LAND_COVER))}), CAST((gr div 5 + gc div 7) % 11 AS INT) + 1)"
+    df = _from_tiles(spark, sf_dir, gr.LAND_COVER_TILE_DEG, value, "nearest")
+    return df.select(*CELL, F.col("value").cast("int").alias("code"))
+
+
 # Samples every 20 cells, offset by half; a sheared position so that quads are no rectangles.
 LATTICE_SQL = """smp AS (SELECT scene_id, col // 20 AS i, row // 20 AS j, (col + 0.0) * 500 + (row + 0.0) * 25 AS x, (row + 0.0) * 500 AS y,
   CAST(k % 313 AS DOUBLE) AS value FROM base WHERE row % 20 = 10 AND col % 20 = 10),

@@ -114,6 +114,16 @@ def test_quantiles_match_numpy(spark):
         assert math.isclose(r.threshold, np.quantile(values[keys == r.k], at[r.q]), abs_tol=1e-12)
 
 
+def test_quantiles_of_any_magnitude(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.zeros(40), -np.zeros(5), 2.0 ** rng.integers(-80, 80, 300), -(2.0 ** rng.integers(-80, 80, 200)), [1e-320, -1e-310, 1.7e308, -1.7e308], np.nextafter(8.0, 0.0) * np.ones(9)])
+    df = spark.createDataFrame([(1, float(v)) for v in values] + [(1, None), (2, None), (3, 5.0)], "k INT, v DOUBLE")
+    at = [0.0, 0.07, 0.35, 0.5, 0.77, 0.93, 1.0]
+    got = {(r.k, r.q): r.threshold for r in quantiles.quantiles(df, ["k"], "v", at, stored=True).collect()}
+    assert {k for k, _ in got} == {1, 3} and all(got[3, q] == 5.0 for q in range(7))
+    assert all(math.isclose(got[1, q], np.quantile(values, at[q]), rel_tol=1e-12, abs_tol=1e-300) for q in range(1, 6))
+
+
 # ---- geometry --------------------------------------------------------------------------
 
 RING = [[27.0, 31.0], [28.0, 31.0], [28.0, 31.5], [27.0, 31.5], [27.0, 31.0]]
@@ -536,5 +546,28 @@ def test_tiles_are_pruned(spark):
     path = scratch_path(spark, "tiles")
     pixels = frame(spark, [(lat, lon, 0, 0, float(lat)) for lat in range(5) for lon in range(5)], "tile_lat BIGINT, tile_lon BIGINT, row INT, col INT, value DOUBLE")
     pixels.write.partitionBy("tile_lat", "tile_lon").parquet(path)
-    covering = frame(spark, [(1, 2), (1, 3)], "tile_lat BIGINT, tile_lon BIGINT")
-    assert rasters.read_tiles(spark, path, covering).count() == 2
+    covering = frame(spark, [("a", 1, 2), ("a", 1, 3), ("b", 1, 2), ("b", 1, 2)], "scene_id STRING, tile_lat BIGINT, tile_lon BIGINT")
+    read = rasters.read_tiles(spark, path, covering)
+    assert sorted((r.scene_id, r.tile_lat, r.tile_lon) for r in read.collect()) == [("a", 1, 2), ("a", 1, 3), ("b", 1, 2)]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "dynamicpruning" in plan
+
+
+def test_failed_sources_are_skipped_and_committed_ones_kept(spark, tmp_path):
+    base = frame(spark, [("a", 0, k) for k in range(4)], "scene_id STRING, row INT, col INT")
+    layer = base.withColumn("v", F.col("col") * 2.0)
+    breaks = F.udf(lambda c: 1 / (c - 2), "double")
+    calls = []
+
+    def counted():
+        calls.append(1)
+        return layer
+
+    sources = {"v": [lambda: layer.withColumn("v", breaks("col")), counted], "w": lambda: spark.read.parquet(str(tmp_path / "absent"))}
+    store = str(tmp_path / "layers")
+    for _ in range(2):
+        made, report = rasters.assemble(base, sources, store)
+        assert sorted((r.col, r.v) for r in made.collect()) == [(0, 0.0), (1, 2.0), (2, 4.0), (3, 6.0)]
+    assert [(r.layer, r.source) for r in report.collect()] == [("w", 0)] and len(calls) == 1
+    with pytest.raises(NameError):
+        rasters.assemble(base, {"v": lambda: undefined_name})  # noqa: F821
