@@ -11,6 +11,8 @@ n different strings meet is about n * n / 2**65.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,6 +121,13 @@ def chunked_texts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iter
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def free_memory() -> None:
+    """Gives back what a worker has freed, before it waits for its next partition."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library keeps freed memory and can trim it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, unless the session asks for fewer still."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -25,39 +25,56 @@ tokens every estimate is uniform.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralux.llm.common import (
-    IS_SPACE,
-    LOWER,
-    Rolling,
     bucket_count,
     chunked_texts,
     cut,
     dealt,
+    free_memory,
     from_varint,
+    IS_SPACE,
+    LOWER,
     mix,
     remainder,
+    Rolling,
     small_batches,
     spans,
+    take_arrays,
     text_bytes,
     to_varint,
 )
 
 FOLDS = 10
 HELD_OUT, DEVELOPMENT = 0, 1
-BLOCK_TOKENS = 600_000
+BLOCK_TOKENS = 200_000
+#: Blocks that are sent to Python together.
+BATCH_BLOCKS = 16
 #: Steps of the logarithm of a ratio, per doubling.
 RATIO_STEPS = 32
 RATIO_SPAN = 64 * RATIO_STEPS
 EM_ROUNDS = 60
 END, BEGIN = np.uint64(1), np.uint64(2)
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows, for tables whose rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 BLOCKS = "block long, development boolean, ids binary, nulls binary, folds binary, sizes binary, words binary, tokens binary"
 REQUESTS = "bucket long, block long, development boolean, unigrams binary, unigram_counts binary, bigrams binary, bigram_counts binary"
 ANSWERS = (
@@ -173,8 +190,10 @@ def _requests(n_buckets: int):
     names = [x.split()[0] for x in REQUESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block at a time: a batch may hold all blocks of a partition.
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 block = _Block(row)
                 unigrams, bigrams = block.counts()
                 ones, twos = dict(dealt(block.words, n_buckets)), dict(dealt(block.bigrams, n_buckets))
@@ -194,7 +213,9 @@ def _requests(n_buckets: int):
                         )
                     )
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                del row, block, ones, twos, out
+        free_memory()
 
     return run
 
@@ -208,14 +229,15 @@ def _totals(keys: np.ndarray, counts: np.ndarray, development: np.ndarray) -> tu
 
 def _count(table: pa.Table) -> pa.Table:
     """All requests of a bucket: corpus counts for each, in the order asked."""
-    rows = table.to_pylist()
-    unigrams = [np.frombuffer(r["unigrams"], dtype=np.uint64) for r in rows]
-    bigrams = [np.cumsum(from_varint(r["bigrams"])) for r in rows]
+    # Keys are views of the table's buffers.
+    rows = table.select(["bucket", "block", "development"]).to_pylist()
+    unigrams = take_arrays(table.column("unigrams"), np.uint64)
+    bigrams = [np.cumsum(from_varint(x.as_buffer())) for x in table.column("bigrams")]
     answers = {}
     stats = {}
     for name, keys in (("unigrams", unigrams), ("bigrams", bigrams)):
         sizes = [len(k) for k in keys]
-        counts = np.concatenate([from_varint(r[name[:-1] + "_counts"]) for r in rows])
+        counts = np.concatenate([from_varint(x.as_buffer()) for x in table.column(name[:-1] + "_counts")])
         development = np.repeat(np.array([r["development"] for r in rows]), sizes)
         place, total, part = _totals(np.concatenate(keys), counts, development)
         edges = np.cumsum(sizes)[:-1]
@@ -288,7 +310,8 @@ def interpolation_scores(docs: DataFrame) -> DataFrame:
     """Per document: tokens, known tokens, the add-0.1 unigram base score and the model's score."""
     n_buckets = bucket_count(text_bytes(docs))
     blocks = cut(token_blocks(docs), "lm-blocks")
-    answers = cut(blocks.mapInArrow(_requests(n_buckets), REQUESTS).groupBy("bucket").applyInArrow(_count, ANSWERS), "lm-counts")
+    with few_rows(docs.sparkSession, BATCH_BLOCKS):
+        answers = cut(blocks.mapInArrow(_requests(n_buckets), REQUESTS).groupBy("bucket").applyInArrow(_count, ANSWERS), "lm-counts")
     n, n_less, v, v_less = (x or 0 for x in answers.agg(*(F.sum(c) for c in ("n", "n_less", "v", "v_less"))).first())
 
     # Unigram weight: ratio of c / N to 1 / (V + 1) over the development tokens.
