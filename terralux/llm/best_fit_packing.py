@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terralux.llm.common import IS_SPACE, chunks, byte_view, cut, small_batches
+from terralux.llm.common import IS_SPACE, byte_view, chunks, cut, free_memory, small_batches
 
 SIZE = 2048
 SEPARATOR = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Encoded strings that a worker remembers.
+#: Encoded strings that a worker remembers within a partition.
 REMEMBERED = 1_200_000
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
@@ -70,17 +70,16 @@ class WordEncoder:
             if w not in self._known:
                 self._known[w] = self._encode(w.decode())
 
+    def forget(self) -> None:
+        self._known.clear()
+
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self._known.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """A new encoder: what it remembers goes with the partition that uses it."""
+    return WordEncoder(path)
 
 
 _SPACES = bytes(np.flatnonzero(IS_SPACE).tolist())
@@ -117,6 +116,8 @@ def encoded_pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        encode.forget()
+        free_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
