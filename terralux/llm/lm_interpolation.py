@@ -54,7 +54,7 @@ from terralux.llm.common import (
 
 FOLDS = 10
 HELD_OUT, DEVELOPMENT = 0, 1
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 400_000
 #: Blocks that are sent to Python together.
 BATCH_BLOCKS = 16
 #: Steps of the logarithm of a ratio, per doubling.
