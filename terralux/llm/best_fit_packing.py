@@ -30,7 +30,7 @@ from terralux.llm.common import IS_SPACE, byte_view, chunks, cut, free_memory, s
 SIZE = 2048
 SEPARATOR = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Encoded strings that a worker remembers within a partition.
+#: Encoded strings that a worker remembers.
 REMEMBERED = 1_200_000
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
@@ -77,9 +77,16 @@ class WordEncoder:
         return b"".join(map(self._known.__getitem__, words))
 
 
-def encoder(path: str) -> WordEncoder:
-    """A new encoder: what it remembers goes with the partition that uses it."""
-    return WordEncoder(path)
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str, keep: bool = True) -> WordEncoder:
+    """The worker's encoder, or a new one whose memory goes with the partition that uses it."""
+    if not keep:
+        return WordEncoder(path)
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 _SPACES = bytes(np.flatnonzero(IS_SPACE).tolist())
@@ -91,13 +98,13 @@ def _split(text: bytes) -> list[bytes]:
     return (text.lower() if text.isascii() and b"<|" not in text else text).split()
 
 
-def encoded_pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, tokenizer: str = TOKENIZER) -> DataFrame:
+def encoded_pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, tokenizer: str = TOKENIZER, keep: bool = True) -> DataFrame:
     """One row per piece with its checksum, the task that made it and its rank among that task's pieces of equal length."""
     small_batches(docs.sparkSession)
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, keep), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
@@ -116,8 +123,9 @@ def encoded_pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-        encode.forget()
-        free_memory()
+        if not keep:
+            encode.forget()
+            free_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -178,9 +186,9 @@ class Plan:
         return place
 
 
-def pack(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Pieces with their sequence and offset."""
-    pieces = cut(encoded_pieces(docs, size, separator, tokenizer), "pieces")
+def pack(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, tokenizer: str = TOKENIZER, keep: bool = True) -> DataFrame:
+    """Pieces with their sequence and offset. Workers ``keep`` encoded strings from one partition to the next, unless other stages follow."""
+    pieces = cut(encoded_pieces(docs, size, separator, tokenizer, keep), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
