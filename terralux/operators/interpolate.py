@@ -7,12 +7,14 @@ depend on that choice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralux.session import cut
+
 MIN_SAMPLES = 3
-# Fixed value: a lattice has at most 25 samples a side.
-MAX_SAMPLES = 625
 
 
 def too_few_samples(samples: DataFrame) -> DataFrame:
@@ -49,6 +51,7 @@ def interpolate(cells: DataFrame, samples: DataFrame, lattice: DataFrame) -> Dat
     """``cells`` (scene_id, row, col, x, y, u, v): u, v are lattice coordinates of the centre
     (for example lon, lat); ``lattice`` (scene_id, u0, v0, du, dv, side_i, side_j) describes the
     samples' regular arrangement. Adds ``value``; it is NULL in scenes without a lattice or a sample.
+    Where a hole is wider than a quad, the nearest of all samples counts.
     """
     fi, fj = (F.col("u") - F.col("u0")) / F.col("du"), (F.col("v") - F.col("v0")) / F.col("dv")
 
@@ -80,24 +83,41 @@ def interpolate(cells: DataFrame, samples: DataFrame, lattice: DataFrame) -> Dat
     near = joined.withColumn(
         "value", F.when(F.col("inside") & whole, linear).otherwise(nearest["v"])
     ).select(*keep, "value")
-    # A hole larger than a quad: the nearest of all samples of the scene, whose number is checked
-    # before they are collected.
-    lost = near.filter("value IS NULL").drop("value")
-    known = samples.filter("value IS NOT NULL").join(lost.select("scene_id").distinct(), "scene_id", "left_semi")
-    counted = known.groupBy("scene_id").agg(F.count("*").alias("samples"))
-    few = counted.filter(
-        F.assert_true(F.col("samples") <= MAX_SAMPLES, F.lit(f"a lattice with holes has more than {MAX_SAMPLES} samples")).isNull()
-    )
-    known = known.join(few.select("scene_id"), "scene_id", "left_semi").groupBy("scene_id").agg(
-        F.collect_list(F.struct("x", "y", "value")).alias("known")
-    )
-    far = lost.join(known, "scene_id", "left").withColumn(
-        "value",
-        F.array_min(
-            F.transform(
-                "known",
-                lambda p: F.struct(((p["x"] - x) ** 2 + (p["y"] - y) ** 2).alias("d"), p["value"].alias("v")),
-            )
-        )["v"],
-    )
-    return near.filter("value IS NOT NULL").unionByName(far.select(*keep, "value"))
+    lost = near.filter("value IS NULL").join(samples.filter("value IS NOT NULL").select("scene_id").distinct(), "scene_id", "left_semi")
+    far = nearest_samples(lost.select("scene_id", "row", "col", "x", "y").distinct(), samples)
+    if far is None:
+        return near
+    found = far.withColumnRenamed("value", "_far")
+    return near.join(found, ["scene_id", "row", "col"], "left").withColumn("value", F.coalesce("value", "_far")).select(*keep, "value")
+
+
+def nearest_samples(places: DataFrame, samples: DataFrame) -> DataFrame | None:
+    """Value of the sample nearest to each place (scene_id, row, col, x, y), for lattices and holes of any size; of equally
+    near ones the smallest value. Every place's scene needs a sample with a value. None if there is no place.
+
+    Places look into the squares around their own, whose side starts at the samples' mean spacing. A sample nearer than
+    a side cannot lie elsewhere, so a place is settled when its best is that near; the others go on with twice the side.
+    """
+    known = samples.filter("value IS NOT NULL").select("scene_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("value").alias("v"))
+    width, height = F.max("sx") - F.min("sx"), F.max("sy") - F.min("sy")
+    spacing = F.greatest(F.sqrt(width * height / F.count("*")), F.greatest(width, height) / F.count("*"))
+    sides = cut(known.groupBy("scene_id").agg(F.when(spacing > 0.0, spacing).otherwise(F.lit(1.0)).alias("side")), "spacing")
+    known = known.join(sides, "scene_id")
+    open_ = cut(places.join(sides, "scene_id"), "holes")
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    settled, scale = [], 1.0
+    while not open_.isEmpty():
+
+        def square(at: str) -> Column:
+            return F.floor(F.col(at) / (F.col("side") * scale))
+
+        asked = open_.select("*", around.alias("d")).withColumns({"qx": square("x") + F.col("d.i"), "qy": square("y") + F.col("d.j")}).drop("d", "side")
+        held = known.withColumns({"qx": square("sx"), "qy": square("sy")}).drop("side")
+        reach = F.struct(((F.col("sx") - F.col("x")) ** 2 + (F.col("sy") - F.col("y")) ** 2).alias("d"), F.col("v"))
+        best = asked.join(held, ["scene_id", "qx", "qy"]).groupBy("scene_id", "row", "col").agg(F.min(reach).alias("best"))
+        near_enough = F.sqrt("best.d") <= F.col("side") * (scale * (1.0 - 1e-9))
+        tried = cut(open_.join(best, ["scene_id", "row", "col"], "left").withColumn("done", F.coalesce(near_enough, F.lit(False))), "nearest")
+        settled.append(tried.filter("done").select("scene_id", "row", "col", F.col("best.v").alias("value")))
+        open_ = tried.filter("NOT done").drop("best", "done")
+        scale *= 2.0
+    return reduce(DataFrame.unionByName, settled) if settled else None

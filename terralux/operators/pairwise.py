@@ -1,7 +1,7 @@
 """Weights from expert comparison matrices (P45-P48), many matrices at once.
 
 A matrix has at most ten criteria, so it is folded into one row; checks are higher-order
-functions inside it and the power iteration runs over Arrow batches of rows.
+functions inside it and the powers of the matrices are taken over Arrow batches of rows.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 
 from terralux.functions.bind import bind
 
-# Random index for n = 1..10, acceptance limit, iteration limits, tolerances.
+# Random index for n = 1..10, acceptance limit, tolerances.
 RANDOM_INDEX = (0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49)
 MAX_CR = 0.10
 MAX_SIZE = 10
 MIN_SIZE = 2
-STEPS = 1000
+#: Squarings of a matrix before its weights count as unsettled.
+SQUARINGS = 24
 STEP_TOLERANCE = 1e-10
 DIAGONAL_TOLERANCE = 1e-9
 RECIPROCAL_TOLERANCE = 1e-6
@@ -80,45 +81,53 @@ def _times(w: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _power_weights(m: pd.Series, n: pd.Series) -> pd.Series:
-    """Power iteration over an Arrow batch, all matrices of one size at a time.
+@F.pandas_udf(T.StructType([T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("settled", T.BooleanType())]))
+def _power_weights(m: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Powers of the matrices of an Arrow batch by repeated squaring, all of one size at a time.
 
-    A matrix stops at its own first step below the tolerance.
+    The columns of a power turn into multiples of the weights as the exponent doubles; a matrix stops when they agree.
+    Entries are positive, so squaring cancels nothing and 2^SQUARINGS steps cost SQUARINGS products.
     """
-    out = pd.Series([None] * len(m), dtype=object)
+    weights = pd.Series([None] * len(m), dtype=object)
+    settled = np.zeros(len(m), dtype=bool)
     sizes = n.to_numpy()
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        a = np.stack(m.iloc[rows].to_numpy()).reshape(len(rows), size, size)
-        w = (a / a.sum(axis=1, keepdims=True)).mean(axis=2)
-        w /= w.sum(axis=1, keepdims=True)
+        power = np.stack(m.iloc[rows].to_numpy()).reshape(len(rows), size, size)
         moving = np.arange(len(rows))
-        for _ in range(STEPS):
-            new = np.einsum("bij,bj->bi", a[moving], w[moving])
-            new /= new.sum(axis=1, keepdims=True)
-            settled = np.abs(new - w[moving]).max(axis=1) < STEP_TOLERANCE
-            w[moving] = new
-            moving = moving[~settled]
+        columns = np.empty_like(power)
+        for _ in range(SQUARINGS + 1):
+            now = power[moving]
+            columns[moving] = now / now.sum(axis=1, keepdims=True)
+            done = np.ptp(columns[moving], axis=2).max(axis=1) < STEP_TOLERANCE
+            settled[rows[moving[done]]] = True
+            moving = moving[~done]
             if not moving.size:
                 break
-        for row, weights in zip(rows, w, strict=True):
-            out.iloc[row] = weights
-    return out
+            now = power[moving] / power[moving].max(axis=(1, 2), keepdims=True)
+            power[moving] = now @ now
+        for row, w in zip(rows, columns.mean(axis=2), strict=True):
+            weights.iloc[row] = w / w.sum()
+    return pd.DataFrame({"weights": weights, "settled": settled})
 
 
-# Hundreds of dependent steps: batched, because Spark interprets higher-order functions.
+# Dozens of dependent products: batched, because Spark interprets higher-order functions.
 # Non-deterministic, so that a filter on a result never repeats the call.
 _power_weights = _power_weights.asNondeterministic()
 
 
 def with_weights(valid: DataFrame) -> DataFrame:
-    """Weights by power iteration, largest eigenvalue, consistency index and ratio."""
-    settled = _power_weights(F.col("m"), F.col("n"))
+    """Weights of the largest eigenvalue, that value, consistency index and ratio, and ``settled``.
+
+    Rounding moves the weights by about 1e-16 over the relative gap to the next eigenvalue. ``settled`` is false where that gap is
+    below about 2^-SQUARINGS, so that the weights of settled matrices are right to about 9 digits and others are marked.
+    """
+    found = _power_weights(F.col("m"), F.col("n"))
     ri = F.element_at(F.array(*(F.lit(v) for v in RANDOM_INDEX)), F.col("n").cast("int"))
     ratio = _sum(F.zip_with(_times(F.col("weights")), F.col("weights"), lambda a, w: F.when(w > 1e-15, a / w).otherwise(F.lit(0.0))))
+    weighted = valid.withColumn("_w", found).withColumns({"weights": F.col("_w.weights"), "settled": F.col("_w.settled")}).drop("_w")
     return (
-        bind(valid.withColumn("weights", settled), {"lambda_max": ratio / F.col("n")})
+        bind(weighted, {"lambda_max": ratio / F.col("n")})
         .withColumn("ci", (F.col("lambda_max") - F.col("n")) / (F.col("n") - 1))
         .withColumn("cr", F.when(ri > 0.0, F.col("ci") / ri).otherwise(F.lit(0.0)))
         .withColumn("consistent", F.col("cr") <= MAX_CR)
@@ -157,14 +166,15 @@ def analyze(entries: DataFrame) -> DataFrame:
 
 
 def strict(entries: DataFrame) -> DataFrame:
-    """Only matrices with a consistency ratio of at most 0.10."""
-    return analyze(entries).filter("consistent")
+    """Only matrices with a consistency ratio of at most 0.10 and settled weights."""
+    return analyze(entries).filter("consistent AND settled")
 
 
 def rejected(entries: DataFrame) -> DataFrame:
     """(matrix_id, rule, cr, worst_i, worst_j, worst_k) of refused matrices."""
     broken = with_faults(fold(entries)).filter("fault IS NOT NULL").select("matrix_id", F.col("fault").alias("rule"))
-    uneven = analyze(entries).filter("NOT consistent").select(
-        "matrix_id", F.lit("inconsistent").alias("rule"), "cr", "worst_i", "worst_j", "worst_k"
+    rule = F.when(F.col("settled"), "inconsistent").otherwise("unsettled")
+    uneven = analyze(entries).filter("NOT (consistent AND settled)").select(
+        "matrix_id", rule.alias("rule"), "cr", "worst_i", "worst_j", "worst_k"
     )
     return uneven.unionByName(broken, allowMissingColumns=True)

@@ -302,3 +302,27 @@ def ring_measures(rings: DataFrame) -> DataFrame:
         side_sum(lambda x0, y0, x1, y1: F.hypot(x1 - x0, y1 - y0)).alias("perimeter_m"),
         (F.size("xs") - 1).alias("corners"),
     )
+
+
+def polygon_centroids(rings: DataFrame) -> DataFrame:
+    """(scene_id, site_id, x, y): area centroid of each site's rings from their corners; NULL where they enclose nothing.
+
+    Holes run the other way round, so their moments subtract.
+    """
+    x0, y0 = F.element_at("xs", 1), F.element_at("ys", 1)
+
+    def moment(weight) -> Column:
+        def side(i):
+            xa, ya = F.element_at("xs", i) - x0, F.element_at("ys", i) - y0
+            xb, yb = F.element_at("xs", i + 1) - x0, F.element_at("ys", i + 1) - y0
+            return (xa * yb - xb * ya) * weight(xa + xb, ya + yb)
+
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.size("xs") - 1), side), F.lit(0.0), lambda s, v: s + v)
+
+    doubled = moment(lambda _x, _y: F.lit(1.0))
+    measured = rings.select(
+        "scene_id", "site_id", doubled.alias("a"),
+        (doubled * x0 + moment(lambda x, _y: x) / 3.0).alias("mx"), (doubled * y0 + moment(lambda _x, y: y) / 3.0).alias("my"),
+    )
+    total = F.nullif(F.sum("a"), F.lit(0.0))
+    return measured.groupBy("scene_id", "site_id").agg((F.sum("mx") / total).alias("x"), (F.sum("my") / total).alias("y"))

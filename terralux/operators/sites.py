@@ -12,6 +12,7 @@ from terralux.functions.geodesy import with_lonlat
 from terralux.operators.components import label_regions, position_col, position_row
 from terralux.operators.grids import cell_area_km2
 from terralux.operators.numbering import hierarchical_row_number
+from terralux.operators.polygons import polygon_centroids, site_polygons, site_rings
 from terralux.session import cut
 
 # Extraction defaults.
@@ -127,10 +128,26 @@ def extract_sites(
     max_site_area_km2: float | None = None,
     top_k: int | None = TOP_K,
     strict: bool = False,
+    simplify_tolerance_m: float | None = None,
 ) -> DataFrame:
     """Ranked sites of every scene. An input without a matching cell gives an empty table
-    with the same columns (R10)."""
-    return extract_with_cells(cells, grids, classes, min_area_km2, max_site_area_km2, top_k, strict)[0]
+    with the same columns (R10). With a tolerance, also 0.0, sites carry their outlines, see :func:`with_outlines`."""
+    sites, members = extract_with_cells(cells, grids, classes, min_area_km2, max_site_area_km2, top_k, strict)
+    return sites if simplify_tolerance_m is None else with_outlines(sites, members, grids, simplify_tolerance_m)
+
+
+def with_outlines(sites: DataFrame, members: DataFrame, grids: DataFrame, simplify_tolerance_m: float = 0.0) -> DataFrame:
+    """Adds ``polygons``, simplified by the tolerance, and takes the centroid from their corners.
+
+    Area and rank stay those of the cells. Polygons that enclose nothing after simplification keep the cells' centroid.
+    """
+    sites = cut(sites, "outlined-sites")
+    rings = cut(site_rings(cut(members, "outlined-cells"), grids, simplify_tolerance_m), "outlined-rings")
+    at = polygon_centroids(rings).select("scene_id", "site_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    key = ["scene_id", "site_id"]
+    moved = sites.join(at, key, "left").withColumns({"centroid_x": F.coalesce("_x", "centroid_x"), "centroid_y": F.coalesce("_y", "centroid_y")})
+    moved = with_lonlat(moved.drop("_x", "_y", "centroid_lon", "centroid_lat"), "centroid_x", "centroid_y", "epsg", "centroid_lon", "centroid_lat")
+    return moved.select(*sites.columns).join(site_polygons(rings), key, "left")
 
 
 def extract_with_cells(

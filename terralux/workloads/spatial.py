@@ -766,6 +766,24 @@ def r8_w1_w2_extract_sites(spark, sf_dir):
     )
 
 
+@query(
+    "r8_outlined_sites",
+    f"{SITES_SQL},{inverse_sql('top', 'geo', 'scene_id, site_id')} SELECT t.scene_id, CAST(t.site_id AS BIGINT) AS site_id, CAST(rank AS INTEGER) AS rank, round(lon, 7) AS centroid_lon, round(lat, 7) AS centroid_lat, "
+    "CAST(area_km2 AS DOUBLE) AS outline_km2 FROM top t JOIN geo USING (scene_id, site_id)",
+)
+def r8_outlined_sites(spark, sf_dir):
+    """Centroids and areas from the corners of the exact outlines are those of the cells."""
+    df = sites.extract_sites(
+        cut(site_cells(spark, sf_dir)), grids(spark, sf_dir), SITE_CLASSES, max_site_area_km2=SITE_CAP_KM2, simplify_tolerance_m=0.0
+    )
+    doubled = """aggregate(flatten(transform(polygons, p -> flatten(transform(p, r -> transform(sequence(0, size(r) - 2),
+        i -> (r[i + 1].x - r[i].x) * (r[i + 1].y + r[i].y)))))), 0D, (s, v) -> s + v)"""
+    return df.select(
+        "scene_id", "site_id", "rank", F.round("centroid_lon", 7).alias("centroid_lon"), F.round("centroid_lat", 7).alias("centroid_lat"),
+        F.round(F.abs(F.expr(doubled)) / 2e6, 6).alias("outline_km2"),
+    )
+
+
 @query(
     "r5_minimum_area",
     f"{SITES_SQL} SELECT scene_id, count(*) AS pieces, count(*) FILTER (WHERE area_km2 >= 2) AS kept FROM st GROUP BY 1",

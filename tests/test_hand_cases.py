@@ -397,6 +397,34 @@ def test_linear_field_is_interpolated_exactly(spark):
     assert interpolate.too_few_samples(samples.limit(2)).count() == 1
 
 
+def test_holes_of_large_lattices_take_the_nearest_sample(spark):
+    i, j = np.indices((40, 60)).reshape(2, -1)
+    x, y = i * 10.0 + j * 3.0, j * 10.0 - i * 1.5
+    value = np.where((np.abs(i - 20) <= 4) & (np.abs(j - 30) <= 4) | (i < 12) & (j < 12), np.nan, (i * 31 + j * 17) % 97)
+    known = ~np.isnan(value)
+    samples = frame(
+        spark,
+        [(s, int(a), int(b), float(p), float(q), None if np.isnan(v) else float(v)) for s in ("a", "c") for a, b, p, q, v in zip(i, j, x, y, value)]
+        + [("b", 0, 0, 5.0, 5.0, 4.0)] + [("d", k % 2, k // 2, float(k % 2), float(k // 2), None) for k in range(4)],
+        "scene_id STRING, i INT, j INT, x DOUBLE, y DOUBLE, value DOUBLE",
+    )
+    lattice = frame(spark, [(s, 0.0, 0.0, 1.0, 1.0, 40, 60) for s in "abcd"], LATTICE)
+    u, v = (a.reshape(-1) for a in np.meshgrid(np.arange(0.25, 39, 1.9), np.arange(0.25, 59, 1.9)))
+    places = pd.DataFrame({"row": np.arange(len(u)), "col": 0, "u": u, "v": v, "x": u * 10.0 + v * 3.0, "y": v * 10.0 - u * 1.5})
+    cells = spark.createDataFrame(pd.concat([places.assign(scene_id=s) for s in "abd"])[["scene_id", *places.columns]])
+    got = interpolate.interpolate(cells, samples, lattice).toPandas().set_index(["scene_id", "row"])["value"]
+    assert len(got) == 3 * len(u) and got.loc["d"].isna().all() and set(got.loc["b"]) == {4.0}
+    lost = 0
+    for r in places.itertuples():
+        corners = [(int(r.u) + a) * 60 + int(r.v) + b for a in (0, 1) for b in (0, 1)]
+        if known[corners].any():
+            continue
+        lost += 1
+        d = np.where(known, (x - r.x) ** 2 + (y - r.y) ** 2, np.inf)
+        assert got.loc[("a", r.row)] in set(value[d <= d.min() + 1e-6])
+    assert lost > 40
+
+
 def test_duplicate_geometries(spark):
     rows = [("a", i, "Point", [(1.0, 2.0)]) for i in range(5)] + [("a", 9, "Point", [(1.0, 3.0)]), ("b", 7, "Point", [(1.0, 2.0)])]
     df = frame(spark, rows, "scene_id STRING, feature_id BIGINT, geom_type STRING, coords ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>")
@@ -518,6 +546,44 @@ def test_published_matrices(spark):
     assert [(r.matrix_id, r.rule) for r in pairwise.rejected(df).collect()] == [(2, "inconsistent")]
 
 
+def test_weights_settle_or_are_marked(spark):
+    def two_groups(link):
+        # Two consistent halves that disagree in every pair across, so that the two largest eigenvalues lie close.
+        m = np.ones((4, 4))
+        m[:2, 2:] = [[link, 1 / link], [1 / link, link]]
+        m[2:, :2] = 1 / m[:2, 2:].T
+        m[0, 1], m[1, 0] = 3.0, 1 / 3
+        return m
+
+    slow = np.ones((5, 5))
+    for i in range(4):
+        slow[i, i + 1], slow[i + 1, i] = 1e4, 1e-4
+    slow[0, 4], slow[4, 0] = 1e-4, 1e4
+    # A cycle of huge preferences: all eigenvalues of the largest size but one differ only in their angle.
+    endless = np.ones((3, 3))
+    endless[0, 1] = endless[1, 2] = endless[2, 0] = 1e12
+    endless[1, 0] = endless[2, 1] = endless[0, 2] = 1e-12
+    endless[0, 1] *= 2
+    endless[1, 0] /= 2
+    cases = [two_groups(1.0), two_groups(9.0), slow, endless]
+    got = {r.matrix_id: r for r in pairwise.analyze(entries(spark, *cases)).collect()}
+    for k, m in enumerate(cases):
+        values, vectors = np.linalg.eig(m)
+        w = np.abs(np.real(vectors[:, np.argmax(np.real(values))]))
+        assert not got[k].settled or np.allclose(got[k].weights, w / w.sum(), atol=1e-8)
+        assert all(np.isfinite(got[k].weights)) and abs(sum(got[k].weights) - 1.0) < 1e-12
+    assert [got[k].settled for k in range(3)] == [True] * 3
+    assert {r.rule for r in pairwise.rejected(entries(spark, np.array([[1.0, 2.0], [0.5, 1.0]]), slow)).collect()} == {"inconsistent"}
+
+
+@pytest.mark.parametrize("squarings, settled", [(0, False), (24, True)])
+def test_few_squarings_leave_weights_unsettled(squarings, settled, monkeypatch):
+    monkeypatch.setattr(pairwise, "SQUARINGS", squarings)
+    m = pd.Series([np.array([1, 9, 1, 1 / 9, 1, 9, 1, 1 / 9, 1])])
+    out = pairwise._power_weights.func(m, pd.Series([3]))
+    assert bool(out["settled"].iloc[0]) is settled
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.floats(0.2, 5.0), min_size=2, max_size=8), min_size=5, max_size=20))
 def test_consistent_matrices_return_their_weights(spark, weight_lists):
