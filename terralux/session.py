@@ -68,6 +68,11 @@ def is_committed(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where, files = _file_system(spark, path)
+    return files.exists(where)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that :func:`cut` wrote, once nothing reads it any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -78,7 +78,7 @@ def _spark_text(expression: str) -> str:
     return expression.replace("ARRAY_LULC", lulc).replace("ARRAY_CAP", cap)
 
 
-def _duck_text(expression: str) -> str:
+def duck_text(expression: str) -> str:
     lulc = "[" + ",".join(map(str, LAND_COVER)) + "]"
     cap = "[" + ",".join(f"'{c}'" for c in CAPABILITY) + "]"
     return expression.replace("ARRAY_LULC", lulc).replace("ARRAY_CAP", cap).replace(" DIV ", " // ").replace("element_at(", "list_extract(")
@@ -95,7 +95,7 @@ def cells_sql(*layers: str, keep_base: bool = False) -> str:
     """The same as CTEs ``base`` and ``cells`` (to follow WITH)."""
     names = layers or tuple(LAYERS)
     extra = ", k, gr, gc" if keep_base else ""
-    columns = ",\n    ".join(f"{_duck_text(LAYERS[n])} AS {n}" for n in names)
+    columns = ",\n    ".join(f"{duck_text(LAYERS[n])} AS {n}" for n in names)
     return f"{BASE_SQL},\ncells AS (\n  SELECT scene_id, row, col{extra},\n    {columns}\n  FROM base\n)"
 
 

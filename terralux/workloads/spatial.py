@@ -10,6 +10,7 @@ from terralux.operators import aoi as ao
 from terralux.operators import components, energy, grids as gr, polygons, proximity, sites, terrain, vectors
 from terralux.operators.interpolate import interpolate
 from terralux.operators.quantiles import quantiles
+from terralux.plans.sources import sites_from_sources
 from terralux.plans.suitability import SITE_CAP_KM2, SITE_CLASSES, classified_cells, select_sites
 from terralux.session import cut, scratch_path
 from terralux.sinks import tables as sink
@@ -22,12 +23,14 @@ from terralux.workloads.inputs import (
     FEATURES_SQL,
     KINDS,
     LAND_COVER,
+    LAYERS,
     MAXY,
     MINX,
     RESOLUTION_M,
     base_cells,
     cells,
     cells_sql,
+    duck_text,
     feature_cells,
     grids,
     table,
@@ -983,13 +986,16 @@ def c19_line_cells(spark, sf_dir):
 # ---- full pipeline ---------------------------------------------------------------------
 
 
-@query(
-    "r9_site_selection_pipeline",
-    f"""{SITES_SQL}, sg AS (SELECT t.*, coalesce(c.ghi_annual, a.g, 2000) AS ghi FROM top t
+ENERGY_SQL = f"""{SITES_SQL}, sg AS (SELECT t.*, coalesce(c.ghi_annual, a.g, 2000) AS ghi FROM top t
   JOIN (SELECT scene_id, max(col) AS w, max(row) AS h FROM base GROUP BY 1) g USING (scene_id)
   LEFT JOIN classed c ON c.scene_id = t.scene_id AND c.col = greatest(0, least(CAST(floor((cx - {MINX}) / 500) AS INTEGER), g.w)) AND c.row = greatest(0, least(CAST(floor(({MAXY} - cy) / 500) AS INTEGER), g.h))
   JOIN (SELECT scene_id, avg(ghi_annual) AS g FROM classed GROUP BY 1) a ON a.scene_id = t.scene_id),
-e AS (SELECT *, greatest(0, ghi * 0.75) AS yy FROM sg)
+e AS (SELECT *, greatest(0, ghi * 0.75) AS yy FROM sg)"""
+
+
+@query(
+    "r9_site_selection_pipeline",
+    f"""{ENERGY_SQL}
 SELECT scene_id, CAST(site_id AS BIGINT) AS site_id, CAST(rank AS INTEGER) AS rank, CAST(area_km2 AS DOUBLE) AS area_km2, round(yy, 1) AS kwh_per_kwp_yr, round(CAST(yy * (area_km2 * 45) / 1000 AS DOUBLE), 3) AS gwh_per_yr,
   round((1000 * (0.07 * power(1.07, 25) / (power(1.07, 25) - 1)) + 17) / yy, 5) AS lcoe, round(CAST(area_km2 * 45 AS DOUBLE), 2) AS capacity_mwp, 'ghi_pr_offline' AS energy_method FROM e""",
 )
@@ -999,3 +1005,61 @@ def r9_site_selection_pipeline(spark, sf_dir):
     return result.select(
         "scene_id", "site_id", "rank", "area_km2", "kwh_per_kwp_yr", "gwh_per_yr", "lcoe", "capacity_mwp", "energy_method"
     )
+
+
+# Land cover of the three-degree tiles in place of the layer, and cells right of a line from each scene's north-west corner.
+LEAN_M = 4100.0
+SOURCED_SQL = (
+    ENERGY_SQL.replace(
+        f"{BASE_SQL},\ncells AS (",
+        f"""{_GLOBE_SQL}, {GRIDS_SQL.strip()},
+lc AS (SELECT scene_id, row, col, ([{', '.join(map(str, LAND_COVER))}])[(CAST(floor(sr + 0.5) AS BIGINT) // 5 + CAST(floor(sc + 0.5) AS BIGINT) // 7) % 11 + 1] AS code
+  FROM tg JOIN pt USING (scene_id, row, col) JOIN grids g USING (scene_id) WHERE (pt.x - g.minx) * (g.maxy - g.miny) > {LEAN_M} * (g.maxy - pt.y)),
+cells AS (""",
+        1,
+    )
+    .replace(f"{duck_text(LAYERS['lulc'])} AS lulc", "lc.code AS lulc", 1)
+    .replace("  FROM base\n)", "  FROM base JOIN lc USING (scene_id, row, col)\n)", 1)
+)
+
+
+@query(
+    "r9_sources_to_sites",
+    f"""{SOURCED_SQL},{inverse_sql('top', 'geo_top', 'scene_id, site_id')},
+fr AS (SELECT scene_id, count(*) AS n, max(area_km2) AS largest FROM e GROUP BY 1)
+SELECT scene_id, CAST(site_id AS BIGINT) AS site_id, CAST(rank AS INTEGER) AS rank, CAST(area_km2 AS DOUBLE) AS area_km2, CAST(area_km2 AS DOUBLE) AS outline_km2, round(mean_lsi, 8) AS mean_lsi,
+  round(lon, 7) AS centroid_lon, round(lat, 7) AS centroid_lat, round(yy, 1) AS kwh_per_kwp_yr, round(CAST(yy * (area_km2 * 45) / 1000 AS DOUBLE), 3) AS gwh_per_yr,
+  n AS sites_of_scene, CAST(round_even(largest, 0) AS BIGINT) AS largest_km2, 1 AS failed_sources
+FROM e JOIN geo_top USING (scene_id, site_id) JOIN fr USING (scene_id)""",
+)
+def r9_sources_to_sites(spark, sf_dir):
+    """Tiles, layer tables and areas to ranked sites with outlines and framing; the first source of one layer fails.
+
+    A second call over the same store reads everything from there.
+    """
+    spec = grids(spark, sf_dir)
+    others = [name for name in LAYERS if name not in ("x", "y", "lulc")]
+    value = f"element_at(array({', '.join(map(str, LAND_COVER))}), CAST((gr div 5 + gc div 7) % 11 AS INT) + 1)"
+
+    def unreachable():
+        raise ConnectionError("source did not answer")
+
+    sources = {
+        "layers": [unreachable, lambda: cells(spark, sf_dir, *others)],
+        "lulc": lambda: _from_tiles(spark, sf_dir, gr.LAND_COVER_TILE_DEG, value, "nearest").select(*CELL, F.col("value").cast("int").alias("lulc")),
+    }
+    corner = "named_struct('x', {}, 'y', {})".format
+    corners = ", ".join([corner("minx", "maxy"), corner("maxx + 1", "maxy"), corner("maxx + 1", "miny"), corner(f"minx + {LEAN_M}", "miny"), corner("minx", "maxy")])
+    areas = spec.selectExpr("scene_id", "1L AS area_id", f"array(array({corners})) AS rings")
+    result = sites_from_sources(cells(spark, sf_dir, "x", "y"), spec, sources, REG, scratch_path(spark, "sites-store"), areas)
+    doubled = """aggregate(flatten(transform(polygons, p -> flatten(transform(p, r -> transform(sequence(0, size(r) - 2),
+        i -> (r[i + 1].x - r[i].x) * (r[i + 1].y + r[i].y)))))), 0D, (s, v) -> s + v)"""
+    framing = result["framing"].select(
+        "scene_id", F.regexp_extract("note", "found: ([0-9]+)", 1).cast("bigint").alias("sites_of_scene"), F.regexp_extract("note", "about ([0-9]+) km2", 1).cast("bigint").alias("largest_km2")
+    )
+    return result["sites"].join(framing, "scene_id").select(
+        "scene_id", "site_id", "rank", "area_km2", F.round(F.abs(F.expr(doubled)) / 2e6, 6).alias("outline_km2"), F.round("mean_lsi", 8).alias("mean_lsi"),
+        F.round("centroid_lon", 7).alias("centroid_lon"), F.round("centroid_lat", 7).alias("centroid_lat"),
+        F.round("kwh_per_kwp_yr", 1).alias("kwh_per_kwp_yr"), F.round("gwh_per_yr", 3).alias("gwh_per_yr"),
+        "sites_of_scene", "largest_km2", F.lit(result["failed"].count()).cast("int").alias("failed_sources"),
+    )

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralux.operators import polygons, stencil
+from terralux.plans.sources import refresh_scenes, scene_keys
 
 
 def grid_of(spark, height, width, size=1):
@@ -126,3 +127,50 @@ def test_simplified_outlines_keep_their_distance(spark, monkeypatch, tolerance):
 
 def test_no_cells(spark):
     assert polygons.site_rings(members(spark, np.zeros((2, 2), dtype=int)), grid_of(spark, 2, 2)).count() == 0
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 3.0])
+def test_centroids_come_from_the_corners_that_stay(spark, tolerance):
+    rng = np.random.default_rng(5)
+    sites = np.where(rng.random((30, 40)) < 0.75, 1, 0)
+    grid, cells = grid_of(spark, *sites.shape), members(spark, sites)
+    rings = polygons.site_rings(cells, grid, tolerance)
+    doubled, mx, my = 0.0, 0.0, 0.0
+    for ring in rings.collect():
+        x, y = np.array(ring.xs), np.array(ring.ys)
+        cross = x[:-1] * y[1:] - x[1:] * y[:-1]
+        doubled, mx, my = doubled + cross.sum(), mx + ((x[:-1] + x[1:]) * cross).sum(), my + ((y[:-1] + y[1:]) * cross).sum()
+    got = polygons.polygon_centroids(rings).first()
+    assert np.allclose([got.x, got.y], [mx / doubled / 3, my / doubled / 3])
+    if not tolerance:
+        r, c = np.nonzero(sites)
+        assert np.allclose([got.x, got.y], [c.mean() + 0.5, sites.shape[0] - r.mean() - 0.5])
+
+
+def test_polygons_without_an_inside_have_no_centroid(spark):
+    rings = spark.createDataFrame([("a", 1, [0.0, 5.0, 0.0], [0.0, 0.0, 0.0])], "scene_id STRING, site_id INT, xs ARRAY<DOUBLE>, ys ARRAY<DOUBLE>")
+    assert polygons.polygon_centroids(rings).first()[2:] == (None, None)
+
+
+def test_only_changed_scenes_are_computed_again(spark, tmp_path):
+    rows = [(s, k, None if k == 2 else float(k)) for s in ("a", "b", "7") for k in range(3)]
+    asked = []
+
+    def refreshed(table, version="v"):
+        df = spark.createDataFrame(table, "scene_id STRING, k INT, value DOUBLE")
+
+        def compute(stale):
+            asked.append(sorted(r.scene_id for r in stale.collect()))
+            return df.filter("value > 0").join(stale, "scene_id", "left_semi").groupBy("scene_id").agg(F.sum("value").alias("total"))
+
+        got = refresh_scenes(scene_keys([df], version), str(tmp_path / "store"), compute)
+        return {r.scene_id: r.total for r in got.collect()}
+
+    assert refreshed(rows) == {"a": 1.0, "b": 1.0, "7": 1.0}
+    assert refreshed(rows[::-1]) == {"a": 1.0, "b": 1.0, "7": 1.0}
+    # A value moves from one row to the missing one; a scene loses all its result rows; a scene goes.
+    changed = [("a", 1, None) if r[:2] == ("a", 1) else ("a", 2, 1.0) if r[:2] == ("a", 2) else r for r in rows]
+    changed = [(s, k, None) if s == "b" else (s, k, v) for s, k, v in changed if s != "7"]
+    assert refreshed(changed) == {"a": 1.0}
+    assert refreshed(changed, "w") == {"a": 1.0}
+    assert asked == [["7", "a", "b"], [], ["a", "b"], ["a", "b"]]
