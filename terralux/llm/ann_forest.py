@@ -4,17 +4,18 @@ Each tree splits at the median of a random projection (the difference of two ran
 node) until a leaf stands for about ``LEAF_ROWS`` rows. The forest is fitted on a sample of at most about
 ``SAMPLE_ROWS`` vectors; every vector is indexed, one leaf a tree. A query walks all trees through
 one priority queue ordered by the margin to the splits on the way, until the leaves it
-opened, over all trees, stand for ``SEARCH_SHARE`` of the rows (a leaf's rows count once a tree; about half of the
-rows are then candidates). Vectors without structure inside their clusters need that much for a recall of 0.95; for
-others the share can be far smaller. Within each opened leaf, all members are scored exactly,
+opened, over all trees, stand for ``SEARCH_ROWS`` rows (a leaf's rows count once a tree). The budget does not depend on
+the table, so that the work grows with the number of queries. Vectors without structure inside their clusters need more as
+the table grows; ``search_rows`` is the parameter for it. Within each opened leaf, all members are scored exactly,
 in double precision, and each leaf hands on the query's nearest; the best over all leaves are the
-result. With more rows than the sample can tell apart, leaves grow; ``sample_rows`` is the parameter for it.
+result. With more rows than the sample can tell apart, leaves grow; ``sample_rows`` is the parameter for it. The forest,
+which every executor holds, stays under about ``FOREST_BYTES``: with many dimensions the sample is smaller.
 
 Equal vectors are one entry with its smallest ids, as many as any query can return. Leaves of more
 than ``CHUNK_ROWS`` entries are dealt to several tasks; the queries of the leaf go to each.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
-dimension than most. Null ids take no part. Repeated rows are different candidates of the same id only if
+dimension than most of the searched table. Null ids take no part. Repeated rows are different candidates of the same id only if
 their vectors differ; equal rows count once. Ties go to the smaller id. Empty tables give empty results.
 """
 
@@ -34,10 +35,10 @@ from terralux.llm.common import cut, small_batches
 NEAREST = 5
 TREES = 20
 LEAF_ROWS = 150
-SEARCH_SHARE = 0.75
-#: Rows that a search's leaves stand for at least.
-SEARCH_ROWS = 8_000
+#: Rows that a search's leaves stand for.
+SEARCH_ROWS = 24_000
 SAMPLE_ROWS = 60_000
+FOREST_BYTES = 128_000_000
 LEAST_SAMPLE = 8
 CHUNK_ROWS = 20_000
 
@@ -126,14 +127,18 @@ class Forest:
         return found
 
 
+def dimension(rows: DataFrame) -> int:
+    """The commonest number of components, the smaller of equally common ones; 0 for an empty table."""
+    size = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return size["d"] if size else 0
+
+
 def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, vector) of the rows that take part; components stay single if they are."""
+    """(vec_id, vector) of the rows of any dimension that take part; components stay single if they are."""
     kind = "float" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "double"
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    size = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("vector") == (size["d"] if size else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
 def _matrix(column) -> np.ndarray:
@@ -181,19 +186,23 @@ def nearest(
     queries: DataFrame,
     k: int = NEAREST,
     trees: int = TREES,
-    search_share: float = SEARCH_SHARE,
+    search_rows: float = SEARCH_ROWS,
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``queries``."""
     spark = embeddings.sparkSession
     small_batches(spark)
     rows = usable(embeddings)
+    d = dimension(rows)
+    rows = rows.where(F.size("vector") == d)
     # Equal vectors: the k + 1 smallest ids, cut off in each task before the shuffle.
     numbered = rows.distinct().withColumn("place", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     entries = cut(numbered.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
-    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "vector").distinct()
+    asked = usable(queries).where(F.size("vector") == d).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     n = entries.count()
-    part = F.pmod(F.xxhash64("ids"), F.lit(1_000_000)) < min(1.0, sample_rows / max(1, n)) * 1_000_000
+    # A tree has at most about a node for every LEAST_SAMPLE / 2 rows of the sample.
+    fitted = min(sample_rows, FOREST_BYTES * LEAST_SAMPLE // (2 * 4 * max(1, d * trees)))
+    part = F.pmod(F.xxhash64("ids"), F.lit(1_000_000)) < min(1.0, fitted / max(1, n)) * 1_000_000
     sample = entries.where(part).select("vector").orderBy("vector").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -209,7 +218,7 @@ def nearest(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [forest.value.search(v, max(SEARCH_ROWS, search_share * n)) for v in _unit(_matrix(batch.column(1))).astype(np.float32)]
+                found = [forest.value.search(v, search_rows) for v in _unit(_matrix(batch.column(1))).astype(np.float32)]
                 at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
                 leaves = pa.array(np.concatenate([np.array(x, dtype=np.int64) for x in found]))
                 yield pa.RecordBatch.from_arrays([leaves, batch.column(0).take(at), batch.column(1).take(at)], ["leaf", "query_id", "vector"])

@@ -197,18 +197,19 @@ def test_nearest_of_corpus(spark):
                 assert abs(found[q, j] - s) < 1e-12
 
 
-def test_recall_among_vectors_without_structure(spark):
-    """Clusters that are isotropic inside, more rows than one search opens."""
+@pytest.mark.parametrize("n", [6_000, 25_650])
+def test_recall_among_vectors_without_structure(spark, n):
+    """Clusters that are isotropic inside; of the larger table a search opens less than a fifth."""
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(10, 64))
-    x = 0.6 * centres[rng.integers(0, 10, 6000)] + rng.normal(size=(6000, 64))
-    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": list(x)}))
+    x = 0.6 * centres[rng.integers(0, 10, n)] + rng.normal(size=(n, 64))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}))
     got = ann_forest.nearest(frame, frame.where("vec_id % 50 = 0")).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     close = unit[::50] @ unit.T
-    close[np.arange(120), np.arange(0, 6000, 50)] = -9
+    close[np.arange(-(-n // 50)), np.arange(0, n, 50)] = -9
     want = {(50 * q, int(j)) for q, row in enumerate(np.argsort(-close, axis=1)[:, :5]) for j in row}
-    assert len(got) == 600 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+    assert len(got) == -(-n // 50) * 5 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
 def test_nearest_hard_rows(spark):
@@ -227,6 +228,14 @@ def test_nearest_hard_rows(spark):
     assert ann_forest.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_queries_of_another_dimension_take_no_part(spark):
+    rows = [(k, [float(np.cos(k)), float(np.sin(k)), 1.0]) for k in range(1, 40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    others = spark.createDataFrame([(50, [1.0, 2.0]), (51, [3.0, 1.0]), (52, [1.0, 2.0, 3.0]), (52, [3.0, 2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {r.query_id for r in ann_forest.nearest(frame, others).collect()} == {52}
+    assert ann_forest.nearest(frame, others.where("vec_id < 52")).count() == 0
+
+
 def test_forest_covers_every_leaf():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
