@@ -19,7 +19,7 @@ task travel packed. Of each different prefix a block of texts sends one position
 the block itself proves of the others (repeated samples, later copies) goes on to the texts' part, without its
 hash. A hot string thus meets in one bucket once per block, however many positions it has.
 
-Null text is empty. Rows with equal doc_id must be equal rows; each gets the result. Rows with a
+Null text is empty. Equal rows each get the result; rows of one doc_id with different texts are documents of their own. Rows with a
 null id neither lose nor repeat anything. Empty tables give empty results.
 """
 
@@ -360,14 +360,41 @@ def _part_of(n: int):
     return run
 
 
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in chunked_texts(batches):
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_classes(data, offsets))], [*part.schema.names, "class"])
+
+
+def _row_keys(digest: DataFrame) -> DataFrame | None:
+    """(doc_id, class, key) if an id has different texts: numbers in the order of ids, an id's texts in the order of their hashes."""
+    texts = digest.select("doc_id", "class").distinct()
+    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return cut(texts.repartitionByRange("doc_id", "class").sortWithinPartitions("doc_id", "class").withColumn("key", F.monotonically_increasing_id()), "row-keys")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Per document: bytes, removed spans and the digest of the remaining bytes."""
+    """Per document: bytes, removed spans and the digest of the remaining bytes.
+
+    Rows of one id with different texts are documents of their own, in the order of their texts' hashes.
+    """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = cut(digests(docs.where("doc_id is not null")), "digests")
+    keys = _row_keys(digest)
+    if keys is None:
+        return _spans_of(docs, digest)
+    named = docs.mapInArrow(_with_class, "doc_id long, text string, class long")
+    numbered = cut(named.join(keys, ["doc_id", "class"], "left").select(F.col("key").alias("doc_id"), "text"), "numbered-documents")
+    found = _spans_of(numbered, digest.join(keys, ["doc_id", "class"]).select(F.col("key").alias("doc_id"), "n_bytes", "class"))
+    back = keys.select("key", F.col("doc_id").alias("_id"))
+    return found.join(back, found["doc_id"] == back["key"], "left").withColumn("doc_id", F.col("_id")).drop("key", "_id")
+
+
+def _spans_of(docs: DataFrame, digest: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     n = bucket_count(text_bytes(docs))
     dealt_docs = docs.mapInArrow(_part_of(n), "doc_id long, text string, part long")
-    digest = cut(digests(known), "digests")
     firsts = digest.groupBy("class").agg(F.min("doc_id").alias("first_id"))
     shared = known.mapInArrow(_sample_keys(n), PACKED).groupBy("bucket").applyInArrow(_shared_samples(n), FOUND)
     owners = firsts.mapInArrow(_part_of(n), "class long, first_id long, part long")

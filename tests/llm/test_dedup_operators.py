@@ -69,6 +69,24 @@ def test_byte_dedup_of_hard_rows(make_docs, hard_rows):  # noqa: F811
     assert byte_dedup.repeated_spans(make_docs([])).count() == 0
 
 
+def test_byte_dedup_of_rows_with_one_id(make_docs):  # noqa: F811
+    """Different texts under one id are documents of their own, in the order of their hashes."""
+    rng = random.Random(8)
+    long, other = ("".join(rng.choices("abcdefgh", k=300)) for _ in range(2))
+    docs = [(5, long), (5, "short"), (5, other + long[:150]), (9, long), (9, long), (7, None), (7, other), (None, long)]
+    known = [(k, t or "") for k, t in docs if k is not None]
+    data, offsets = byte_dedup.byte_view(pa.array([t for _, t in known]))
+    order = sorted(set(zip([k for k, _ in known], byte_dedup.text_classes(data, offsets).tolist(), [t for _, t in known])))
+    want = brute_force_bytes([(n, t) for n, (_, _, t) in enumerate(order)])
+    by_row = {(k, len(t.encode())): want[n] for n, (k, _, t) in enumerate(order)}
+    got = byte_dedup.repeated_spans(make_docs(docs)).collect()
+    assert len(got) == len(docs) and [r.n_removed for r in got if r.doc_id is None] == [0]
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == by_row[r.doc_id, r.n_bytes]
+    assert sum(r.n_removed > 0 for r in got) >= 3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_byte_dedup_over_many_parts(make_docs, monkeypatch, seed):  # noqa: F811
     monkeypatch.setattr(byte_dedup, "bucket_count", lambda _: 5)
