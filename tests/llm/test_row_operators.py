@@ -344,6 +344,24 @@ def test_toxicity_of_hard_rows(spark, make_docs, hard_rows):
     assert {r.score for r in toxicity.toxicity_held_out(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_training_texts_are_drawn_by_bytes_from_all_ids(make_docs, spark, monkeypatch):
+    """Long texts of one class lower the rate of that class, not the reach of ids; labels without a document count for nothing."""
+    docs = [(k, f"{'vile slur ' if k % 4 == 0 else 'plain '} {'word ' * (400 if k % 4 == 0 else 4)} {k}", "en") for k in range(800)] + [(801, "vile " * 200_000, "en")]
+    labels = spark.range(800_000).selectExpr("id AS doc_id", "CAST(id % 4 = 0 OR id = 801 AS INT) AS toxic")
+    drawn = []
+    view = toxicity.byte_view
+    monkeypatch.setattr(toxicity, "byte_view", lambda column: drawn.append([t for t in column.to_pylist()]) or view(column))
+    classifier = toxicity.fit_toxicity(make_docs(docs), labels, train_bytes=400_000)
+    ids = [int(t.split()[-1]) for t in drawn[0] if t.split()[-1].isdigit()]
+    plain, toxic = [k for k in ids if k % 4], [k for k in ids if k % 4 == 0]
+    assert len(plain) == 600 and 5 < len(toxic) < 100 and max(toxic) > 400
+    assert classifier.share == pytest.approx(201 / 801)
+    # A rate of nearly nothing still leaves a text of each class.
+    drawn.clear()
+    toxicity.fit_toxicity(make_docs(docs), labels, train_bytes=1)
+    assert len(drawn[0]) == 2
+
+
 def test_thresholds_hold_for_the_population(make_docs, spark):
     """A fifth of the doubtful texts is toxic: they stay, however few of the clean ones are drawn."""
     rng = random.Random(3)
