@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralux import schema
@@ -98,20 +99,48 @@ def with_fallback(primary: DataFrame, secondary: DataFrame, keys: list[str], val
     return joined.select(*keys, F.coalesce("_first", "_second").alias(value))
 
 
-def read_protected(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """The protected-area table; a missing path gives an empty table and False."""
+def curve_place(x: Column, y: Column, extent: tuple[float, float, float, float], bits: int = 15) -> Column:
+    """Place on a Z-shaped curve through the extent (minx, miny, maxx, maxy): near places have near numbers."""
+    last = 2**bits - 1
+
+    def step(at: Column, low: float, high: float) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(last), F.floor((at - low) / max(high - low, 1e-9) * last))).cast("bigint")
+
+    i, j = step(x, extent[0], extent[2]), step(y, extent[1], extent[3])
+    both = [(F.shiftright(of, k).bitwiseAND(F.lit(1)), 2 * k + odd) for k in range(bits) for odd, of in enumerate((i, j))]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(bit.cast("bigint"), to) for bit, to in both])
+
+
+def write_protected(areas: DataFrame, path: str) -> None:
+    """Areas in the order of a curve through their boxes' middles, so that a reader skips row groups far from its box."""
+    e = areas.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
+    extent = tuple(0.0 if v is None else float(v) for v in e)
+    middle = curve_place((F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2, extent)
+    placed = areas.withColumn("_place", middle)
+    placed.repartitionByRange("_place").sortWithinPartitions("_place").drop("_place").write.mode("overwrite").parquet(path)
+
+
+def read_protected(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, bool]:
+    """The protected-area table; a missing path gives an empty table and False.
+
+    With a box (minx, miny, maxx, maxy) only areas whose box meets it; the scan skips what its statistics rule out.
+    """
     try:
-        return spark.read.schema(schema.PROTECTED).parquet(path), True
+        areas = spark.read.schema(schema.PROTECTED).parquet(path)
     except AnalysisException as error:
         # Anything else, such as a denied path, is not "no protected areas".
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema.PROTECTED), False
+    if box is not None:
+        minx, miny, maxx, maxy = map(float, box)
+        areas = areas.filter((F.col("maxx") >= minx) & (F.col("minx") <= maxx) & (F.col("maxy") >= miny) & (F.col("miny") <= maxy))
+    return areas, True
 
 
-def protected_in_boxes(areas: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Areas meeting each scene's box (columns scene_id plus those of ``areas``)."""
-    return areas_meeting_boxes(areas, boxes)
+def protected_in_boxes(areas: DataFrame, boxes: DataFrame, **options) -> DataFrame:
+    """Areas meeting each scene's box (columns scene_id plus those of ``areas``); options as for J8."""
+    return areas_meeting_boxes(areas, boxes, **options)
 
 
 def merge_shards(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -968,6 +968,27 @@ def j8_s10_areas_in_boxes(spark, sf_dir):
     return vectors.areas_meeting_boxes(quads(spark, sf_dir).drop("scene_id"), boxes, tile=2000.0).select("scene_id", "area_id")
 
 
+@query(
+    "s10_present_protected_file",
+    f"""WITH {cells_sql('x', 'y')},{QUAD_SQL}, hit AS (SELECT c.scene_id, c.row, c.col, s.id, count(*) FILTER (WHERE (ya > y) <> (yb > y) AND x < (xb - xa) * (y - ya) / nullif(yb - ya, 0) + xa) AS n
+  FROM cells c JOIN qd q ON c.x BETWEEN q.x0 - 1 AND q.x0 + q.w + q.sk + 1 AND c.y BETWEEN q.y0 - 1 AND q.y0 + q.h + q.sk + 1 JOIN sides s ON s.id = q.id GROUP BY 1, 2, 3, 4),
+inside AS (SELECT DISTINCT scene_id, row, col, true AS hit FROM hit WHERE n % 2 = 1)
+SELECT scene_id, count(*) AS cells, count(hit) AS protected_cells, true AS available FROM cells LEFT JOIN inside USING (scene_id, row, col) GROUP BY 1""",
+)
+def s10_present_protected_file(spark, sf_dir):
+    """A stored file of areas, read within the box around all scenes; each scene takes the areas that meet it."""
+    spec = grids(spark, sf_dir)
+    path = scratch_path(spark, "protected")
+    declared = [f.name for f in rasters.read_protected(spark, path)[0].schema]
+    rasters.write_protected(quads(spark, sf_dir).select(*declared), path)
+    box = spec.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
+    areas, available = rasters.read_protected(spark, path, tuple(box))
+    near = rasters.protected_in_boxes(areas, spec.select("scene_id", "minx", "miny", "maxx", "maxy"), tile=10_000.0)
+    inside = vectors.protected_cells(near, spec).withColumn("hit", F.lit(True))
+    joined = base_cells(spark, sf_dir).select(*CELL).join(inside, CELL, "left")
+    return joined.groupBy("scene_id").agg(F.count("*").alias("cells"), F.count("hit").alias("protected_cells")).withColumn("available", F.lit(available))
+
+
 @query(
     "c19_line_cells",
     f"""WITH {QUAD_SQL}, {BASE_SQL},{GRIDS_SQL}, s AS (SELECT scene_id, CAST(floor((xa - {MINX}) / 500) AS BIGINT) AS u0, CAST(floor(({MAXY} - ya) / 500) AS BIGINT) AS v0, CAST(floor((xb - {MINX}) / 500) AS BIGINT) AS u1, CAST(floor(({MAXY} - yb) / 500) AS BIGINT) AS v1 FROM sides),

@@ -9,6 +9,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from terralux import schema
+from terralux.sources import rasters
 from terralux.operators import validity
 
 AREA = "aoi_id STRING, polygons ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>"
@@ -149,3 +151,22 @@ def test_long_ring_meets_few_pairs(spark):
     per_square = dealt.groupBy("_ix", "_iy", "_jx", "_jy").count().agg(F.sum(F.col("count") * F.col("count")), F.max("count")).first()
     assert per_square[0] < 60 * n and per_square[1] < 300
     assert validity.topology_faults(areas).count() == 0
+
+
+def test_far_protected_areas_are_not_read(spark, tmp_path):
+    rows = [(k, x, y, x + 2.0, y + 2.0, [[(x, y), (x + 2.0, y), (x, y + 2.0), (x, y)]]) for k, (x, y) in enumerate((float(k % 50) * 10, float(k // 50) * 10) for k in range(2500))]
+    areas = spark.createDataFrame(rows, schema.PROTECTED)
+    path = str(tmp_path / "areas")
+    rasters.write_protected(areas.repartition(7), path)
+    near, available = rasters.read_protected(spark, path, (95.0, 95.0, 112.0, 112.0))
+    assert available and {r.area_id for r in near.collect()} == {r[0] for r in rows if r[3] >= 95 and r[1] <= 112 and r[4] >= 95 and r[2] <= 112}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    pushed = near.filter("true")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(f"{f}(" in pushed.split("PushedFilters")[1] for f in ("GreaterThanOrEqual", "LessThanOrEqual"))
+    # Neighbours lie together: no file spans more than a part of the whole extent.
+    spans = [(f.maxx - f.minx) * (f.maxy - f.miny) for f in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("minx").alias("minx"), F.max("maxx").alias("maxx"), F.min("miny").alias("miny"), F.max("maxy").alias("maxy")).collect()]
+    assert len(spans) == 1 or max(spans) < 0.8 * 492 * 492
+    rasters.write_protected(areas.limit(0), str(tmp_path / "none"))
+    assert rasters.read_protected(spark, str(tmp_path / "none"), (0, 0, 1, 1))[0].count() == 0
+    assert rasters.read_protected(spark, str(tmp_path / "absent"))[1] is False
