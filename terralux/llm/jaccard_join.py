@@ -22,6 +22,8 @@ held against the one with the fewest shingles of its own (the text that others w
 then the pairs still in different components follow, those that the bound allows. So no link between
 different texts is missed for the components. Candidates are tested exactly, on the shingles' 64-bit hashes.
 
+A signature is sent by five bytes and its bucket; two that cannot be told apart make a candidate more, never one less.
+
 Null text or no words: an empty set, linked with nothing. Fewer words than a shingle: the whole
 sequence is one shingle. Null ids: no link, null component. Rows with equal ids must be equal rows and give one
 result row each. Empty tables give empty results.
@@ -65,11 +67,13 @@ ROUNDS, PRUNINGS = 2, 2
 PARTITIONS_PER_DIFFERENCE = 1.35
 #: Signatures that are sent together.
 BLOCK_SIGNATURES = 1_500_000
+#: Bytes of a signature that are sent to its bucket.
+SENT_BYTES = 5
 #: Bytes of sets that a part of the exact tests receives on average, at most.
 PART_BYTES = 64_000_000
 
 DIGEST = "doc_id long, n_shingles long, class long"
-SIGNED = "bucket long, classes binary, drops binary, counts binary, signatures binary"
+SIGNED = "bucket long, classes binary, bands binary, drops binary, counts binary, signatures binary"
 REPEATED = "part long, classes binary, drops binary, signatures binary, frequencies binary"
 KEPT = "bucket long, classes binary, signatures binary"
 CANDIDATES = "kind string, a long, b long"
@@ -193,22 +197,60 @@ def digests(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
 
 
+def sent_form(signs: np.ndarray, n_buckets: int) -> np.ndarray:
+    """What a bucket knows a signature by: its highest bytes, and the bucket."""
+    return (signs >> np.uint64(64 - 8 * SENT_BYTES) << np.uint64(64 - 8 * SENT_BYTES)) | bucket_of(signs, n_buckets).astype(np.uint64)
+
+
+def one_of_each(classes: np.ndarray, drops: np.ndarray, signs: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different signatures of each class and number of drops, ordered by these.
+
+    Two signatures of a set and band that a bucket could not tell apart count as one, and the set and band may
+    drop one less for it, so that a common one stays. That depends on the set alone, so all its copies say the same.
+    """
+    order = np.lexsort((signs, drops, classes))
+    classes, drops, signs = classes[order], drops[order], signs[order]
+    head = np.ones(len(signs), dtype=bool)
+    head[1:] = (classes[1:] != classes[:-1]) | (drops[1:] != drops[:-1])
+    new = head.copy()
+    new[1:] |= signs[1:] != signs[:-1]
+    classes, drops, signs, head = classes[new], drops[new], signs[new], head[new]
+    group = np.cumsum(head) - 1
+    sent = sent_form(signs, n_buckets)
+    shift = np.uint64(64 - 8 * SENT_BYTES)
+    again = np.zeros(len(signs), dtype=bool)
+    # Signatures of the same highest bytes are neighbours; few are.
+    close = ~head[1:] & (signs[1:] >> shift == signs[:-1] >> shift)
+    if close.any():
+        order = np.lexsort((sent, group))
+        again[order[1:]] = (sent[order[1:]] == sent[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
+        fewer = np.bincount(group[again], minlength=int(head.sum()))
+        drops = np.maximum(drops - fewer[group], 0)
+    return classes[~again], drops[~again], signs[~again]
+
+
 def _sign(n_buckets: int, width: int, percent: int):
-    """Signatures of the different sets of a block of documents, dealt to buckets."""
+    """Signatures of the different sets of a block of documents, dealt to buckets.
+
+    In a row, a class is named once with its number of runs (what one of its bands has in the bucket); a run has its drops
+    and its number of signatures, of which the bucket leaves ``SENT_BYTES`` bytes to be told.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             classes, drops, signs = (np.concatenate(x) for x in zip(*held, strict=True))
-            # By class and drops: what a set and band have in a bucket is one run.
-            order = np.lexsort((drops, classes))
-            classes, drops, signs = classes[order], drops[order], signs[order]
+            classes, drops, signs = one_of_each(classes, drops, signs, n_buckets)
+            # Big-endian bytes, the highest first.
+            sent = signs.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES]
             rows = []
             for b, i in dealt(signs, n_buckets):
                 c, d = classes[i], drops[i]
                 head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])]))
-                rows.append((b, c[head].tobytes(), to_varint(d[head]), to_varint(np.diff(np.append(head, len(i)))), signs[i].tobytes()))
+                counts, d, c = np.diff(np.append(head, len(i))), d[head], c[head]
+                named = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                rows.append((b, c[named].tobytes(), to_varint(np.diff(np.append(named, len(c)))), to_varint(d), to_varint(counts), sent[i].tobytes()))
             return _batch(SIGNED, rows)
 
         for _, data, offsets in chunked_texts(batches):
@@ -234,10 +276,16 @@ def _repeated(n_parts: int):
     """Of a bucket's signatures: those of several classes, with their number of classes, back to the classes' parts."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        bucket = np.uint64(table.column("bucket")[0].as_py())
+        rows = table.drop_columns("bucket").to_pylist()
         counts = [from_varint(r["counts"]) for r in rows]
-        signs = np.concatenate([np.frombuffer(r["signatures"], dtype=np.uint64) for r in rows])
-        classes = np.concatenate([np.repeat(np.frombuffer(r["classes"], dtype=np.int64), n) for r, n in zip(rows, counts, strict=True)])
+        raw = np.concatenate([np.frombuffer(r["signatures"], dtype=np.uint8) for r in rows]).reshape(-1, SENT_BYTES)
+        # As sent_form has them.
+        signs = np.zeros(len(raw), dtype=np.uint64)
+        for k in range(SENT_BYTES):
+            signs |= raw[:, k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        signs |= bucket
+        classes = np.concatenate([np.repeat(np.repeat(np.frombuffer(r["classes"], dtype=np.int64), from_varint(r["bands"])), n) for r, n in zip(rows, counts, strict=True)])
         drops = np.concatenate([np.repeat(from_varint(r["drops"]), n) for r, n in zip(rows, counts, strict=True)])
         order = np.argsort(signs)
         tie = np.zeros(len(signs), dtype=bool)
