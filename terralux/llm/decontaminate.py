@@ -8,8 +8,9 @@ suffix positions to locate the occurrences. Their spans are merged per document.
 
 A shard's index holds only runs of words that occur in the benchmark, and only those as long as
 the shortest window: no occurrence can lie elsewhere. The benchmark itself travels to the
-tasks, in blocks of at most ``QUERY_BYTES`` of text, so its size is bounded whatever the table is;
-with several blocks, document rows are numbered and spans are merged over the blocks by that number.
+tasks, in blocks of about ``QUERY_BYTES`` of text (an item is never cut) that are searched for one after another,
+so that driver and workers hold the windows of one block; with several, document rows are numbered, each block's
+hits are written, and spans are merged over the blocks by that number. Documents are read once a block.
 
 Null text or no words: zero counts and not contaminated. Null or repeated item ids: a null id does
 not take part; rows of the same id count as one item. Repeated document rows give repeated result
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralux import session
 from terralux.llm.common import IS_BREAK, LOWER, Rolling, byte_view, chunked_texts, cut, group_ranks, small_batches, spans
 
 WIDTH = 13
 #: A document is contaminated from this share of its words on: 1 / 20.
 SHARE = 20
 #: Text of benchmark items that is searched for at once.
-QUERY_BYTES = 16_000_000
+QUERY_BYTES = 500_000
 #: Words of documents in one index.
 SHARD_WORDS = 1_000_000
 #: One of so many suffix positions is kept for locating.
@@ -292,7 +294,12 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
     if second is None:
         return docs.mapInArrow(search(Windows(first, width)), SPANS)
     numbered = docs.select(F.col("row_number").alias("doc_id"), "text")
-    merged = _merged([numbered.mapInArrow(search(Windows(block, width)), SPANS) for block in chain([first, second], blocks)])
+    path = session.scratch_path(docs.sparkSession, "hits")
+    for k, block in enumerate(chain([first, second], blocks)):
+        # Written before the next block is read: the driver and the workers hold the windows of one at a time.
+        hits = numbered.mapInArrow(search(Windows(block, width)), SPANS)
+        (hits.where("size(starts) > 0") if k else hits).write.mode("append").parquet(path)
+    merged = _merged(docs.sparkSession.read.schema(SPANS).parquet(path))
     ids = docs.select("row_number", F.col("doc_id").alias("id"))
     return merged.join(ids, merged["doc_id"] == ids["row_number"]).select(F.col("id").alias("doc_id"), "n_words", "starts", "ends", "items")
 
@@ -305,11 +312,8 @@ def _rows(shard: _Shard, windows: Windows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "starts", "ends", "items"])
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
+def _merged(rows: DataFrame) -> DataFrame:
     """Spans of several query blocks, merged per document row, by its number as doc_id."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part.where("size(starts) > 0"))
     together = rows.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("starts")).alias("starts"),

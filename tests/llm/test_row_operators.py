@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -450,6 +452,26 @@ def test_decontamination_keeps_rows_apart_over_blocks(spark, make_docs, hard_row
     assert sorted(map(tuple, found.select(*COLUMNS).collect()), key=key) == sorted(brute_force_hits(docs, items), key=key)
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, make_docs, monkeypatch):
+    """Fifty blocks: of all windows made, no more than two blocks' are alive at any time."""
+    alive, most = weakref.WeakSet(), []
+    made = decontaminate.Windows.__init__
+
+    def watched(self, *args):
+        made(self, *args)
+        gc.collect()
+        alive.add(self)
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate.Windows, "__init__", watched)
+    items = [(k, f"item {k} has words of its own {k * 7}") for k in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.judge(decontaminate.contamination_spans(make_docs(items), bench, query_bytes=1)).collect()
+    assert len(most) >= 50
+    assert max(most) <= 2
+    assert {r.n_items for r in found} == {1}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fm_index_finds_every_occurrence(seed):
     rng = np.random.default_rng(seed)
