@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terralux.functions.geodesy import inside_ring
+from terralux.session import cut
+
+#: Levels of tiles below the whole one in J8, each a quarter as wide, and extents that begin in a tile that is not split.
+LEVELS = 3
+CROWDED = 500
 
 # Tag values of the four feature layers.
 ROAD_VALUES = (
@@ -266,28 +271,74 @@ def meets_box(rings: Column, minx: Column, miny: Column, maxx: Column, maxy: Col
     return F.exists(rings, ring_touches) | holds
 
 
+def _finest(df: DataFrame, tile: float) -> DataFrame:
+    """Extents in whole squares of the finest level, so that a square's parts follow from it by shifts."""
+    scale = F.lit(float(1 << (2 * LEVELS)) / tile)
+    return df.withColumns({f"_{c}": F.floor(F.col(c) * scale) for c in ("minx", "miny", "maxx", "maxy")})
+
+
+def crowded_squares(*extents: DataFrame) -> DataFrame:
+    """(level, tx, ty) of squares to be split into 4 x 4: those in which more than ``CROWDED`` extents begin.
+
+    One aggregate over the corners at the finest level; coarser levels are sums of its rows.
+    """
+    corners = [df.select(F.col("_minx").alias("fx"), F.col("_miny").alias("fy")) for df in extents]
+    counts = corners[0]
+    for other in corners[1:]:
+        counts = counts.unionByName(other)
+    finest = counts.groupBy("fx", "fy").agg(F.count("*").alias("n"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    up = finest.select("fx", "fy", "n", level).withColumn("by", F.expr(f"2 * ({LEVELS} - level)"))
+    squares = up.selectExpr("level", "shiftright(fx, by) AS tx", "shiftright(fy, by) AS ty", "n")
+    return squares.groupBy("level", "tx", "ty").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWDED).select("level", "tx", "ty")
+
+
+def leaf_squares(df: DataFrame, split: DataFrame) -> DataFrame:
+    """Each extent once per leaf (_level, _tx, _ty) that it covers: whole tiles, or parts of the split ones."""
+
+    def covered(axis: str, by: int, lowest: Column | None = None) -> Column:
+        lo, hi = F.shiftright(f"_min{axis}", by), F.shiftright(f"_max{axis}", by)
+        if lowest is not None:
+            lo, hi = F.greatest(lo, lowest), F.least(hi, lowest + 3)
+        return F.sequence(lo, hi)
+
+    rows = df.withColumn("_tx", F.explode(covered("x", 2 * LEVELS))).withColumn("_ty", F.explode(covered("y", 2 * LEVELS))).withColumn("_level", F.lit(0))
+    for level in range(LEVELS):
+        here = split.filter(F.col("level") == level).select(F.col("level").alias("_level"), F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.lit(True).alias("_split"))
+        by = 2 * (LEVELS - level - 1)
+        rows = rows.join(here, ["_level", "_tx", "_ty"], "left")
+        for axis in ("x", "y"):
+            own = F.col(f"_t{axis}")
+            rows = rows.withColumn(f"_t{axis}", F.explode(F.when(F.col("_split"), covered(axis, by, own * 4)).otherwise(F.array(own))))
+        rows = rows.withColumn("_level", F.when(F.col("_split"), F.lit(level + 1)).otherwise(F.col("_level"))).drop("_split")
+    return rows
+
+
 def areas_meeting_boxes(areas: DataFrame, boxes: DataFrame, tile: float = 1.0) -> DataFrame:
     """(scene_id, area) pairs whose polygon meets the scene's box.
 
-    Both sides are spread over the tiles their boxes cover and joined on the tile, so the
-    join is an equality; a pair is kept in one tile only, then tested exactly.
+    Both sides are dealt to the leaves of a quadtree: tiles, of which those where many areas and boxes begin
+    are split into 4 x 4, up to ``LEVELS`` times. The join is an equality on the leaf; a pair is kept in the one
+    leaf that holds the least corner of what both extents share, then tested exactly. Extents that stay together in a
+    leaf of the last level overlap or nearly so; what is left of such a key is split by Spark's skew join.
+    The table of split squares has at most one row per ``CROWDED`` extents and level, and joins without a hint.
+    Areas and boxes with a null bound meet nothing.
     """
+    known = F.lit(True)
+    for c in ("minx", "miny", "maxx", "maxy"):
+        known = known & F.col(c).isNotNull()
+    a = _finest(areas.filter(known), tile)
+    b = _finest(boxes.filter(known).select("scene_id", "minx", "miny", "maxx", "maxy"), tile)
+    split = cut(crowded_squares(a, b), "squares")
+    b = leaf_squares(b, split).select("scene_id", "_level", "_tx", "_ty", *(F.col(f"_{c}").alias(f"_b_{c}") for c in ("minx", "miny")), *(F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")))
 
-    def tiles(df: DataFrame) -> DataFrame:
-        def span(lo: str, hi: str) -> Column:
-            return F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
+    def holds(axis: str) -> Column:
+        return F.expr(f"shiftright(greatest(_min{axis}, _b_min{axis}), 2 * ({LEVELS} - _level)) = _t{axis}")
 
-        return df.withColumn("_tx", span("minx", "maxx")).withColumn("_ty", span("miny", "maxy"))
-
-    a = tiles(areas)
-    b = tiles(boxes.select("scene_id", *(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))))
-    b = b.select("scene_id", "_tx", "_ty", *(F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-    once = (F.col("_tx") == F.floor(F.greatest("minx", "b_minx") / tile)) & (
-        F.col("_ty") == F.floor(F.greatest("miny", "b_miny") / tile)
-    )
     return (
-        a.join(b, ["_tx", "_ty"])
-        .filter(once)
+        leaf_squares(a, split)
+        .join(b, ["_level", "_tx", "_ty"])
+        .filter(holds("x") & holds("y"))
         .filter(
             (F.col("minx") <= F.col("b_maxx"))
             & (F.col("maxx") >= F.col("b_minx"))

@@ -952,20 +952,26 @@ def j7_c19_polygon_cells(spark, sf_dir):
 
 @query(
     "j8_s10_areas_in_boxes",
-    f"""WITH {QUAD_SQL}, bx AS (SELECT CAST(s_suppkey AS VARCHAR) AS scene_id, {MINX}::DOUBLE + (s_suppkey * 11 % 30) * 500 AS bx0, {MAXY}::DOUBLE - (s_suppkey * 17 % 140) * 500 AS by0 FROM supplier),
-b AS (SELECT *, bx0 + 1200 AS bx1, by0 + 900 AS by1 FROM bx),
+    # Every 2,000 areas and 100 boxes have a district of their own, so that the result grows with the tables.
+    f"""WITH {QUAD_SQL}, bx AS (SELECT CAST(s_suppkey AS VARCHAR) AS scene_id, {MINX}::DOUBLE + (s_suppkey * 11 % 30) * 500 + s_suppkey // 100 * 20000 AS bx0, {MAXY}::DOUBLE - (s_suppkey * 17 % 140) * 500 AS by0 FROM supplier),
+b AS (SELECT *, bx0 + 1200 AS bx1, by0 + 900 AS by1 FROM bx), east AS (SELECT id, xa + id // 2000 * 20000 AS xa, ya, xb + id // 2000 * 20000 AS xb, yb FROM sides),
 ov AS (SELECT b.scene_id, s.id, max(CASE WHEN greatest(xa, xb) >= bx0 AND least(xa, xb) <= bx1 AND greatest(ya, yb) >= by0 AND least(ya, yb) <= by1
     AND least((xb-xa)*(by0-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by0-ya)-(yb-ya)*(bx1-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx1-xa)) <= 0
     AND greatest((xb-xa)*(by0-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx0-xa), (xb-xa)*(by0-ya)-(yb-ya)*(bx1-xa), (xb-xa)*(by1-ya)-(yb-ya)*(bx1-xa)) >= 0 THEN 1 ELSE 0 END) AS touches,
-  count(*) FILTER (WHERE (ya > by0) <> (yb > by0) AND bx0 < (xb - xa) * (by0 - ya) / nullif(yb - ya, 0) + xa) AS n FROM b JOIN sides s ON true GROUP BY 1, 2)
+  count(*) FILTER (WHERE (ya > by0) <> (yb > by0) AND bx0 < (xb - xa) * (by0 - ya) / nullif(yb - ya, 0) + xa) AS n FROM b JOIN east s ON abs(s.id // 2000 - CAST(b.scene_id AS BIGINT) // 100) <= 1 GROUP BY 1, 2)
 SELECT scene_id, id AS area_id FROM ov WHERE touches = 1 OR n % 2 = 1""",
 )
 def j8_s10_areas_in_boxes(spark, sf_dir):
     boxes = table(spark, sf_dir, "supplier").selectExpr(
-        "CAST(s_suppkey AS STRING) AS scene_id", f"CAST({MINX} AS DOUBLE) + (s_suppkey * 11 % 30) * 500 AS minx",
+        "CAST(s_suppkey AS STRING) AS scene_id", f"CAST({MINX} AS DOUBLE) + (s_suppkey * 11 % 30) * 500 + s_suppkey DIV 100 * 20000 AS minx",
         f"CAST({MAXY} AS DOUBLE) - (s_suppkey * 17 % 140) * 500 AS miny",
     ).selectExpr("*", "minx + 1200 AS maxx", "miny + 900 AS maxy")
-    return vectors.areas_meeting_boxes(quads(spark, sf_dir).drop("scene_id"), boxes, tile=2000.0).select("scene_id", "area_id")
+    east = F.expr("area_id DIV 2000 * 20000.0D")
+    areas = quads(spark, sf_dir).drop("scene_id").withColumns({
+        "minx": F.col("minx") + east, "maxx": F.col("maxx") + east,
+        "rings": F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + east).alias("x"), p["y"].alias("y")))),
+    })
+    return vectors.areas_meeting_boxes(areas, boxes, tile=20000.0).select("scene_id", "area_id")
 
 
 @query(

@@ -637,3 +637,41 @@ def test_failed_sources_are_skipped_and_committed_ones_kept(spark, tmp_path):
     assert [(r.layer, r.source) for r in report.collect()] == [("w", 0)] and len(calls) == 1
     with pytest.raises(NameError):
         rasters.assemble(base, {"v": lambda: undefined_name})  # noqa: F821
+
+
+@pytest.mark.parametrize("crowded", [3, 40, 10_000])
+def test_areas_and_boxes_of_any_density(spark, monkeypatch, crowded):
+    """A third of all extents in one small square, some over the whole plane, some equal: all pairs, each once."""
+    monkeypatch.setattr(vectors, "CROWDED", crowded)
+    rng = np.random.default_rng(3)
+
+    def extents(n):
+        hot = n // 3
+        corner = np.concatenate([rng.uniform(-0.02, 0.05, (hot, 2)), rng.uniform(-8, 8, (n - hot, 2))])
+        side = np.concatenate([rng.uniform(0, 0.01, (hot, 2)), rng.uniform(0, 2, (n - hot, 2))])
+        side[-2:] = 16
+        corner[:4] = corner[0]
+        return [(k, *map(float, (*c, *(c + s)))) for k, (c, s) in enumerate(zip(corner, side, strict=True))]
+
+    areas, boxes = extents(150), extents(120)
+    ring = "array(array(named_struct('x', minx, 'y', miny), named_struct('x', maxx, 'y', miny), named_struct('x', maxx, 'y', maxy), named_struct('x', minx, 'y', maxy), named_struct('x', minx, 'y', miny))) AS rings"
+    names = "k long, minx double, miny double, maxx double, maxy double"
+    a = spark.createDataFrame([*areas, (900, None, 0.0, 1.0, 1.0)], names).selectExpr("k AS area_id", "minx", "miny", "maxx", "maxy", ring)
+    b = spark.createDataFrame(boxes, names).selectExpr("CAST(k AS STRING) AS scene_id", "minx", "miny", "maxx", "maxy")
+    got = [(r.scene_id, r.area_id) for r in vectors.areas_meeting_boxes(a, b).select("scene_id", "area_id").collect()]
+    want = {(str(q[0]), p[0]) for p in areas for q in boxes if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
+    assert len(got) == len(set(got))
+    assert set(got) == want
+
+
+def test_no_leaf_holds_a_dense_square(spark, monkeypatch):
+    """Boxes of which a third lie in one tile: its leaves hold a few of them each."""
+    monkeypatch.setattr(vectors, "CROWDED", 30)
+    rng = np.random.default_rng(4)
+    corner = np.concatenate([rng.uniform(0, 0.9, (1000, 2)), rng.uniform(-40, 40, (2000, 2))])
+    rows = [tuple(map(float, (*c, *(c + 0.001)))) for c in corner]
+    df = vectors._finest(spark.createDataFrame(rows, "minx double, miny double, maxx double, maxy double"), 1.0)
+    dealt = vectors.leaf_squares(df, vectors.crowded_squares(df))
+    held = [r["count"] for r in dealt.groupBy("_level", "_tx", "_ty").count().collect()]
+    assert sum(held) >= 3000
+    assert max(held) <= 30
