@@ -463,15 +463,42 @@ def p33_rooftop_analysis(spark, sf_dir):
     )
 
 
-@query("p33_rooftop_portfolio_located")
+# Yields, day shapes and months of the stations, and the roofs that stand at them; others keep the yield they came with.
+LOCATED_SQL = f"""{SHAPED_SQL},
+yl AS (SELECT site_id, sum(ac_w) / 1000 * {DERATE!r}::DOUBLE AS located FROM power GROUP BY 1),
+hw AS (SELECT site_id, hour(ts) AS hr, sum(ac_w) AS w FROM power GROUP BY 1, 2), ht AS (SELECT site_id, sum(w) AS total FROM hw GROUP BY 1),
+hs AS (SELECT g.site_id, list(CASE WHEN total > 0 THEN coalesce(w, 0) / total ELSE 0.0 END ORDER BY g.hr) AS gen_shape
+  FROM (SELECT site_id, unnest(range(0, 24)) AS hr FROM ht) g LEFT JOIN hw USING (site_id, hr) JOIN ht ON ht.site_id = g.site_id GROUP BY 1),
+mw AS (SELECT site_id, sum(CASE WHEN month(ts) = 1 THEN ac_w ELSE 0 END) / 1000 * {DERATE!r}::DOUBLE AS m01, sum(CASE WHEN month(ts) = 7 THEN ac_w ELSE 0 END) / 1000 * {DERATE!r}::DOUBLE AS m07 FROM power GROUP BY 1),
+located_roofs AS (SELECT r.* EXCLUDE (specific_yield), coalesce(located, specific_yield) AS specific_yield, located, gen_shape, m01, m07
+  FROM roofs r LEFT JOIN yl USING (site_id) LEFT JOIN hs USING (site_id) LEFT JOIN mw USING (site_id))"""
+LOCATED_ECON_SQL = (
+    ECON_SQL.replace(ROOFS_SQL, f"{ROOFS_SQL}, {LOCATED_SQL}").replace(f"{GEN_SQL} AS gs", "gen_shape AS gs").replace("AS ls FROM roofs)", "AS ls FROM located_roofs)")
+)
+
+
+@query(
+    "p33_rooftop_portfolio_located",
+    f"""WITH {LOCATED_ECON_SQL} SELECT roof_id, site_id, CASE WHEN located IS NOT NULL THEN 'pvlib_modelchain' WHEN specific_yield IS NOT NULL THEN 'caller_supplied' END AS production_method,
+  round(cap, 4) AS capacity_kwp, round(gen, 2) AS production_kwh, CASE WHEN pays THEN round(npv, 2) END AS npv_usd, round(m01 * cap, 1) AS january_kwh, round(m07 * cap, 1) AS july_kwh,
+  CAST((cap > area_m2 * 0.25 + 1e-9)::INT + (specific_yield NOT BETWEEN 500 AND 2600)::INT + (specific_yield / 8760 NOT BETWEEN 0.02 AND 0.4)::INT + (module_efficiency NOT BETWEEN 0.05 AND 0.27)::INT
+    + (area_m2 NOT BETWEEN 1 AND 100000)::INT + (cap NOT BETWEEN 0.05 AND 2000)::INT + coalesce((pays AND net / sav NOT BETWEEN 0.5 AND 60)::INT, 0) + coalesce((install_cost_usd_per_w NOT BETWEEN 0.7 AND 12)::INT, 0) AS INTEGER) AS broken, 'battery and grid follow the policy ' || label AS policy_line,
+  'values that the owner has yet to give: ' || nullif(concat_ws(', ', CASE WHEN install_cost_usd_per_w IS NULL THEN 'install_cost_usd_per_w' END, CASE WHEN retail_tariff IS NULL THEN 'retail_tariff_usd_per_kwh' END, CASE WHEN export_rate IS NULL THEN 'export_rate_usd_per_kwh' END,
+    CASE WHEN incentive_usd IS NULL THEN 'incentive_usd' END, CASE WHEN om_usd_per_kw_yr IS NULL THEN 'om_cost_usd_per_kw_yr' END), '') AS missing_line FROM econ""",
+)
 def p33_rooftop_portfolio_located(spark, sf_dir):
-    """The portfolio over modelled yields of five stations; its parts are compared one by one above."""
+    """The portfolio over modelled yields of five stations: yields, day shapes and months to economics, messages and ledger."""
     stats = weather(spark, sf_dir).groupBy("site_id").agg(F.avg("ghi").alias("e_y"), F.stddev("ghi").alias("sd_y"))
     made = location_production(weather(spark, sf_dir), ["site_id"], stats)
     df = portfolio(roofs(spark, sf_dir), made, ["site_id"])
+
+    def line(start):
+        return F.get(F.filter("assumptions", lambda text: text.startswith(start)), F.lit(0))
+
     return df.select(
         "roof_id", "site_id", "production_method", F.round("capacity_kwp", 4).alias("capacity_kwp"), F.round("production_kwh", 2).alias("production_kwh"),
-        F.round("npv_usd", 2).alias("npv_usd"), "sanity_ok",
+        F.round("npv_usd", 2).alias("npv_usd"), F.get("monthly_kwh", F.lit(0)).alias("january_kwh"), F.get("monthly_kwh", F.lit(6)).alias("july_kwh"),
+        F.size("sanity_messages").alias("broken"), line("battery").alias("policy_line"), line("values").alias("missing_line"),
     )
 
 
