@@ -118,12 +118,16 @@ def with_ac_power(
     lon: str = "lon",
     inverter_efficiency: float = 0.96,
     out: str = "ac_w",
+    sun_known: bool = False,
 ) -> DataFrame:
-    """Adds AC power in watts per kWp; negatives are clipped to 0."""
+    """Adds AC power in watts per kWp; negatives are clipped to 0.
+
+    With ``sun_known`` the columns of :func:`with_sun` are there already.
+    """
     keep = df.columns
     beta, gamma = F.radians(tilt), F.radians(azimuth)
     staged = (
-        with_sun(df, ts, lat, lon)
+        (df if sun_known else with_sun(df, ts, lat, lon))
         .withColumns({"_beta": beta, "_sin_z": F.sqrt(F.greatest(1.0 - F.col("cos_zenith") ** 2, F.lit(0.0)))})
         .withColumn(
             "_proj",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terralux.functions import finance
 from terralux.functions.geodesy import effective_azimuth, effective_tilt
 from terralux.functions.losses import dc_derate, loss_items
-from terralux.functions.solar import with_ac_power
+from terralux.functions.solar import with_ac_power, with_sun
 
 # Column names of raw hourly weather, fallback irradiation, tilt sweep.
 WEATHER_NAMES = {"G(h)": "ghi", "Gb(n)": "dni", "Gd(h)": "dhi", "T2m": "temp_air", "WS10m": "wind_speed"}
@@ -109,13 +109,19 @@ def diurnal_shape(weather: DataFrame, keys: list[str], utc_offset_h: int = 0) ->
 def best_tilt(weather: DataFrame, keys: list[str], derate: Column | None = None) -> DataFrame:
     """The lowest of the tilts 0..60 with the highest yield, equator-facing.
 
-    All thirteen tilts are evaluated per hour row in place, so the hours travel once.
+    The sun is computed once per hour, before the hour is taken at all thirteen tilts; their sums
+    combine in the task, so that a key sends thirteen rows per task through the shuffle.
     """
     kept = dc_derate(loss_items()) if derate is None else derate
     lo, hi, step = TILT_SWEEP
-    swept = weather.drop("tilt", "azimuth").withColumn("tilt", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))))
-    swept = swept.withColumn("tilt", F.col("tilt").cast("double"))
-    yields = hourly_power(swept).groupBy(*keys, "tilt").agg(_kwh(kept).alias("y"))
+    lit = with_sun(prepare_weather(weather.drop("tilt", "azimuth")))
+    swept = lit.withColumns(
+        {
+            "tilt": F.explode(F.array(*(F.lit(float(t)) for t in range(lo, hi + 1, step)))),
+            "azimuth": effective_azimuth(F.lit(None).cast("double"), F.col("lat")),
+        }
+    )
+    yields = with_ac_power(swept, sun_known=True).groupBy(*keys, "tilt").agg(_kwh(kept).alias("y"))
     # Sums differ in the last bits between runs; equal yields are those equal to 9 decimals.
     best = F.min_by(F.struct("tilt", "y"), F.struct((-F.round("y", 9)).alias("y"), F.col("tilt").alias("t")))
     return yields.groupBy(*keys).agg(best.alias("b")).select(
