@@ -186,43 +186,40 @@ def _features(spark, sf_dir):
     return vectors.assemble_ways(ways, nodes), vectors.point_features(nodes)
 
 
-def _kind_counts(df):
-    return df.groupBy("scene_id", "geom_type").agg(F.count("*").alias("n"))
+def _kinds(df):
+    return df.select(
+        "scene_id", "feature_id", "geom_type", F.size("coords").alias("positions"), (F.round(F.col("coords")[0]["x"], 6) + 0.0).alias("first_x")
+    )
 
 
-@query(
-    "s6_power_features",
-    f"WITH {NODES_SQL}, {WAYGEO_SQL}, a AS (SELECT scene_id, geom_type, id FROM geo UNION ALL SELECT scene_id, 'Point', node_id FROM nd) SELECT scene_id, geom_type, count(*) AS n FROM a GROUP BY 1, 2",
-)
+_WAY_ROWS = "SELECT scene_id, id AS feature_id, geom_type, CAST(positions AS INTEGER) AS positions, round((id % 100) / 10.0, 6) + 0.0 AS first_x FROM geo"
+_NODE_ROWS = "SELECT scene_id, node_id AS feature_id, 'Point' AS geom_type, CAST(1 AS INTEGER) AS positions, round(x, 6) + 0.0 AS first_x FROM nd"
+
+
+@query("s6_power_features", f"WITH {NODES_SQL}, {WAYGEO_SQL} {_WAY_ROWS} UNION ALL {_NODE_ROWS}")
 def s6_power_features(spark, sf_dir):
     """Every way and node of the answer."""
-    return _kind_counts(vectors.power_features(*_features(spark, sf_dir)))
+    return _kinds(vectors.power_features(*_features(spark, sf_dir)))
 
 
-@query(
-    "s6_power_features_tagged",
-    f"WITH {NODES_SQL}, {WAYGEO_SQL}, a AS (SELECT scene_id, geom_type, id FROM geo WHERE k = 'power' UNION ALL SELECT scene_id, 'Point', node_id FROM nd WHERE power IS NOT NULL) SELECT scene_id, geom_type, count(*) AS n FROM a GROUP BY 1, 2",
-)
+@query("s6_power_features_tagged", f"WITH {NODES_SQL}, {WAYGEO_SQL} {_WAY_ROWS} WHERE k = 'power' UNION ALL {_NODE_ROWS} WHERE power IS NOT NULL")
 def s6_power_features_tagged(spark, sf_dir):
-    return _kind_counts(vectors.power_features(*_features(spark, sf_dir), require_tags=True))
+    return _kinds(vectors.power_features(*_features(spark, sf_dir), require_tags=True))
 
 
-@query("s7_road_features", f"WITH {NODES_SQL}, {WAYGEO_SQL} SELECT scene_id, geom_type, count(*) AS n FROM geo WHERE v = 'primary' GROUP BY 1, 2")
+@query("s7_road_features", f"WITH {NODES_SQL}, {WAYGEO_SQL} {_WAY_ROWS} WHERE v = 'primary'")
 def s7_road_features(spark, sf_dir):
-    return _kind_counts(vectors.road_features(_features(spark, sf_dir)[0]))
+    return _kinds(vectors.road_features(_features(spark, sf_dir)[0]))
 
 
-@query("s8_railway_features", f"WITH {NODES_SQL}, {WAYGEO_SQL} SELECT scene_id, geom_type, count(*) AS n FROM geo WHERE v = 'rail' GROUP BY 1, 2")
+@query("s8_railway_features", f"WITH {NODES_SQL}, {WAYGEO_SQL} {_WAY_ROWS} WHERE v = 'rail'")
 def s8_railway_features(spark, sf_dir):
-    return _kind_counts(vectors.railway_features(_features(spark, sf_dir)[0]))
+    return _kinds(vectors.railway_features(_features(spark, sf_dir)[0]))
 
 
-@query(
-    "s9_urban_features",
-    f"WITH {NODES_SQL}, {WAYGEO_SQL}, a AS (SELECT scene_id, geom_type FROM geo WHERE v = 'residential' UNION ALL SELECT scene_id, 'Point' FROM nd WHERE place = 'village') SELECT scene_id, geom_type, count(*) AS n FROM a GROUP BY 1, 2",
-)
+@query("s9_urban_features", f"WITH {NODES_SQL}, {WAYGEO_SQL} {_WAY_ROWS} WHERE v = 'residential' UNION ALL {_NODE_ROWS} WHERE place = 'village'")
 def s9_urban_features(spark, sf_dir):
-    return _kind_counts(vectors.urban_features(*_features(spark, sf_dir)))
+    return _kinds(vectors.urban_features(*_features(spark, sf_dir)))
 
 
 @query(

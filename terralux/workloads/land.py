@@ -220,10 +220,19 @@ b AS (SELECT s_suppkey AS version, key, pos,
     CASE WHEN s_suppkey % 10 = 7 AND key = 'humidity' AND pos = 0 THEN 1.5e0 ELSE score END AS score FROM supplier, b0),
 w AS (SELECT *, lag(hi) OVER (PARTITION BY version, key ORDER BY pos) AS prev FROM b)
 SELECT version, key, CAST(pos AS INTEGER) AS pos, 'order' AS rule FROM w WHERE hi <= prev
-UNION ALL SELECT version, key, CAST(pos AS INTEGER), 'score_range' FROM w WHERE score < 0 OR score > 1""",
+UNION ALL SELECT version, key, CAST(pos AS INTEGER), 'score_range' FROM w WHERE score < 0 OR score > 1
+UNION ALL SELECT s_suppkey, 'slope', NULL, 'exclusion_weight' FROM supplier WHERE s_suppkey % 10 = 8""",
 )
 def a17_band_order(spark, sf_dir):
-    return rg.band_violations(versions(spark, sf_dir)[2], ["version"])
+    """Bands out of order or range, and a criterion that excludes: with a weight in one version of ten, without in another."""
+    _, criteria, bands = versions(spark, sf_dir)
+    digit, slope = F.col("version") % 10, F.col("key") == "slope"
+    weighted = criteria.withColumns({
+        "kind": F.when(slope & digit.isin(8, 9), F.lit("hard_exclusion")).otherwise(F.col("kind")),
+        "local_weight": F.when(slope & (digit == 9), F.lit(0.0)).otherwise(F.col("local_weight")),
+    })
+    excluded = rg.exclusion_weight_violations(weighted).select("version", "key", F.lit(None).cast("int").alias("pos"), F.lit("exclusion_weight").alias("rule"))
+    return rg.band_violations(bands, ["version"]).unionByName(excluded)
 
 
 # ---- scoring ---------------------------------------------------------------------------
