@@ -141,7 +141,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return session.cut(df, label)
+        return session.cut(df, label, plain=False)
     finally:
         conf.set(key, before) if before is not None else conf.unset(key)
 

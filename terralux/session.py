@@ -80,16 +80,29 @@ def discard(df: DataFrame) -> None:
         files.delete(where, True)
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def write_plain(df: DataFrame, path: str) -> None:
+    """Parquet without compression and dictionaries, whose file sizes tell how large the rows are.
+
+    Spark takes a file's size for the size of its rows. Millions of cells with few different values shrink to
+    a file below the broadcast threshold, and a join would gather them on the driver.
+    """
+    df.write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def cut(df: DataFrame, label: str = "cut", plain: bool = True) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Unlike a cached plan this survives lost executors, and unlike a checkpoint the
     reader's size statistics are those of the files, so iterative joins keep sane
-    estimates.
+    estimates; see :func:`write_plain`. Without ``plain`` the files are compressed, for tables
+    that no join may broadcast.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    if plain:
+        write_plain(df, path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

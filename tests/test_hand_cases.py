@@ -20,7 +20,7 @@ from terralux.operators import aoi, components, energy, interpolate, numbering,
 from terralux.operators import proximity, quality, quantiles, reclassify, rooftop, sites, terrain, uncertainty, vectors
 from terralux.operators import grids
 from terralux.operators.grids import snap_grid
-from terralux.session import scratch_path
+from terralux.session import cut, scratch_path
 from terralux.sources import documents as doc
 from terralux.sources import rasters
 
@@ -675,3 +675,22 @@ def test_no_leaf_holds_a_dense_square(spark, monkeypatch):
     held = [r["count"] for r in dealt.groupBy("_level", "_tx", "_ty").count().collect()]
     assert sum(held) >= 3000
     assert max(held) <= 30
+
+
+# ---- sizes of written tables -----------------------------------------------------------
+
+
+def _estimated_bytes(df):
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _repetitive_cells(spark):
+    """Rows that compress to nearly nothing: 700,000 cells of one value."""
+    return spark.range(0, 700_000, 1, 4).selectExpr("'a' AS scene_id", "CAST(id div 1000 AS INT) AS row", "CAST(id % 1000 AS INT) AS col", "1.0D AS v")
+
+
+def test_written_cells_are_not_broadcast(spark):
+    stored = cut(_repetitive_cells(spark))
+    assert _estimated_bytes(stored) > 10 * 2**20
+    joined = stored.join(stored.withColumnRenamed("v", "w"), ["scene_id", "row", "col"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
