@@ -14,7 +14,7 @@ from terralux import schema
 from terralux.functions.geodesy import with_lonlat
 from terralux.operators.grids import align, covering_tiles, warp
 from terralux.operators.vectors import areas_meeting_boxes
-from terralux.session import cut, is_committed, scratch_path
+from terralux.session import cut, is_committed, scratch_path, write_plain
 
 # Fixed value: missing-elevation code of the tiles.
 NO_ELEVATION = -9999.0
@@ -158,7 +158,8 @@ SOURCE_ERRORS = (PySparkException, Py4JJavaError, OSError)
 def _committed(spark: SparkSession, provide: Callable[[], DataFrame], path: str) -> DataFrame:
     """The source's table, written and committed on its own; a table committed earlier is read again."""
     if not is_committed(spark, path):
-        provide().write.mode("overwrite").parquet(path)
+        # Plain, as every layer is joined to the grid.
+        write_plain(provide(), path)
     return spark.read.parquet(path)
 
 

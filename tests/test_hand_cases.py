@@ -694,3 +694,11 @@ def test_written_cells_are_not_broadcast(spark):
     assert _estimated_bytes(stored) > 10 * 2**20
     joined = stored.join(stored.withColumnRenamed("v", "w"), ["scene_id", "row", "col"])
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assembled_layers_are_not_broadcast(spark):
+    base = _repetitive_cells(spark).drop("v")
+    made, report = rasters.assemble(base, {"v": lambda: _repetitive_cells(spark)})
+    assert report.count() == 0
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.filter("v = 1").count() == 700_000
