@@ -685,8 +685,8 @@ def _estimated_bytes(df):
 
 
 def _repetitive_cells(spark):
-    """Rows that compress to nearly nothing: 700,000 cells of one value."""
-    return spark.range(0, 700_000, 1, 4).selectExpr("'a' AS scene_id", "CAST(id div 1000 AS INT) AS row", "CAST(id % 1000 AS INT) AS col", "1.0D AS v")
+    """Rows that compress to nearly nothing: 1,200,000 cells of one value."""
+    return spark.range(0, 1_200_000, 1, 4).selectExpr("'a' AS scene_id", "CAST(id div 1000 AS INT) AS row", "CAST(id % 1000 AS INT) AS col", "1.0D AS v")
 
 
 def test_written_cells_are_not_broadcast(spark):
@@ -701,4 +701,4 @@ def test_assembled_layers_are_not_broadcast(spark):
     made, report = rasters.assemble(base, {"v": lambda: _repetitive_cells(spark)})
     assert report.count() == 0
     assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
-    assert made.filter("v = 1").count() == 700_000
+    assert made.filter("v = 1").count() == 1_200_000
