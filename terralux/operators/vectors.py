@@ -235,9 +235,20 @@ def rasterize(features: DataFrame, grids: DataFrame) -> DataFrame:
     return direct.unionByName(filled.select("scene_id", "row", "col")).distinct()
 
 
+def distinct_outlines(areas: DataFrame) -> DataFrame:
+    """Areas with equal outlines (and scene and bounds, where given) as one row, that of the least id.
+
+    What areas cover together does not change. Combined on the map side, so copies go before they travel, and the
+    shuffle tells the joins behind it how many outlines there are.
+    """
+    same = [c for c in ("scene_id", "minx", "miny", "maxx", "maxy", "rings") if c in areas.columns]
+    return areas.groupBy(*same).agg(F.min("area_id").alias("area_id"))
+
+
 def protected_cells(areas: DataFrame, grids: DataFrame) -> DataFrame:
-    """Cells inside protected areas. ``areas`` is (scene_id, area_id, rings)."""
-    rings = areas.select("scene_id", F.col("area_id").alias("feature_id"), F.explode("rings").alias("coords"))
+    """Cells inside protected areas. ``areas`` is (scene_id, area_id, rings), one row per area; repeated rows count once."""
+    once = distinct_outlines(areas.select("scene_id", "area_id", "rings"))
+    rings = once.select("scene_id", F.col("area_id").alias("feature_id"), F.explode("rings").alias("coords"))
     filled = polygon_cells(_sides(_to_cell_space(rings, grids)), ["scene_id", "feature_id"])
     return filled.select("scene_id", "row", "col").distinct()
 

@@ -702,3 +702,31 @@ def test_assembled_layers_are_not_broadcast(spark):
     assert report.count() == 0
     assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     assert made.filter("v = 1").count() == 1_200_000
+
+
+# ---- equal outlines --------------------------------------------------------------------
+
+
+def _square(area_id, x, y, side, scene="a"):
+    ring = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    return (scene, area_id, x, y, x + side, y + side, [ring])
+
+
+AREAS = "scene_id STRING, area_id BIGINT, minx DOUBLE, miny DOUBLE, maxx DOUBLE, maxy DOUBLE, rings ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
+
+
+def test_equal_outlines_are_filled_once(spark):
+    spec = grid_row(spark, 10, 10)
+    one_, other = (500000.0, 3497000.0, 3000.0), (502000.0, 3495000.0, 3000.0)
+    copies = frame(spark, [_square(i, *(one_ if i % 2 else other)) for i in range(1000)], AREAS)
+    kept = vectors.distinct_outlines(copies)
+    assert sorted(r[0] for r in kept.select("area_id").collect()) == [0, 1]
+    assert set(kept.columns) == set(copies.columns)
+    single = frame(spark, [_square(1, *one_), _square(2, *other)], AREAS)
+    # A repeated row once more: its crossings used to pair up with their own copies and fill nothing.
+    repeated = single.unionByName(single)
+    want = {(r["row"], r["col"]) for r in vectors.protected_cells(single, spec).collect()}
+    assert len(want) == 9 + 9 - 1
+    for areas in (copies, repeated):
+        got = vectors.protected_cells(areas, spec).collect()
+        assert len(got) == len(want) and {(r["row"], r["col"]) for r in got} == want
