@@ -989,7 +989,8 @@ def s10_present_protected_file(spark, sf_dir):
     rasters.write_protected(quads(spark, sf_dir).select(*declared), path)
     box = spec.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
     areas, available = rasters.read_protected(spark, path, tuple(box))
-    near = rasters.protected_in_boxes(areas, spec.select("scene_id", "minx", "miny", "maxx", "maxy"), tile=10_000.0)
+    # Only what the areas cover together is asked, so equal outlines meet the scenes once.
+    near = rasters.protected_in_boxes(vectors.distinct_outlines(areas), spec.select("scene_id", "minx", "miny", "maxx", "maxy"), tile=10_000.0)
     inside = vectors.protected_cells(near, spec).withColumn("hit", F.lit(True))
     joined = base_cells(spark, sf_dir).select(*CELL).join(inside, CELL, "left")
     return joined.groupBy("scene_id").agg(F.count("*").alias("cells"), F.count("hit").alias("protected_cells")).withColumn("available", F.lit(available))
