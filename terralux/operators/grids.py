@@ -198,7 +198,8 @@ def resample(targets: DataFrame, source: DataFrame, method: str = "bilinear") ->
     ``targets`` carries fractional source indices (src_row, src_col; centres are whole
     numbers) and ``source`` is (scene_id, row, col, value) with one row per pixel. Source
     pixels gather their patch once, so every kernel needs a single equi-join instead of one
-    join per tap. The weighted sum is renormalised over the pixels that have a value.
+    join per tap. The weighted sum is renormalised over the pixels that have a value. Pixels are
+    never broadcast: files of rasters are far smaller than their rows.
     """
     if method == "average":
         hits = source.select("scene_id", "value", "target_row", "target_col")
@@ -213,7 +214,7 @@ def resample(targets: DataFrame, source: DataFrame, method: str = "bilinear") ->
         picked = source.select(
             "scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "value"
         )
-        return placed.join(picked, ["scene_id", "_r", "_c"], "left").drop("_r", "_c", "src_row", "src_col")
+        return placed.join(picked.hint("merge"), ["scene_id", "_r", "_c"], "left").drop("_r", "_c", "src_row", "src_col")
     if method not in _KERNELS:
         raise ValueError(f"unknown resampling {method!r}")
     before, after, kernel = _KERNELS[method]
@@ -231,7 +232,7 @@ def resample(targets: DataFrame, source: DataFrame, method: str = "bilinear") ->
     total = F.aggregate(used, F.lit(0.0), lambda s, p: s + p["w"] * p["v"])
     weight = F.aggregate(used, F.lit(0.0), lambda s, p: s + p["w"])
     return (
-        placed.join(patches, ["scene_id", "_r", "_c"], "left")
+        placed.join(patches.hint("merge"), ["scene_id", "_r", "_c"], "left")
         .withColumn("value", total / F.nullif(weight, F.lit(0.0)))
         .drop("_r", "_c", "_u", "_v", "patch", "src_row", "src_col")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terralux import schema
 from terralux.functions.geodesy import with_lonlat
-from terralux.operators.grids import align, covering_tiles, warp
+from terralux.operators.grids import align, covering_tiles, resample, warp
 from terralux.operators.vectors import areas_meeting_boxes
 from terralux.session import cut, is_committed, scratch_path, write_plain
 
@@ -36,19 +36,34 @@ def elevation_pixels(tiles: DataFrame, value: str = "value") -> DataFrame:
 
 def write_tiles(pixels: DataFrame, path: str) -> None:
     """Pixels (tile_lat, tile_lon, pixel_row, pixel_col, value) as one folder per tile; rows count from the tile's north-west corner."""
-    pixels.repartition("tile_lat", "tile_lon").write.mode("overwrite").partitionBy("tile_lat", "tile_lon").parquet(path)
+    # Rebalanced: a task sorts a bounded share of the pixels by folder, however many there are.
+    pixels.hint("rebalance", "tile_lat", "tile_lon").write.mode("overwrite").partitionBy("tile_lat", "tile_lon").parquet(path)
 
 
-def read_tiles(spark: SparkSession, path: str, covering: DataFrame) -> DataFrame:
-    """Pixels of the covering tiles of every scene, with ``scene_id``.
+def _on_globe() -> Column:
+    return F.col("tile_lat").between(-90, 89) & F.col("tile_lon").between(-180, 179)
 
-    The path is partitioned by tile_lat and tile_lon, and the tiles are broadcast, so that the folders are
-    chosen at run time. There are 64,800 tiles of a degree on the globe; a scene has a handful.
-    """
+
+def _chosen_tiles(spark: SparkSession, path: str, tiles: DataFrame) -> DataFrame:
+    """Pixels of these tiles. The path is partitioned by tile_lat and tile_lon, and the tiles are broadcast, so that
+    the folders are chosen at run time; there are 64,800 tiles of a degree on the globe."""
+    chosen = tiles.select("tile_lat", "tile_lon").distinct().filter(_on_globe())
+    return spark.read.parquet(path).join(F.broadcast(chosen), ["tile_lat", "tile_lon"], "left_semi")
+
+
+def read_tiles(spark: SparkSession, path: str, covering: DataFrame) -> DataFrame:
+    """Pixels of the covering tiles of every scene, with ``scene_id``; a scene has a handful of tiles."""
     needed = covering.select("scene_id", "tile_lat", "tile_lon").distinct()
-    tiles = needed.select("tile_lat", "tile_lon").distinct().filter(F.col("tile_lat").between(-90, 89) & F.col("tile_lon").between(-180, 179))
-    chosen = spark.read.parquet(path).join(F.broadcast(tiles), ["tile_lat", "tile_lon"], "left_semi")
-    return chosen.join(needed, ["tile_lat", "tile_lon"])
+    return _chosen_tiles(spark, path, needed).join(needed, ["tile_lat", "tile_lon"])
+
+
+def _touched_tiles(located: DataFrame, step: int, margin: float) -> DataFrame:
+    """(tile_lat, tile_lon) of the tiles within ``margin`` degrees of any position; combined on the map side."""
+
+    def near(at: str) -> Column:
+        return F.array_distinct(F.array(*(F.floor((F.col(at) + by) / step) * step for by in (-margin, margin))))
+
+    return located.select(F.explode(near("lat")).alias("tile_lat"), "lon").select("tile_lat", F.explode(near("lon")).alias("tile_lon")).distinct()
 
 
 def tiles_to_cells(
@@ -56,22 +71,52 @@ def tiles_to_cells(
 ) -> DataFrame:
     """A tiled WGS-84 raster on the cells (scene_id, row, col, x, y) of every scene, as ``value``.
 
-    The tiles of a scene are those its cells touch, with a margin of the kernel's reach, so that a
-    kernel meets the pixels beyond a tile's border; the scene's raster spans all of them, and the
-    first tile with a value wins where they overlap. Missing tiles leave missing pixels.
+    The tiles are those that a cell touches, with a margin of the kernel's reach, so that a kernel meets the pixels
+    beyond a tile's border. They are one raster with rows from 90 N and columns from 180 W, which all scenes
+    share: a pixel is read once however many scenes need it, and a long scene needs no tiles beside its cells.
+    The first tile with a value wins where they overlap. Missing tiles leave missing pixels.
     """
     at = cells.select("scene_id", "row", "col", "x", "y")
     located = with_lonlat(at.join(grids.select("scene_id", "epsg"), "scene_id"), "x", "y", "epsg")
     margin = 3.0 / pixels_per_degree
+    if method == "average":
+        return _averaged_tiles(spark, path, at, located, grids, step, pixels_per_degree, margin, prepare)
+    tiles = cut(_touched_tiles(located, step, margin), "tiles")
+    pixels = _chosen_tiles(spark, path, tiles)
+    pixels = prepare(pixels) if prepare else pixels
+
+    def place(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(
+            F.lit("globe").alias("scene_id"),
+            ((90 - F.col("tile_lat") - step) * pixels_per_degree + F.col("pixel_row")).cast("int").alias("row"),
+            ((F.col("tile_lon") + 180) * pixels_per_degree + F.col("pixel_col")).cast("int").alias("col"),
+            *more,
+        )
+
+    raster = mosaic(place(pixels, F.col("value").cast("double").alias("value"), F.struct("tile_lat", "tile_lon").alias("tile_order")), ["scene_id", "row", "col"])
+    if method != "nearest":
+        # Kernels read a patch around each pixel, so places without a pixel must be rows too.
+        line = F.sequence(F.lit(0), F.lit(step * pixels_per_degree - 1))
+        lines = tiles.select("*", F.explode(line).alias("pixel_row")).repartition("tile_lat", "tile_lon", "pixel_row")
+        raster = place(lines.select("*", F.explode(line).alias("pixel_col"))).join(raster.hint("merge"), ["scene_id", "row", "col"], "left")
+    targets = located.select(
+        F.lit("globe").alias("scene_id"), F.col("scene_id").alias("_scene"), F.col("row"), F.col("col"), "x", "y",
+        ((90.0 - F.col("lat")) * pixels_per_degree - 0.5).alias("src_row"), ((F.col("lon") + 180.0) * pixels_per_degree - 0.5).alias("src_col"),
+    )
+    return resample(targets, raster, method).drop("scene_id").select(F.col("_scene").alias("scene_id"), "row", "col", "x", "y", "value")
+
+
+def _averaged_tiles(
+    spark: SparkSession, path: str, at: DataFrame, located: DataFrame, grids: DataFrame, step: int, pixels_per_degree: int, margin: float, prepare: Callable[[DataFrame], DataFrame] | None
+) -> DataFrame:
+    """Means of the pixels in each cell: a pixel counts once in every scene that holds it, so each scene takes the tiles of its box."""
     boxes = located.groupBy("scene_id").agg(
         (F.min("lon") - margin).alias("minx"), (F.min("lat") - margin).alias("miny"), (F.max("lon") + margin).alias("maxx"), (F.max("lat") + margin).alias("maxy")
     )
     covering = cut(covering_tiles(boxes, step).select("scene_id", "tile_lat", "tile_lon"), "tiles")
     size = 1.0 / pixels_per_degree
     span = covering.groupBy("scene_id").agg(
-        F.min("tile_lon").cast("double").alias("west"), (F.max("tile_lat") + step).cast("double").alias("north"),
-        ((F.max("tile_lon") + step - F.min("tile_lon")) * pixels_per_degree).cast("int").alias("width"),
-        ((F.max("tile_lat") + step - F.min("tile_lat")) * pixels_per_degree).cast("int").alias("height"),
+        F.min("tile_lon").cast("double").alias("west"), (F.max("tile_lat") + step).cast("double").alias("north")
     ).withColumns({"dlon": F.lit(size), "dlat": F.lit(size)})
     pixels = read_tiles(spark, path, covering)
     pixels = prepare(pixels) if prepare else pixels
@@ -82,13 +127,7 @@ def tiles_to_cells(
         ((F.col("tile_lon") - F.col("west")) * pixels_per_degree + F.col("pixel_col")).cast("int").alias("col"),
         F.col("value").cast("double").alias("value"), F.struct("tile_lat", "tile_lon").alias("tile_order"),
     )
-    raster = mosaic(placed, ["scene_id", "row", "col"])
-    if method not in ("nearest", "average"):
-        # Kernels read a patch around each pixel, so places without a pixel must be rows too.
-        rows = span.select("scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).repartition("scene_id", "row")
-        whole = rows.select("scene_id", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-        raster = whole.join(raster, ["scene_id", "row", "col"], "left")
-    return warp(at, grids, raster, span, method)
+    return warp(at, grids, mosaic(placed, ["scene_id", "row", "col"]), span, "average")
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

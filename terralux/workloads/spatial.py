@@ -589,8 +589,11 @@ def _tile_folder(spark, sf_dir, step, value):
     touched = g.with_lonlat(at, "x", "y", "epsg").select((F.floor(F.col("lat") / step) * step).alias("tile_lat"), (F.floor(F.col("lon") / step) * step).alias("tile_lon")).distinct()
     around = F.array(*(F.struct(F.lit(a * step).alias("a"), F.lit(b * step).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     tiles = touched.select("*", F.explode(around).alias("d")).select((F.col("tile_lat") + F.col("d.a")).alias("tile_lat"), (F.col("tile_lon") + F.col("d.b")).alias("tile_lon")).distinct()
+    tiles = cut(tiles, "tile-names")
     line = F.sequence(F.lit(0), F.lit(step * PIXELS_PER_DEGREE - 1))
-    pixels = tiles.withColumn("pixel_row", F.explode(line)).withColumn("pixel_col", F.explode(line)).withColumns(
+    # Sixteen tiles a task, as a tile's name grows to all of its pixels.
+    spread = tiles.repartition(1 + tiles.count() // 16, "tile_lat", "tile_lon")
+    pixels = spread.withColumn("pixel_row", F.explode(line)).withColumn("pixel_col", F.explode(line)).withColumns(
         {"gr": (90 - F.col("tile_lat") - step) * PIXELS_PER_DEGREE + F.col("pixel_row"), "gc": (F.col("tile_lon") + 180) * PIXELS_PER_DEGREE + F.col("pixel_col")}
     )
     path = scratch_path(spark, "tiles")

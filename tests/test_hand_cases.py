@@ -730,3 +730,29 @@ def test_equal_outlines_are_filled_once(spark):
     for areas in (copies, repeated):
         got = vectors.protected_cells(areas, spec).collect()
         assert len(got) == len(want) and {(r["row"], r["col"]) for r in got} == want
+
+
+# ---- tiles shared by scenes ------------------------------------------------------------
+
+
+def test_scenes_share_the_pixels_of_a_tile(spark):
+    """A long scene over a diagonal of tiles and two scenes at one place; no scene has a raster of its own box."""
+    path = scratch_path(spark, "shared-tiles")
+    pixels = spark.range(4).selectExpr("CAST(id AS INT) + 30 AS tile_lat", "CAST(id AS INT) + 26 AS tile_lon").selectExpr(
+        "*", "explode(sequence(0, 59)) AS pixel_row"
+    ).selectExpr("*", "explode(sequence(0, 59)) AS pixel_col", "CAST(tile_lat * 100 + pixel_row AS DOUBLE) AS value")
+    rasters.write_tiles(pixels, path)
+    places = [("long", i, 30.5 + i, 26.5 + i) for i in range(4)] + [("b", 0, 30.5, 26.5), ("c", 0, 30.5, 26.5)]
+    at = geodesy.with_utm(
+        frame(spark, places, "scene_id STRING, row INT, lat DOUBLE, lon DOUBLE").withColumns({"col": F.lit(0), "epsg": F.lit(32635)}), "lon", "lat", "epsg", "x", "y"
+    )
+    spec = frame(spark, [(s, 32635) for s in ("long", "b", "c")], "scene_id STRING, epsg INT")
+    for method in ("nearest", "bilinear"):
+        df = rasters.tiles_to_cells(spark, path, at, spec, 1, 60, method)
+        assert df.columns == ["scene_id", "row", "col", "x", "y", "value"]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "width" not in plan and "strategy=merge" in plan
+        got = {(r["scene_id"], r["row"]): r["value"] for r in df.collect()}
+        assert len(got) == 6 and got["b", 0] == got["c", 0] == got["long", 0]
+        for i in range(4):
+            assert abs(got["long", i] - ((30 + i) * 100 + 29.5)) <= 0.5 + 1e-6
