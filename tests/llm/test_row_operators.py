@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from llm_cases import SF_DIR, hard_rows, make_docs  # noqa: F401
 
@@ -376,6 +377,43 @@ def test_thresholds_hold_for_the_population(make_docs, spark):
     assert len([k for k in range(240) if k in kept]) < 20
 
 
+def test_all_labelled_texts_teach(make_docs, spark):
+    """Single words, each in one text: the embeddings of all of them are learned, not those of a draw."""
+    docs = make_docs([(k, f"{'vile' if k % 2 else 'plain'}{k * 7919}", "en") for k in range(12_000)])
+    labels = spark.range(12_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    data, offsets = toxicity.byte_view(pa.array([r.text for r in docs.orderBy("doc_id").collect()]))
+    rows = toxicity.word_rows(data, offsets)[0][:, 0]
+    for thresholds, least in ((False, 0.95), (True, 0.8)):
+        classifier = toxicity.fit_toxicity(docs, labels, thresholds=thresholds)
+        assert (classifier.network.table != toxicity.TextCNN().table).any(axis=1)[rows].mean() > least
+        assert bool(classifier.thresholds) == thresholds
+
+
+def test_parts_are_averaged(make_docs, spark, monkeypatch):
+    """Many parts, summed through several levels or at once, give one network that has learned what each part met."""
+    docs = make_docs([(k, f"{'vile slur ' * (k % 2)}plain words number {k % 10}", "en") for k in range(600)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "bucket_count", lambda n, per=0: 9)
+    states = []
+    for fan in (2, 32):
+        monkeypatch.setattr(toxicity, "FAN", fan)
+        classifier = toxicity.fit_toxicity(docs, labels)
+        states.append(classifier.network.state())
+        assert {r.doc_id for r in toxicity.without_toxic(docs, classifier).collect()} == set(range(0, 600, 2))
+    assert np.allclose(*states, atol=1e-4)
+
+
+def test_thresholds_count_every_spare_text(make_docs, spark):
+    """As above, with all texts: a fifth of the doubtful ones is toxic, and they stay."""
+    rng = random.Random(3)
+    kinds = [("vile slur", 1)] * 240 + [("maybe so", 1)] * 120 + [("maybe so", 0)] * 480 + [("plain", 0)] * 2760
+    docs = make_docs([(k, f"{w} " * 4 + " ".join(rng.choices("abcdefgh", k=5)), "en") for k, (w, _) in enumerate(kinds)])
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(kinds)], "doc_id long, toxic int")
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, toxicity.fit_toxicity(docs, labels)).select("doc_id").collect()}
+    assert len([k for k in range(360, 840) if k in kept]) > 400
+    assert len([k for k in range(240) if k in kept]) < 20
+
+
 def test_threshold_weighs_texts():
     scores, labels = np.array([0.9, 0.9, 0.5, 0.5, 0.5, 0.1]), np.array([1, 1, 1, 1, 0, 0])
     assert toxicity.best_threshold(scores, labels, np.ones(6)) < 0.5
