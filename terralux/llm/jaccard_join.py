@@ -18,8 +18,9 @@ candidates where there are at most ``SMALL_GROUP`` of them. For the classes of l
 counted first how many shingles no other of them has. Those shingles cannot be common, which
 bounds the similarity of any pair from above; classes that cannot reach the threshold with any other leave,
 again and again. In what is left, ``ROUNDS`` times, every class of a group that is not connected yet is
-held against the one with the fewest shingles of its own (the text that others were edited from);
-then the pairs still in different components follow, those that the bound allows. So no link between
+held against a hub, the one with the fewest shingles of its own (the text that others were edited from), the second time the
+one that is not connected to the first;
+then the pairs still in different components follow, those that the bound and the differences from both hubs allow. So no link between
 different texts is missed for the components. Candidates are tested exactly, on the shingles' 64-bit hashes.
 
 A signature is sent by five bytes and its bucket; two that cannot be told apart make a candidate more, never one less.
@@ -380,11 +381,13 @@ def placed_pairs(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, deal, size) of classes that are similar, by their sets (class, hashes).
+    """(a, b, both, linked) of the pairs (a, b, deal, size) of classes that are similar, by their sets (class, hashes).
 
+    ``both`` is the size of the intersection. Pairs with a column ``measure`` are all returned, also those that are not ``linked``.
     A pair is tested in a part that its key ``deal`` tells; a part gets each set that its pairs name once. The key must not
     gather the pairs of a class that can have any number of partners. ``size`` is that of one of the two sets.
     """
+    measure = "measure" in pairs.columns
     placed = placed_pairs(pairs, n)
     wanted = placed.select(F.col("a").alias("class"), "part").union(placed.select(F.col("b").alias("class"), "part")).distinct()
     sent = wanted.join(sets, "class").select((F.col("part") + 0).alias("to"), "class", "hashes")
@@ -399,11 +402,13 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, n: int, percent: int = PERCE
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both = int((y[at] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                out.append((a, b))
-        return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["a", "b"])
+            linked = 100 * both >= percent * (len(x) + len(y) - both)
+            if linked or measure:
+                out.append((a, b, both, linked))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "both", "linked"])
 
-    return placed.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(test, "a long, b long")
+    return placed.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(test, "a long, b long, both long, linked boolean")
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -474,16 +479,49 @@ def _may_link(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}.size - {a}.own, {b}.size - {b}.own) >= {percent} * ({a}.size + {b}.size - least({a}.size - {a}.own, {b}.size - {b}.own))")
 
 
+def _near_hub(k: int, percent: int):
+    """Whether classes l and r could be similar by how they differ from their group's hub of round ``k``.
+
+    A set lacks ``lacks`` shingles of the hub's and has ``adds`` others, of which ``alone`` are in no other set. Two sets differ
+    at least by the difference of what they lack and by what they add and cannot share.
+    """
+    differ = (
+        f"abs(l.lacks{k} - r.lacks{k}) + l.adds{k} + r.adds{k} - 2 * least(l.adds{k} - l.alone{k}, r.adds{k} - r.alone{k})"
+    )
+    return F.expr(f"({differ}) * {100 + percent} <= (l.size + r.size) * {100 - percent}")
+
+
+def _reachable(open_: DataFrame, percent: int) -> DataFrame:
+    """Members that may link across components, and whether they are outside the first hub's component (``outer``).
+
+    Of any such pair one class is outside. Let two sets differ in no more than they may: then the first one's ``far``, by how much
+    it is too far from the hub, is no more than the ``reach`` of the second, whatever the two have in common.
+    """
+    far = (F.col("lacks0") + F.col("adds0")) * (100 + percent) - (F.col("size") + F.col("hub_size0")) * (100 - percent)
+    reach = (F.col("lacks0") + F.col("adds0") - 2 * F.col("alone0")) * (100 + percent) + (F.col("adds0") - F.col("lacks0")) * (100 - percent)
+    told = open_.withColumns({"far": far, "reach": reach, "outer": F.col("component") != F.col("hub_component0")})
+    most = told.groupBy("signature").agg(F.max("reach").alias("most"))
+    told = told.join(most, "signature").where("far <= most")
+    least = told.where("outer").groupBy("signature").agg(F.min("far").alias("nearest"))
+    return told.join(least, "signature").where("outer or reach >= nearest").drop("far", "reach", "most", "nearest")
+
+
 def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Labels after all links between classes that share a signature of a large group."""
     tested = tested.select("a", "b")
+    told: list[str] = []
 
     def still_open(placed: DataFrame) -> DataFrame:
         several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
         return placed.join(several.select("signature"), "signature", "left_semi")
 
     for round_ in range(ROUNDS + 1):
-        labelled = members.select("signature", "class").join(labels, "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
+        labelled = members.join(labels, "class", "left").select("signature", "class", *told, F.coalesce("component", "class").alias("component"))
+        if round_:
+            # Where the first hub belongs by now.
+            at = labels.select(F.col("class").alias("hub0"), F.col("component").alias("at"))
+            labelled = labelled.join(at, "hub0", "left").withColumn("hub_component0", F.coalesce("at", "hub0")).drop("at")
+        here = [*told, "hub_component0"] if round_ else []
         open_ = cut(still_open(labelled), "open")
         if not open_.limit(1).count():
             return labels
@@ -491,29 +529,44 @@ def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFram
             own = cut(own_shingles(sets.join(open_.select("class").distinct(), "class", "left_semi"), n), "own")
             # Even a partner that lies within the set must hold enough of it.
             fit = own.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
-            open_ = still_open(open_.select("signature", "class", "component").join(fit, "class"))
-        members = cut(open_, "open")
-        open_ = members
+            open_ = still_open(open_.select("signature", "class", "component", *here).join(fit, "class"))
         if round_ < ROUNDS:
-            hub = open_.groupBy("signature").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), "class", "component", "size", "own")).alias("hub"))
-            met = open_.alias("m").join(hub, "signature").where("m.component != hub.component").where(_may_link("m", "hub", percent))
+            open_ = cut(open_, "open")
+            # Of classes with the same part of own shingles the largest; the next hub is outside the first one's component.
+            outside = open_.where("component != hub_component0") if round_ else open_
+            hub = outside.groupBy("signature").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), (-F.col("size")).alias("less"), "class", "size")).alias("hub"))
+            met = open_.alias("m").join(hub, "signature").withColumns({"a": F.least("m.class", "hub.class"), "b": F.greatest("m.class", "hub.class")})
             # By the class that is not the hub: the hub's set goes to every part, its partners each to theirs.
-            deal = dealt_by("m.class", "hub.class", "m.size")
-            pairs = met.select(F.least("m.class", "hub.class").alias("a"), F.greatest("m.class", "hub.class").alias("b"), deal.alias("deal"), "m.size")
+            pairs = met.where("a != b").select("a", "b", dealt_by("m.class", "hub.class", "m.size").alias("deal"), "m.size")
+            pairs = cut(pairs.dropDuplicates(["a", "b"]).withColumn("measure", F.lit(True)), "pairs")
+            measured = cut(linked_pairs(pairs, sets, n, percent), "measured")
+            links = measured.where("linked").select("a", "b")
+            both, itself = F.coalesce("both", "size"), F.col("a") == F.col("b")
+            view = {
+                f"hub{round_}": F.col("hub.class"), f"hub_size{round_}": F.col("hub.size"), f"lacks{round_}": F.col("hub.size") - both,
+                f"adds{round_}": F.col("size") - both, f"alone{round_}": F.when(itself, F.lit(0)).otherwise(F.col("own")),
+            }
+            seen = met.join(measured.select("a", "b", "both"), ["a", "b"], "left")
+            members = cut(seen.select("signature", "class", *told, *(c.alias(x) for x, c in view.items())), "open")
+            told += view
         else:
+            open_ = cut(_reachable(open_, percent), "open")
             # Classes that share several signatures meet at the first: each row knows the least of its class.
             least = open_.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LEAST_SIGNATURES).alias("least"))
             listed = cut(open_.join(least, "class"), "open")
-            left, right = listed.alias("l"), listed.alias("r")
-            across = F.expr(
-                "l.signature = r.signature and l.class < r.class and l.component != r.component "
-                "and not exists(array_intersect(l.least, r.least), x -> x < l.signature)"
-            )
+            left, right = listed.where("outer").alias("l"), listed.alias("r")
+            across = F.expr("l.signature = r.signature and l.component != r.component and (not r.outer or l.class < r.class)")
+            for k in range(ROUNDS):
+                across &= _near_hub(k, percent)
+            met_before = F.expr("exists(array_intersect(l.least, r.least), x -> x < l.signature)")
             # By both classes, as either may have any number of partners.
-            deal = F.xxhash64("l.class", "r.class")
-            pairs = left.join(right, across & _may_link("l", "r", percent)).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"), deal.alias("deal"), "l.size")
-        pairs = cut(pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"), "pairs")
-        labels = components(linked_pairs(pairs, sets, n, percent), labels)
+            deal = F.xxhash64(F.least("l.class", "r.class"), F.greatest("l.class", "r.class"))
+            pairs = left.join(right, across & _may_link("l", "r", percent) & ~met_before).select(
+                F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"), deal.alias("deal"), "l.size"
+            )
+            pairs = cut(pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = linked_pairs(pairs, sets, n, percent)
+        labels = components(links, labels)
         tested = tested.unionByName(pairs.select("a", "b"))
     return labels
 

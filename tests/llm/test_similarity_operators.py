@@ -170,6 +170,49 @@ def test_sets_of_a_hubs_partners_are_spread(spark, monkeypatch, hub):
     assert sum(received[0]) == 440 and max(received[0]) <= 40
 
 
+def test_texts_far_from_their_hub_are_not_all_compared(spark, monkeypatch):
+    """Of a large group that stays in pieces, fewer pairs are tested, and no link is missed."""
+    rng = np.random.default_rng(1)
+    common = np.sort(rng.integers(0, 2**63, 150, dtype=np.uint64))
+
+    def edit(s, lacks, adds):
+        return np.unique(np.concatenate([rng.permutation(s)[lacks:], rng.integers(0, 2**63, adds, dtype=np.uint64)]))
+
+    sets = [common]
+    for _ in range(150):
+        n = int(rng.integers(4, 26))
+        sets.append(edit(common, *[(n, n), (n + 8, 0), (0, n)][int(rng.choice(3, p=[0.8, 0.1, 0.1]))]))
+    sets += [edit(sets[int(k)], 5, 5) for k in rng.integers(1, 150, 40)]
+    order = rng.permutation(len(sets))
+    sets = {int(k) * 7919 - 500_000: sets[i] for i, k in enumerate(order)}
+    component = {c: c for c in sets}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = len(np.intersect1d(x, y)) if a < b else 0
+            if a < b and 100 * both >= 80 * (len(x) + len(y) - both) and component[a] != component[b]:
+                old, new = component[a], component[b]
+                component = {c: new if k == old else k for c, k in component.items()}
+    tested, real = [], jaccard_join.linked_pairs
+
+    def watched(pairs, sets, n, percent):
+        tested.append(pairs.count())
+        return real(pairs, sets, n, percent)
+
+    monkeypatch.setattr(jaccard_join, "linked_pairs", watched)
+    frame = spark.createDataFrame([(c, len(h), bytearray(h.tobytes())) for c, h in sets.items()], "class long, size long, hashes binary")
+    members = frame.selectExpr("1L AS signature", "class").union(frame.where("class % 2 = 0").selectExpr("2L AS signature", "class"))
+    none, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "class long, component long")
+    found = {r["class"]: r["component"] for r in jaccard_join.connect_large_groups(members, none, labels, frame, 5, 80).collect()}
+    pieces = defaultdict(set)
+    for c, k in component.items():
+        pieces[k].add(c)
+    got = defaultdict(set)
+    for c in sets:
+        got[found.get(c, c)].add(c)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, pieces.values())) and len(pieces) > 20
+    assert sum(tested) < len(sets) ** 2 / 4
+
+
 def test_parts_of_the_tests_follow_the_bytes_of_sets(spark, monkeypatch):
     """Partners of one class are split where they are many bytes; parts grow in number with what pairs name."""
     monkeypatch.setattr(jaccard_join, "PART_BYTES", 100_000)
