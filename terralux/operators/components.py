@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralux.session import cut, discard
+from terralux.session import cut, discard, spread
 
 BLOCK = 128
 COL_BITS = 24
@@ -75,7 +75,7 @@ def block_labels(mask: DataFrame) -> DataFrame:
         F.expr(f"row div {BLOCK}").alias("_br"),
         F.expr(f"col div {BLOCK}").alias("_bc"),
     )
-    return blocked.groupBy("scene_id", "_br", "_bc").applyInPandas(
+    return spread(blocked, "scene_id", "_br", "_bc").groupBy("scene_id", "_br", "_bc").applyInPandas(
         _label_block, "scene_id STRING, row INT, col INT, label BIGINT"
     )
 

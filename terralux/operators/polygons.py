@@ -22,7 +22,7 @@ from terralux.functions.geodesy import with_lonlat
 from terralux.operators import stencil
 from terralux.operators.components import COL_BITS
 from terralux.operators.numbering import hierarchical_row_number
-from terralux.session import cut
+from terralux.session import cut, spread
 
 RINGS = "scene_id STRING, site_id BIGINT, part INT, ring INT, is_hole BOOLEAN, xs ARRAY<DOUBLE>, ys ARRAY<DOUBLE>"
 _WALKED = "scene_id STRING, site_id BIGINT, head BIGINT, next BIGINT, cells BIGINT, top_r INT, top_c INT, rs ARRAY<INT>, cs ARRAY<INT>, west_r ARRAY<INT>, west_c ARRAY<INT>"
@@ -147,7 +147,7 @@ def block_chains(site_cells: DataFrame, tolerance_cells: float = 0.0) -> DataFra
     def places(r: str, c: str) -> Column:
         return F.zip_with(r, c, lambda a, b: F.struct(a.alias("r"), b.alias("c")))
 
-    walked = blocked.groupBy("scene_id", "_br", "_bc").applyInPandas(walk, _WALKED)
+    walked = spread(blocked, "scene_id", "_br", "_bc").groupBy("scene_id", "_br", "_bc").applyInPandas(walk, _WALKED)
     top = F.when(F.col("top_r").isNotNull(), F.struct(F.col("top_r").alias("r"), F.col("top_c").alias("c")))
     return walked.select("scene_id", "site_id", "head", "next", "cells", top.alias("top"), places("rs", "cs").alias("corners"), places("west_r", "west_c").alias("west"))
 

@@ -169,11 +169,12 @@ def extract_with_cells(
         raise ValueError(f"missing columns: {missing}")
     values = ["lsi", "x", "y", *(["dist_power"] if "dist_power" in cells.columns else [])]
     mask = top_class_mask(cells, classes).select("scene_id", "row", "col", *values)
-    member = split_regions(mask.select("scene_id", "row", "col"), grids, max_site_area_km2, strict)
+    # Pieces and numbers are read twice: by the sites and by their cells.
+    member = cut(split_regions(mask.select("scene_id", "row", "col"), grids, max_site_area_km2, strict), "pieces")
     stats = cut(site_statistics(member.join(mask, ["scene_id", "row", "col"]), grids), "sites")
     large = number_pieces(stats).filter(F.col("area_km2") >= min_area_km2)
     ranked = with_lonlat(rank_sites(large, top_k), "centroid_x", "centroid_y", "epsg", "centroid_lon", "centroid_lat")
-    sites = ranked.select(
+    chosen = ranked.select(
         "scene_id",
         "site_id",
         "area_km2",
@@ -188,6 +189,7 @@ def extract_with_cells(
         "epsg",
         *PIECE,
     )
+    sites = cut(chosen, "ranked")
     inside = member.join(sites.select("scene_id", "site_id", *PIECE), ["scene_id", *PIECE]).select(
         "scene_id", "site_id", "row", "col"
     )

@@ -7,11 +7,13 @@ Scenes do not depend on each other: bounds of classes, regions and ranks are all
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from terralux.operators import quality, sites
 from terralux.operators.vectors import protected_cells
@@ -42,30 +44,36 @@ def scene_keys(inputs: list[DataFrame], version: str) -> DataFrame:
     return every.groupBy("scene_id").agg(F.sha2(F.concat_ws(";", F.lit(version), F.array_sort(F.collect_list("part"))), 256).alias("key"))
 
 
-def _stored(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def _replace(rows: DataFrame, path: str) -> None:
-    """Overwrites the scenes that ``rows`` has, and no others."""
-    rows.repartition("scene_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").parquet(path)
+def _stored(spark, path: str, schema: StructType) -> DataFrame:
+    """All runs of a stored table, with the ``run`` that wrote each row."""
+    named = StructType([*schema.fields, StructField("run", StringType())])
+    return spark.read.schema(named).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], named)
 
 
 def refresh_scenes(keys: DataFrame, store: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows of all scenes of ``keys`` (scene_id, key): stored ones where the key is known, computed ones elsewhere.
 
-    ``compute`` gets the (scene_id) to compute and returns rows with ``scene_id``. Rows are written before the keys, and carry
-    their key: a run that breaks off in between computes those scenes again, and rows of former keys are never read.
+    ``compute`` gets the (scene_id) to compute and returns rows with ``scene_id``. A run adds one folder of rows and then one of
+    keys, each of as many files as it has tasks, however many scenes there are. A run that breaks off in between computes those
+    scenes again, and rows of former keys or of broken runs are never read. They stay until the store is deleted.
     """
     spark = keys.sparkSession
     keys = cut(keys, "scene-keys").select("scene_id", "key")
-    known = _stored(spark, f"{store}/keys", keys.schema)
-    stale = cut(keys.join(known, ["scene_id", "key"], "left_anti"), "stale-scenes")
+
+    def known() -> DataFrame:
+        # Two runs at the same time may both know a key; their rows are the same.
+        return _stored(spark, f"{store}/keys", keys.schema).groupBy("scene_id", "key").agg(F.max("run").alias("run"))
+
+    stale = cut(keys.join(known(), ["scene_id", "key"], "left_anti"), "stale-scenes")
     computed = compute(stale.select("scene_id")).join(stale, "scene_id")
     if not stale.isEmpty():
-        _replace(computed, f"{store}/rows")
-        _replace(stale, f"{store}/keys")
-    return _stored(spark, f"{store}/rows", computed.schema).join(keys, ["scene_id", "key"]).drop("key")
+        run = f"run=r{uuid.uuid4().hex}"
+        computed.write.parquet(f"{store}/rows/{run}")
+        stale.write.parquet(f"{store}/keys/{run}")
+    current = cut(keys.join(known(), ["scene_id", "key"]), "current-scenes")
+    runs = [r.run for r in current.select("run").distinct().collect()]
+    rows = _stored(spark, f"{store}/rows", computed.schema).filter(F.col("run").isin(runs))
+    return rows.join(current, ["scene_id", "key", "run"]).drop("key", "run")
 
 
 def sites_from_sources(

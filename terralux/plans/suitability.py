@@ -60,7 +60,6 @@ def select_sites(
     ranked, member = sites.extract_with_cells(
         classified, grids, SITE_CLASSES, max_site_area_km2=SITE_CAP_KM2, top_k=top_k
     )
-    ranked = cut(ranked, "ranked")
     enriched = enrich_sites(ranked, classified, grids, weather)
     return {
         "sites": enriched,

@@ -106,6 +106,17 @@ def cut(df: DataFrame, label: str = "cut", plain: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to a fixed number of tasks, for work that takes long for its bytes.
+
+    Adaptive execution merges partitions by their bytes. Thousands of small groups, each of which costs Python a fixed
+    time, would come into one task; it leaves partitions alone whose number is given.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def null_for_nan(df: DataFrame, *columns: str) -> DataFrame:
     """NULL is the only missing value inside the library; sources pass through here."""
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns})

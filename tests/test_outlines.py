@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralux.operators import polygons, stencil
+from terralux.operators import components, polygons, stencil
 from terralux.plans.sources import refresh_scenes, scene_keys
 
 
@@ -174,3 +176,30 @@ def test_only_changed_scenes_are_computed_again(spark, tmp_path):
     assert refreshed(changed) == {"a": 1.0}
     assert refreshed(changed, "w") == {"a": 1.0}
     assert asked == [["7", "a", "b"], [], ["a", "b"], ["a", "b"]]
+
+
+def small_scenes(spark, n):
+    return spark.range(n * 4, numPartitions=2).selectExpr("concat('s', id div 4) AS scene_id", "1L AS site_id", "CAST(id % 4 div 2 AS INT) AS row", "CAST(id % 2 AS INT) AS col")
+
+
+@pytest.mark.parametrize("step", [polygons.block_chains, lambda cells: components.block_labels(cells.drop("site_id"))])
+def test_small_blocks_are_spread_over_tasks(spark, step):
+    found = step(small_scenes(spark, 40)).select("scene_id", F.spark_partition_id().alias("task")).distinct()
+    assert found.select("scene_id").distinct().count() == 40
+    assert found.select("task").distinct().count() > 1
+
+
+def test_a_store_takes_few_files_and_skips_broken_runs(spark, tmp_path):
+    store, cells = tmp_path / "store", small_scenes(spark, 60)
+
+    def refreshed():
+        found = refresh_scenes(scene_keys([cells], "v"), str(store), lambda stale: cells.join(stale, "scene_id", "left_semi"))
+        return sorted(tuple(r) for r in found.select(*cells.columns).collect())
+
+    want = sorted(tuple(r) for r in cells.collect())
+    assert refreshed() == want
+    assert len(list(store.rglob("*.parquet"))) <= 16
+    whole = next((store / "rows").iterdir())
+    shutil.copytree(whole, store / "rows" / "run=rzz")  # rows of a run that broke off before its keys
+    assert refreshed() == want
+    assert len(list((store / "keys").iterdir())) == 1
