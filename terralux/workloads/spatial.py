@@ -12,7 +12,7 @@ from terralux.operators.interpolate import interpolate
 from terralux.operators.quantiles import quantiles
 from terralux.plans.sources import sites_from_sources
 from terralux.plans.suitability import SITE_CAP_KM2, SITE_CLASSES, classified_cells, select_sites
-from terralux.session import cut, scratch_path
+from terralux.session import cut, scratch_path, spread
 from terralux.sinks import tables as sink
 from terralux.sources import rasters
 from terralux.sources.documents import parse_areas
@@ -893,11 +893,12 @@ def r7_simplified_polygons(spark, sf_dir):
     ring = ["scene_id", "site_id", "part", "ring"]
     pairs = []
     for name, by in (("exact", 0.0), ("simple", tolerance)):
-        rings = polygons.site_rings(member, spec, by)
+        rings = cut(polygons.site_rings(member, spec, by), "rings")
         measured = polygons.ring_measures(rings).select(*ring, F.col("area_m2").alias(f"{name}_area"), F.col("perimeter_m").alias(f"{name}_perimeter"))
         corners = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))
         pairs.append(rings.select(*ring, corners.alias(name)).join(measured, ring))
-    both = pairs[0].join(pairs[1], ring, "full")
+    # Every corner is held against every side of its ring: much work for few bytes.
+    both = spread(pairs[0].join(pairs[1], ring, "full"), *ring)
     sides = F.arrays_zip(F.slice("simple", 1, F.size("simple") - 1).alias("a"), F.slice("simple", 2, F.size("simple") - 1).alias("b"))
 
     def distance(p, side):
