@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from terralux.functions.geodesy import with_lonlat
 from terralux.operators.overlay import NO_CLASS
+from terralux.session import spread
+
+#: Features of a scene that a task writes at most, by their rank.
+FILE_FEATURES = 10_000
 
 
 def write_layer(cells: DataFrame, path: str, name: str, epsg: int | None = None) -> None:
@@ -54,8 +58,9 @@ def site_features(sites: DataFrame, polygons: DataFrame | None = None) -> DataFr
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """K3: features as text lines per scene; no site, no line."""
-    features.select("scene_id", "feature").hint("rebalance", "scene_id").write.mode("overwrite").partitionBy("scene_id").text(path)
+    """K3: features as text lines per scene; no site, no line. Files are few bytes but take time, so many tasks write them."""
+    placed = features.withColumn("_file", F.expr(f"rank div {FILE_FEATURES}"))
+    spread(placed, "scene_id", "_file").select("scene_id", "feature").write.mode("overwrite").partitionBy("scene_id").text(path)
 
 
 def write_class_csv(distribution: DataFrame, path: str) -> None:

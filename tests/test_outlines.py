@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terralux.operators import components, polygons, stencil
 from terralux.plans.sources import refresh_scenes, scene_keys
+from terralux.sinks.tables import write_features
 
 
 def grid_of(spark, height, width, size=1):
@@ -203,3 +204,10 @@ def test_a_store_takes_few_files_and_skips_broken_runs(spark, tmp_path):
     shutil.copytree(whole, store / "rows" / "run=rzz")  # rows of a run that broke off before its keys
     assert refreshed() == want
     assert len(list((store / "keys").iterdir())) == 1
+
+
+def test_features_are_written_by_many_tasks(spark, tmp_path):
+    features = spark.range(40, numPartitions=2).selectExpr("concat('s', id) AS scene_id", "1 AS rank", "concat('{\"id\":', id, '}') AS feature")
+    write_features(features.repartition("scene_id"), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 40
+    assert len({f.name.split("-")[1] for f in (tmp_path / "out").rglob("part-*")}) > 1
