@@ -112,13 +112,15 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
 
 
 def chunked_texts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with the bytes and offsets of their texts."""
+    """Slices of the batches with the bytes and offsets of their texts; what was freed goes back when the partition ends."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = byte_view(batch.column(batch.schema.get_field_index(text)))
         for a, b in chunks(offsets):
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    batch = data = offsets = None
+    free_memory()
 
 
 def free_memory() -> None:

@@ -48,6 +48,7 @@ from terralux.llm.common import (
     chunked_texts,
     cut,
     dealt,
+    free_memory,
     from_varint,
     group_ranks,
     mix,
@@ -269,6 +270,8 @@ def _sign(n_buckets: int, width: int, percent: int):
                 held, size = [], 0
         if size:
             yield flush()
+        held = []
+        free_memory()
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from llm_cases import SF_DIR
 from test_dedup_operators import brute_force_lines
@@ -10,7 +11,7 @@ from test_row_operators import brute_force_hits, check_packing
 from test_similarity_operators import brute_force_groups
 
 import corpus_pipeline
-from terralux.llm import line_dedup
+from terralux.llm import common, line_dedup
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +78,12 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("texts", [[], ["a b", None, ""]])
+def test_a_partition_of_texts_gives_its_memory_back(monkeypatch, texts):
+    freed = []
+    monkeypatch.setattr(common, "free_memory", lambda: freed.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
+    assert sum(part.num_rows for part, _, _ in common.chunked_texts(iter([batch, batch]))) == 2 * len(texts)
+    assert freed == [1]
