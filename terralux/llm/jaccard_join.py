@@ -17,10 +17,11 @@ Sets that are equal are one class and take part once. Of a signature's classes,
 candidates where there are at most ``SMALL_GROUP`` of them. For the classes of larger groups it is
 counted first how many shingles no other of them has. Those shingles cannot be common, which
 bounds the similarity of any pair from above; classes that cannot reach the threshold with any other leave,
-again and again. In what is left, ``ROUNDS`` times, every class of a group that is not connected yet is
+again and again. For this and the hubs, groups led by the same class (that of the least hash) count as one, as near copies share many
+signatures. In what is left, ``ROUNDS`` times, every class of a group that is not connected yet is
 held against a hub, the one with the fewest shingles of its own (the text that others were edited from), the second time the
 one that is not connected to the first;
-then the pairs still in different components follow, those that the bound and the differences from both hubs allow. So no link between
+then the pairs of a signature that are still in different components follow, those that the bound and the differences from both hubs allow. So no link between
 different texts is missed for the components. Candidates are tested exactly, on the shingles' 64-bit hashes.
 
 A signature is sent by five bytes and its bucket; two that cannot be told apart make a candidate more, never one less.
@@ -503,42 +504,54 @@ def _reachable(open_: DataFrame, percent: int) -> DataFrame:
     far = (F.col("lacks0") + F.col("adds0")) * (100 + percent) - (F.col("size") + F.col("hub_size0")) * (100 - percent)
     reach = (F.col("lacks0") + F.col("adds0") - 2 * F.col("alone0")) * (100 + percent) + (F.col("adds0") - F.col("lacks0")) * (100 - percent)
     told = open_.withColumns({"far": far, "reach": reach, "outer": F.col("component") != F.col("hub_component0")})
-    most = told.groupBy("signature").agg(F.max("reach").alias("most"))
-    told = told.join(most, "signature").where("far <= most")
-    least = told.where("outer").groupBy("signature").agg(F.min("far").alias("nearest"))
-    return told.join(least, "signature").where("outer or reach >= nearest").drop("far", "reach", "most", "nearest")
+    most = told.groupBy("lead").agg(F.max("reach").alias("most"))
+    told = told.join(most, "lead").where("far <= most")
+    least = told.where("outer").groupBy("lead").agg(F.min("far").alias("nearest"))
+    return told.join(least, "lead").where("outer or reach >= nearest").drop("far", "reach", "most", "nearest")
+
+
+def gathered(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(signature, class, lead) of the groups with several components.
+
+    The lead of a group is its class of the least hash, so groups of much the same classes mostly have the same one. Groups with
+    the same lead are held against hubs together: a class of near copies is then in a few rows, not in one per signature.
+    """
+    placed = members.join(labels, "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
+    told = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("class", F.xxhash64("class")).alias("lead"))
+    return members.select("signature", "class").join(told.where("x != y").select("signature", "lead"), "signature")
 
 
 def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Labels after all links between classes that share a signature of a large group."""
     tested = tested.select("a", "b")
     told: list[str] = []
-
-    def still_open(placed: DataFrame) -> DataFrame:
-        several = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        return placed.join(several.select("signature"), "signature", "left_semi")
+    members = cut(gathered(members, labels), "members")
+    rows = members.select("lead", "class").distinct()
 
     for round_ in range(ROUNDS + 1):
-        labelled = members.join(labels, "class", "left").select("signature", "class", *told, F.coalesce("component", "class").alias("component"))
+        labelled = rows.join(labels, "class", "left").select("lead", "class", *told, F.coalesce("component", "class").alias("component"))
         if round_:
             # Where the first hub belongs by now.
             at = labels.select(F.col("class").alias("hub0"), F.col("component").alias("at"))
             labelled = labelled.join(at, "hub0", "left").withColumn("hub_component0", F.coalesce("at", "hub0")).drop("at")
-        here = [*told, "hub_component0"] if round_ else []
-        open_ = cut(still_open(labelled), "open")
+        labelled = cut(labelled, "labelled")
+        several = labelled.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+        open_ = cut(labelled.join(several.select("lead"), "lead", "left_semi"), "open")
         if not open_.limit(1).count():
             return labels
+        fit = open_
         for _ in range(PRUNINGS):
-            own = cut(own_shingles(sets.join(open_.select("class").distinct(), "class", "left_semi"), n), "own")
+            own = cut(own_shingles(sets.join(fit.select("class").distinct(), "class", "left_semi"), n), "own")
             # Even a partner that lies within the set must hold enough of it.
             fit = own.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
-            open_ = still_open(open_.select("signature", "class", "component", *here).join(fit, "class"))
+        open_ = cut(open_.join(fit, "class"), "open")
         if round_ < ROUNDS:
-            open_ = cut(open_, "open")
             # Of classes with the same part of own shingles the largest; the next hub is outside the first one's component.
-            outside = open_.where("component != hub_component0") if round_ else open_
-            hub = outside.groupBy("signature").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), (-F.col("size")).alias("less"), "class", "size")).alias("hub"))
-            met = open_.alias("m").join(hub, "signature").withColumns({"a": F.least("m.class", "hub.class"), "b": F.greatest("m.class", "hub.class")})
+            best = F.struct((F.col("own") / F.col("size")).alias("part"), (-F.col("size")).alias("less"), "class", "size")
+            outside = F.when(F.col("component") != F.col("hub_component0"), best) if round_ else best
+            hub = open_.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(outside).alias("hub"))
+            met = open_.alias("m").join(hub.where("x != y").drop("x", "y"), "lead")
+            met = met.withColumns({"a": F.least("m.class", "hub.class"), "b": F.greatest("m.class", "hub.class")})
             # By the class that is not the hub: the hub's set goes to every part, its partners each to theirs.
             pairs = met.where("a != b").select("a", "b", dealt_by("m.class", "hub.class", "m.size").alias("deal"), "m.size")
             pairs = cut(pairs.dropDuplicates(["a", "b"]).withColumn("measure", F.lit(True)), "pairs")
@@ -550,10 +563,11 @@ def connect_large_groups(members: DataFrame, tested: DataFrame, labels: DataFram
                 f"adds{round_}": F.col("size") - both, f"alone{round_}": F.when(itself, F.lit(0)).otherwise(F.col("own")),
             }
             seen = met.join(measured.select("a", "b", "both"), ["a", "b"], "left")
-            members = cut(seen.select("signature", "class", *told, *(c.alias(x) for x, c in view.items())), "open")
+            rows = seen.select("lead", "class", *told, *(c.alias(x) for x, c in view.items()))
             told += view
         else:
-            open_ = cut(_reachable(open_, percent), "open")
+            # The pairs themselves are of one signature again.
+            open_ = cut(_reachable(open_, percent).join(members, ["lead", "class"]), "open")
             # Classes that share several signatures meet at the first: each row knows the least of its class.
             least = open_.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LEAST_SIGNATURES).alias("least"))
             listed = cut(open_.join(least, "class"), "open")

@@ -213,6 +213,44 @@ def test_texts_far_from_their_hub_are_not_all_compared(spark, monkeypatch):
     assert sum(tested) < len(sets) ** 2 / 4
 
 
+def test_near_copies_are_not_held_against_hubs_by_every_signature(spark, monkeypatch):
+    """Classes of a large group that share many signatures: few rows for each in the rounds, and no link is missed."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = {}
+    for k in range(120):
+        n = int(rng.integers(4, 20))
+        edited_set = np.concatenate([rng.permutation(common)[n:], rng.integers(0, 2**63, n, dtype=np.uint64)])
+        sets[k * 7919 - 400_000] = np.unique(edited_set)
+    component = {c: c for c in sets}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = len(np.intersect1d(x, y)) if a < b else 0
+            if a < b and 100 * both >= 80 * (len(x) + len(y) - both) and component[a] != component[b]:
+                old, new = component[a], component[b]
+                component = {c: new if k == old else k for c, k in component.items()}
+    rows = [(s, c) for s in range(24) for c in sets if s == 0 or rng.random() < 0.9]
+    made, real = [], jaccard_join.cut
+
+    def watched(df, label):
+        table = real(df, label)
+        if "lacks0" in table.columns or "signature" in table.columns:
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "cut", watched)
+    members = spark.createDataFrame(rows, "signature long, class long")
+    frame = spark.createDataFrame([(c, len(h), bytearray(h.tobytes())) for c, h in sets.items()], "class long, size long, hashes binary")
+    none, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "class long, component long")
+    found = {r["class"]: r["component"] for r in jaccard_join.connect_large_groups(members, none, labels, frame, 5, 80).collect()}
+    pieces, got = defaultdict(set), defaultdict(set)
+    for c, k in component.items():
+        pieces[k].add(c)
+        got[found.get(c, c)].add(c)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, pieces.values())) and len(pieces) > 5
+    assert sum(made) < 5 * len(rows)
+
+
 def test_parts_of_the_tests_follow_the_bytes_of_sets(spark, monkeypatch):
     """Partners of one class are split where they are many bytes; parts grow in number with what pairs name."""
     monkeypatch.setattr(jaccard_join, "PART_BYTES", 100_000)
