@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralux import schema
+from terralux.functions.bind import bind
 from terralux.functions.geodesy import with_lonlat
 from terralux.operators.grids import align, covering_tiles, resample, warp
 from terralux.operators.vectors import areas_meeting_boxes
@@ -99,10 +100,10 @@ def tiles_to_cells(
         line = F.sequence(F.lit(0), F.lit(step * pixels_per_degree - 1))
         lines = tiles.select("*", F.explode(line).alias("pixel_row")).repartition("tile_lat", "tile_lon", "pixel_row")
         raster = place(lines.select("*", F.explode(line).alias("pixel_col"))).join(raster.hint("merge"), ["scene_id", "row", "col"], "left")
-    targets = located.select(
-        F.lit("globe").alias("scene_id"), F.col("scene_id").alias("_scene"), F.col("row"), F.col("col"), "x", "y",
-        ((90.0 - F.col("lat")) * pixels_per_degree - 0.5).alias("src_row"), ((F.col("lon") + 180.0) * pixels_per_degree - 0.5).alias("src_col"),
-    )
+    # Bound, as pixels are joined by them: Spark follows the keys of a join back to a scan by putting in what they are computed from,
+    # and the repeated steps of a latitude, written out as one expression, fill the driver's heap.
+    placed = bind(located, {"src_row": (90.0 - F.col("lat")) * pixels_per_degree - 0.5, "src_col": (F.col("lon") + 180.0) * pixels_per_degree - 0.5})
+    targets = placed.select(F.lit("globe").alias("scene_id"), F.col("scene_id").alias("_scene"), "row", "col", "x", "y", "src_row", "src_col")
     return resample(targets, raster, method).drop("scene_id").select(F.col("_scene").alias("scene_id"), "row", "col", "x", "y", "value")
 
 

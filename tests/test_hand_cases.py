@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import subprocess
+import sys
 from collections import deque
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -756,3 +759,30 @@ def test_scenes_share_the_pixels_of_a_tile(spark):
         assert len(got) == 6 and got["b", 0] == got["c", 0] == got["long", 0]
         for i in range(4):
             assert abs(got["long", i] - ((30 + i) * 100 + 29.5)) <= 0.5 + 1e-6
+
+
+PLANNED_TILES = """
+from pyspark.sql import functions as F
+from terralux.session import local_session, scratch_path
+from terralux.sources import rasters
+
+spark = local_session(2, memory="500m")
+path = scratch_path(spark, "planned-tiles")
+pixels = spark.range(9).selectExpr("30L AS tile_lat", "24 + id DIV 3 AS tile_lon", "CAST(id % 3 AS INT) AS pixel_row", "0 AS pixel_col", "1D AS value")
+rasters.write_tiles(pixels, path)
+at = spark.range(4).selectExpr("id DIV 100 AS gr", "id % 100 AS gc").selectExpr("'a' AS scene_id", "CAST(IF(gc < 34, gr, gr % 50) AS INT) AS row", "CAST(IF(gc < 34, gc, gc - 34) AS INT) AS col")
+at = at.selectExpr("*", "300000D + (col + 0.5D) * 500 AS x", "3400000D - (row + 0.5D) * 500 AS y")
+# One projection for all scenes: a constant, with which the positions are computed from the cells alone.
+spec = spark.range(1).selectExpr("'a' AS scene_id", "32635 AS epsg")
+for method in ("nearest", "bilinear", "cubic"):
+    df = rasters.tiles_to_cells(spark, path, at, spec, 1, 60, method)
+    assert "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+    print("planned", method)
+"""
+
+
+def test_tiles_to_cells_is_planned_by_a_small_driver():
+    """Join keys that are computed from latitudes are not written out while Spark looks for a scan to prune."""
+    root = Path(__file__).resolve().parents[1]
+    run = subprocess.run([sys.executable, "-c", PLANNED_TILES], cwd=root, capture_output=True, text=True, timeout=600)
+    assert run.stdout.split() == ["planned", "nearest", "planned", "bilinear", "planned", "cubic"], run.stderr[-2000:]
